@@ -17,3 +17,9 @@ def month_start(ts: Column) -> Column:
 def whole_units(unit: str, earlier: Column, later: Column) -> Column:
     """Whole units elapsed, e.g. 23 hours are 0 days."""
     return F.timestamp_diff(unit, earlier.cast("timestamp"), later)
+
+
+def instant(text: Column) -> Column:
+    """ISO text with an offset to an instant; seconds may be missing."""
+    with_seconds = F.regexp_replace(text, r"(T\d\d:\d\d)(?=[Z+-]|$)", "$1:00")
+    return F.when(F.substring(text, 17, 1) == ":", text).otherwise(with_seconds).cast("timestamp")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from tradelake.functions.times import instant
 
 ID, TEXT, FLAG, TIME, DAY = T.LongType(), T.StringType(), T.BooleanType(), T.TimestampType(), T.DateType()
 NUMBER = T.DecimalType(38, 9)
@@ -199,12 +201,14 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     New columns are only ever added, so a frame made for an older schema still
     fits. Values cast strictly: text that is not of the type raises.
     """
-    from pyspark.sql import functions as F
-
-    have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    have = {f.name: f.dataType for f in df.schema.fields}
+    columns = []
+    for field in schema.fields:
+        if field.name not in have:
+            value = F.lit(None).cast(field.dataType)
+        elif field.dataType == TIME and have[field.name] == TEXT:
+            value = instant(F.col(field.name))
+        else:
+            value = F.col(field.name).cast(field.dataType)
+        columns.append(value.alias(field.name))
+    return df.select(*columns)
