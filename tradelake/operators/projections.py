@@ -225,9 +225,10 @@ def supplier_rows(raw: DataFrame, products: DataFrame, now: Column) -> DataFrame
     """One row per product and supplier, from maps of supplier id lists."""
     pairs = (
         raw.select(F.explode(P.parsed(F.col("raw_payload"), P.SUPPLIERS)).alias("product_id", "ids"))
+        .select("product_id", F.explode("ids").alias("supplier_contact_id"))
         .select(
             F.col("product_id").cast("bigint").alias("product_id"),
-            F.explode("ids").cast("bigint").alias("supplier_contact_id"),
+            F.col("supplier_contact_id").cast("bigint").alias("supplier_contact_id"),
         )
     )
     return conform(flag_primary(pairs, products).withColumn("when_upserted", now), PRODUCT_SUPPLIERS)
