@@ -38,7 +38,7 @@ def read_events(spark: SparkSession, folder: str, files_per_batch: int | None =
 
 def event_ids(events: DataFrame) -> DataFrame:
     """One row per id of a notice; tokens that are not digits are dropped."""
-    tokens = F.transform(F.split("id", ","), F.trim)
+    tokens = F.transform(F.split("id", ","), lambda t: F.trim(t))
     digits = F.filter(tokens, lambda t: t.rlike("^[0-9]+$"))
     return events.select("resource", "event", F.explode(digits).alias("id")).select(
         "resource", "event", F.col("id").cast("bigint").alias("id")
