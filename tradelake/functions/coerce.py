@@ -6,7 +6,7 @@ import string
 
 from pyspark.sql import Column, functions as F
 
-from tradelake.functions.json_text import is_array, is_text
+from tradelake.functions.json_text import is_text
 from tradelake.functions.times import instant
 
 # Metadata type names and the column type each becomes. Any other
@@ -46,28 +46,22 @@ def snake_case_text(column: Column) -> Column:
     return F.lower(F.regexp_replace(column, "(?<=.)([A-Z])", "_$1"))
 
 
-def _as_text(value: Column) -> Column:
-    """Text as it is, anything else as JSON text, JSON null as NULL."""
-    return F.when(is_text(value), value.cast("string")).when(
-        ~F.is_variant_null(value), F.to_json(value)
-    )
-
-
 def _filled(value: Column) -> Column:
-    """NULL for JSON null and empty text, else the text form."""
-    return F.nullif(_as_text(value), F.lit(""))
+    """A cell as text: text as it is, anything else as JSON text, empty as NULL."""
+    return F.nullif(value.cast("string"), F.lit(""))
 
 
 def _to_id(value: Column) -> Column:
+    text = _filled(value)
     items = value.try_cast("array<string>")
     single = F.when(F.size(items) == 1, F.get(items, F.lit(0)))
-    return F.when(is_array(value), single).otherwise(_filled(value)).cast("bigint")
+    return F.when(F.startswith(text, F.lit("[")), single).otherwise(text).cast("bigint")
 
 
 def _to_flag(value: Column) -> Column:
     text = F.trim(F.lower(_filled(value)))
     # Not text: true unless zero, false or an empty array or object.
-    truthy = ~text.isin("false", "0", "0.0", "[]", "{}")
+    truthy = ~text.isin("false", "0", "[]", "{}")
     return F.when(is_text(value), text.isin(*TRUE_TEXTS)).otherwise(truthy)
 
 

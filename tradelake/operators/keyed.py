@@ -56,19 +56,20 @@ def running_sequence(
     are added. Only those sizes, one row per (key, chunk), meet per key.
     """
     df = df.withColumn("_chunk", chunk)
-    by_key = Window.partitionBy(key).orderBy("_chunk")
+    by_key = Window.partitionBy("_key").orderBy("_part")
     before = F.coalesce(
         F.sum("_rows").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     offsets = (
-        df.groupBy(key, "_chunk")
+        df.groupBy(F.col(key).alias("_key"), F.col("_chunk").alias("_part"))
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(key, "_chunk", before.alias("_before"))
+        .select("_key", "_part", before.alias("_before"))
     )
     inside = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(*order))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_chunk").eqNullSafe(F.col("_part"))
     return (
         df.withColumn("_inside", inside)
-        .join(offsets, [key, "_chunk"])
+        .join(offsets, same)
         .withColumn(name, (F.col("_inside") + F.col("_before")).cast("bigint"))
-        .drop("_chunk", "_inside", "_before")
+        .drop("_chunk", "_inside", "_before", "_key", "_part")
     )

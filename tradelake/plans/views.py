@@ -23,6 +23,15 @@ STOCK_FIELDS = {
 }
 
 
+def with_parsed(df: DataFrame, schema: str, name: str) -> DataFrame:
+    """Add the field of `raw_payload` that `schema` describes.
+
+    The parse is a generator, so a filter on its values stays above it and a row
+    is parsed once, however many conditions and columns use it.
+    """
+    return df.select("*", F.inline(F.array(F.from_json("raw_payload", f"{name} {schema}"))))
+
+
 def unique_lookup(lookup: DataFrame, key: str = "id", label: str = "name") -> DataFrame:
     """One row per numeric id, so joining it can never multiply facts.
 
@@ -69,15 +78,14 @@ def sales_flat(tables: Tables) -> DataFrame:
 def inventory_position(tables: Tables) -> DataFrame:
     """Live products by warehouse, with names and custom fields."""
     fields = ", ".join(f"{f}: VARIANT" for f in STOCK_FIELDS.values())
-    parsed = F.from_json("raw_payload", f"customFields STRUCT<{fields}>").getField("customFields")
-    products = (
+    live_products = (
         tables["products"]
         .filter((F.col("status") == "LIVE") & live())
-        .select("product_id", "sku", "name", "status", "brand_id", parsed.alias("custom"))
-        .select(
-            "product_id", "sku", "name", "status", "brand_id",
-            *[scalar_text(F.col("custom").getField(f)).alias(n) for n, f in STOCK_FIELDS.items()],
-        )
+        .select("product_id", "sku", "name", "status", "brand_id", "raw_payload")
+    )
+    products = with_parsed(live_products, f"STRUCT<{fields}>", "customFields").select(
+        "product_id", "sku", "name", "status", "brand_id",
+        *[scalar_text(F.col(f"customFields.{f}")).alias(n) for n, f in STOCK_FIELDS.items()],
     )
     brands = tables["brands"].select("brand_id", "brand_name")
     warehouses = tables["warehouses"].select(
@@ -100,24 +108,24 @@ def inventory_position(tables: Tables) -> DataFrame:
 
 def po_pipeline(tables: Tables) -> DataFrame:
     """One row per line of a committed purchase order, with its supplier."""
-    supplier = F.from_json(
-        "raw_payload",
-        "parties STRUCT<supplier: STRUCT<companyName: VARIANT, contactId: VARIANT>>",
-    ).getField("parties").getField("supplier")
     warehouses = tables["warehouses"].select(
         F.col("id").alias("warehouse_id"), F.col("name").alias("warehouse_name")
     )
-    orders = (
+    purchases = (
         tables["orders"]
         .filter((F.col("order_type_code") == "PO") & live() & committed_purchase())
         .select(
             "order_id", "reference", "placed_on", "created_on", "order_status_name",
-            "stock_status_code", supplier.alias("supplier"), "warehouse_id", "currency_code",
+            "stock_status_code", "raw_payload", "warehouse_id", "currency_code",
             F.col("total").alias("order_total"),
         )
-        .withColumn("supplier_name", scalar_text(F.col("supplier.companyName")))
-        .withColumn("supplier_contact_id", scalar_text(F.col("supplier.contactId")))
-        .drop("supplier")
+    )
+    shape = "STRUCT<supplier: STRUCT<companyName: VARIANT, contactId: VARIANT>>"
+    orders = (
+        with_parsed(purchases, shape, "parties")
+        .withColumn("supplier_name", scalar_text(F.col("parties.supplier.companyName")))
+        .withColumn("supplier_contact_id", scalar_text(F.col("parties.supplier.contactId")))
+        .drop("parties", "raw_payload")
         .join(warehouses, "warehouse_id", "left")
     )
     lines = tables["order_rows"].select(

@@ -101,7 +101,10 @@ def _month_pruned_scan(spark: SparkSession, d: str) -> DataFrame:
 
 def _rejects(spark: SparkSession, d: str) -> DataFrame:
     store, path = _records(spark, d, damaged=True)
-    bad = history_csv.rejects(history_csv.read_history(spark, path, ALIASES))
+    # Written once: record numbers then come from one and the same scan.
+    parsed = f"{store.root}/parsed"
+    history_csv.read_history(spark, path, ALIASES).write.parquet(parsed)
+    bad = history_csv.rejects(spark.read.parquet(parsed))
     return plain(bad.groupBy("source_order_id", "problems").agg(F.count(F.lit(1)).alias("records")))
 
 
