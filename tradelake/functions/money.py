@@ -23,4 +23,12 @@ def product(a: Column, b: Column) -> Column:
 
 
 def difference(a: Column, b: Column) -> Column:
-    return F.try_subtract(a, b).try_cast("decimal(38,9)")
+    """a - b at scale 9, NULL on overflow or NULL.
+
+    Spark gives the difference of two DECIMAL(38,9) eight digits; one digit
+    less before the point keeps all nine. Values too large for that take the
+    wide form.
+    """
+    exact = a.try_cast("decimal(37,9)") - b.try_cast("decimal(37,9)")
+    wide = F.try_subtract(a.cast("decimal(38,9)"), b.cast("decimal(38,9)"))
+    return F.coalesce(exact, wide.try_cast("decimal(38,9)"))

@@ -192,9 +192,9 @@ def monthly_financials(tables: Tables) -> DataFrame:
         .agg(
             F.sum("debit").alias("total_debit"),
             F.sum("credit").alias("total_credit"),
-            (F.sum("credit") - F.sum("debit")).alias("net_credit"),
             F.sum("lines").alias("line_count"),
         )
+        .withColumn("net_credit", difference(F.col("total_credit"), F.col("total_debit")))
     )
 
 
