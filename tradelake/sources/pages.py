@@ -16,8 +16,8 @@ results ARRAY<ARRAY<VARIANT>>
 def page_columns(pages: DataFrame, page: str = "page") -> list[tuple[str, str]]:
     """The (name, type) list of a resource, from its first page."""
     parsed = F.from_json(page, PAGE).getField("metaData").getField("columns")
-    row = pages.select(parsed.alias("c")).filter(F.size("c") > 0).first()
-    return [(c["name"], c["reportDataType"]) for c in row["c"]] if row else []
+    row = pages.select(parsed.alias("c")).first()
+    return [(c["name"], c["reportDataType"]) for c in row["c"]] if row and row["c"] else []
 
 
 def table_schema_for(columns: list[tuple[str, str]]) -> T.StructType:

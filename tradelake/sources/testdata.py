@@ -183,18 +183,32 @@ def _base_names(text: str) -> list[str]:
     return sorted(set(re.findall(r"(?<!\{)\{(\w+)\}", text)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores, when it has fewer splits than there are.
+
+    A table in one small file is one split, and everything up to the next
+    shuffle would run in one task. Scans of large tables pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class ErpTables(Mapping[str, DataFrame]):
-    """The ERP tables of one data folder; a table is read on first use."""
+    """The ERP tables of one data folder; a table is read on first use.
+
+    `wide` is for jobs with much work per row: small tables are then spread.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str, **overrides: str):
-        self._spark, self._folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, wide: bool = False, **overrides: str):
+        self._spark, self._folder, self._wide = spark, folder, wide
         self._adapters = {**VIEW_TABLES, **overrides}
         self._made: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
         key = f"base:{name}"
         if key not in self._made:
-            self._made[key] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+            df = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+            self._made[key] = spread(df) if self._wide else df
         return self._made[key]
 
     def __getitem__(self, name: str) -> DataFrame:

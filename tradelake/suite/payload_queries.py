@@ -186,19 +186,19 @@ def supplier_payloads(t: ErpTables) -> DataFrame:
 
 def _projection(payloads, rows, *columns: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return plain(rows(payloads(ErpTables(spark, d)), now()).select(*columns))
+        return plain(rows(payloads(ErpTables(spark, d, wide=True)), now()).select(*columns))
 
     return query
 
 
 def _supplier_fanout(spark: SparkSession, d: str) -> DataFrame:
-    t = ErpTables(spark, d)
+    t = ErpTables(spark, d, wide=True)
     rows = projections.supplier_rows(supplier_payloads(t), t["products"], now())
     return plain(rows.drop("when_upserted"))
 
 
 def _primary_supplier_flag(spark: SparkSession, d: str) -> DataFrame:
-    t = ErpTables(spark, d)
+    t = ErpTables(spark, d, wide=True)
     return plain(projections.flag_primary(t["product_suppliers"], t["products"]))
 
 
@@ -229,7 +229,7 @@ def journal_pages(t: ErpTables) -> DataFrame:
 
 
 def _search_page_typed(spark: SparkSession, d: str) -> DataFrame:
-    pages = journal_pages(ErpTables(spark, d))
+    pages = journal_pages(ErpTables(spark, d, wide=True))
     return plain(page_rows(pages, page_columns(pages), now()).drop("when_upserted"))
 
 
@@ -252,7 +252,7 @@ def reference_payloads(t: ErpTables) -> DataFrame:
 
 
 def _reference_items(spark: SparkSession, d: str) -> DataFrame:
-    rows = reference_rows(reference_payloads(ErpTables(spark, d)), now())
+    rows = reference_rows(reference_payloads(ErpTables(spark, d, wide=True)), now())
     return plain(rows.select("id", "name"))
 
 

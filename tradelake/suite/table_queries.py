@@ -47,7 +47,7 @@ def _store(spark: SparkSession, purpose: str) -> TableStore:
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return ErpTables(spark, d)["order_rows"].select(*LINES.schema.fieldNames())
+    return ErpTables(spark, d, wide=True)["order_rows"].select(*LINES.schema.fieldNames())
 
 
 def _latest_per_key(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def _upsert_small_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _replace_children(spark: SparkSession, d: str) -> DataFrame:
-    store, t = _store(spark, "replace-children"), ErpTables(spark, d)
+    store, t = _store(spark, "replace-children"), ErpTables(spark, d, wide=True)
     store.truncate_load("order_rows", t["order_rows"])
     parents = t["orders"].filter("order_payment_status = 'UNPAID'").select("order_id")
     rows = t["order_rows"].filter("quantity >= 25").join(parents, "order_id", "left_semi")
@@ -95,7 +95,7 @@ def _replace_children(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _soft_delete(spark: SparkSession, d: str) -> DataFrame:
-    store, orders = _store(spark, "soft-delete"), ErpTables(spark, d)["orders"]
+    store, orders = _store(spark, "soft-delete"), ErpTables(spark, d, wide=True)["orders"]
     store.truncate_load("orders", orders)
     store.mark_deleted("orders", orders.filter("order_status_name = 'Cancelled'"), _now())
     return plain(store.read("orders").select("order_id", "order_status_name", "is_deleted", "deleted_at"))
@@ -106,7 +106,7 @@ def _contacts(t: ErpTables) -> DataFrame:
 
 
 def _truncate_load(spark: SparkSession, d: str) -> DataFrame:
-    store, contacts = _store(spark, "truncate-load"), _contacts(ErpTables(spark, d))
+    store, contacts = _store(spark, "truncate-load"), _contacts(ErpTables(spark, d, wide=True))
     store.truncate_load("contacts", contacts)
     store.truncate_load("contacts", contacts.filter("email IS NOT NULL"))
     return plain(store.read("contacts").select("contact_id", "last_name", "email", "telephone", "is_deleted"))
@@ -126,7 +126,7 @@ def _additive_columns(spark: SparkSession, d: str) -> DataFrame:
 
 def _reconcile(at_least: int):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        store, t = _store(spark, "reconcile"), ErpTables(spark, d)
+        store, t = _store(spark, "reconcile"), ErpTables(spark, d, wide=True)
         store.truncate_load("contacts", _contacts(t))
         source = t.base("customer").filter(F.col("c_acctbal") >= at_least)
         sync = Sync(store, RunBook(store), RUN_TIME)
@@ -145,7 +145,7 @@ NOTICES = TableSpec(
 def _synced_by_id(spark: SparkSession, d: str) -> tuple[TableStore, RunBook]:
     store = _store(spark, "incremental-id")
     store.register(NOTICES)
-    events = ErpTables(spark, d)["change_events"].withColumn("when_upserted", F.col("ts").cast("timestamp"))
+    events = ErpTables(spark, d, wide=True)["change_events"].withColumn("when_upserted", F.col("ts").cast("timestamp"))
     book = RunBook(store)
     sync = Sync(store, book, RUN_TIME)
     early = events.filter(F.col("when_upserted") < F.lit("2024-01-08").cast("timestamp"))
@@ -164,7 +164,7 @@ def _incremental_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _incremental_by_updated(spark: SparkSession, d: str) -> DataFrame:
-    store, t = _store(spark, "incremental-updated"), ErpTables(spark, d)
+    store, t = _store(spark, "incremental-updated"), ErpTables(spark, d, wide=True)
     book = RunBook(store)
     sync = Sync(store, book, RUN_TIME)
     orders = t["orders"]
@@ -184,7 +184,7 @@ def _incremental_by_updated(spark: SparkSession, d: str) -> DataFrame:
 
 def _supplier_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """A guarded snapshot load: refused requests are skipped, the rest replaces."""
-    store, t = _store(spark, "snapshot"), ErpTables(spark, d)
+    store, t = _store(spark, "snapshot"), ErpTables(spark, d, wide=True)
     refused = F.col("raw_payload").contains('"3"')
     fetched = payloads.supplier_payloads(t).withColumn("status", F.when(refused, 400).otherwise(200))
     replace_snapshot(
@@ -195,7 +195,7 @@ def _supplier_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _product_id_lists(spark: SparkSession, d: str) -> DataFrame:
-    products = ErpTables(spark, d)["products"]
+    products = ErpTables(spark, d, wide=True)["products"]
     lists = {
         "all": projections.all_product_ids, "stock_tracked": projections.stock_tracked_ids,
         "live": projections.live_product_ids,
@@ -208,7 +208,7 @@ def _product_id_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _notice_folder(spark: SparkSession, d: str, folder: str) -> str:
-    events = ErpTables(spark, d)["change_events"].select("resource", "id", "event")
+    events = ErpTables(spark, d, wide=True)["change_events"].select("resource", "id", "event")
     events.write.json(f"{folder}/notices")
     return f"{folder}/notices"
 
@@ -227,7 +227,7 @@ def _event_ids_coalesced(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _event_routing(spark: SparkSession, d: str) -> DataFrame:
-    events = ErpTables(spark, d)["change_events"]
+    events = ErpTables(spark, d, wide=True)["change_events"]
     ids = change_events.event_ids(events).withColumn(
         "table_name", change_events.target_table(F.col("resource"))
     )
@@ -238,7 +238,7 @@ def _event_routing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _destroyed_soft_delete(spark: SparkSession, d: str) -> DataFrame:
-    store, t = _store(spark, "destroyed"), ErpTables(spark, d)
+    store, t = _store(spark, "destroyed"), ErpTables(spark, d, wide=True)
     store.truncate_load("products", t["products"].withColumn("when_upserted", _now()))
     notices = change_events.read_events(spark, _notice_folder(spark, d, store.root))
     apply = change_events.ApplyChanges(store, payloads={}, now=_now())
@@ -254,7 +254,7 @@ def _destroyed_soft_delete(spark: SparkSession, d: str) -> DataFrame:
 
 def _change_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Notices turned into current rows of orders, lines, products, stock and contacts."""
-    store, t = _store(spark, "changes"), ErpTables(spark, d)
+    store, t = _store(spark, "changes"), ErpTables(spark, d, wide=True)
     store.truncate_load("products", t["products"].withColumn("when_upserted", _now()))
     store.truncate_load("contacts", _contacts(t))
     store.truncate_load("orders", t["orders"])
@@ -297,11 +297,11 @@ AS_OF = "2024-01-31 00:10:30"
 
 
 def _run_state_latest(spark: SparkSession, d: str) -> DataFrame:
-    return plain(state_from_runs(ErpTables(spark, d)["run_log"], ("run_id",)))
+    return plain(state_from_runs(ErpTables(spark, d, wide=True)["run_log"], ("run_id",)))
 
 
 def _state(spark: SparkSession, d: str) -> DataFrame:
-    return state_from_runs(ErpTables(spark, d)["run_log"], ("run_id",))
+    return state_from_runs(ErpTables(spark, d, wide=True)["run_log"], ("run_id",))
 
 
 def _as_of():
@@ -323,7 +323,7 @@ def _status_listing(spark: SparkSession, d: str) -> DataFrame:
 def _question_log(spark: SparkSession, d: str) -> DataFrame:
     """Two appends to the log; long arguments and details are cut."""
     path = work_folder(spark, "question-log")
-    log = ErpTables(spark, d)["run_log"].select(
+    log = ErpTables(spark, d, wide=True)["run_log"].select(
         F.col("last_run_at").alias("called_at"), F.col("resource").alias("tool"),
         F.repeat(F.concat("resource", F.lit(" ")), 300).alias("arguments"),
         (F.col("last_run_kind") == "sweep").alias("ok"),
