@@ -18,12 +18,13 @@ def latest_per_key(
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def upserted(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Target with the batch's rows in place of those of equal key.
+def upserted(target: DataFrame, batch: DataFrame, newest: DataFrame, key: str) -> DataFrame:
+    """Target with `newest`, the batch's latest row per key, in place of equal keys.
 
-    The batch holds one row per key. A NULL key equals nothing: its row is added.
+    The batch itself names the keys to drop, so ranking it runs once. A NULL
+    key equals nothing: its row is added.
     """
-    return target.join(batch.select(key), key, "left_anti").unionByName(batch)
+    return target.join(batch.select(key), key, "left_anti").unionByName(newest)
 
 
 def children_replaced(

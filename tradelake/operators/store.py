@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tradelake.operators.keyed import (
     children_replaced, latest_per_key, marked_deleted, upserted,
@@ -117,22 +117,23 @@ class TableStore:
         finally:
             self._fs.delete(self._path(path), True)
 
-    @contextmanager
-    def staged(self, name: str, rows: DataFrame) -> Iterator[DataFrame]:
-        """A batch for a table as scratch, typed and with its required columns filled."""
-        spec = self.specs[name]
+    def _typed(self, spec: TableSpec, rows: DataFrame) -> DataFrame:
+        """Rows of the table's schema; a NULL in a required column is an error."""
         required = {f.name for f in spec.schema.fields if not f.nullable}
 
-        def checked(column: str, data_type) -> Column:
+        def checked(column: str, data_type: T.DataType) -> Column:
             if column not in required:
                 return F.col(column)
-            problem = F.raise_error(f"{name}.{column} must not be NULL").cast(data_type)
+            problem = F.raise_error(f"{spec.name}.{column} must not be NULL").cast(data_type)
             return F.when(F.col(column).isNull(), problem).otherwise(F.col(column)).alias(column)
 
         typed = conform(rows, spec.schema)
-        with self.scratch(
-            typed.select(*[checked(f.name, f.dataType) for f in spec.schema.fields])
-        ) as batch:
+        return typed.select(*[checked(f.name, f.dataType) for f in spec.schema.fields])
+
+    @contextmanager
+    def staged(self, name: str, rows: DataFrame) -> Iterator[DataFrame]:
+        """A batch for a table as scratch, typed and checked."""
+        with self.scratch(self._typed(self.specs[name], rows)) as batch:
             yield batch
 
     def _change(
@@ -155,11 +156,9 @@ class TableStore:
     def truncate_load(self, name: str, rows: DataFrame) -> int:
         """Replace the whole table; an empty frame empties it."""
         spec = self.specs[name]
-        with self.staged(name, rows) as batch:
-            count = batch.count()
-            version = self._manifest(name)[0] + 1
-            self._commit(name, version, self._write(spec, version, batch))
-        return count
+        version = self._manifest(name)[0] + 1
+        self._commit(name, version, self._write(spec, version, self._typed(spec, rows)))
+        return self.read(name).count()
 
     def upsert(self, name: str, rows: DataFrame, tie_break: tuple[str, ...] = ()) -> int:
         """Newest row per key replaces or joins the table; returns the rows given."""
@@ -174,7 +173,7 @@ class TableStore:
             # A child table is clustered by its parent, so the old row of a key
             # may lie in a bucket the new one does not: look in all of them.
             keys = batch if spec.cluster_column == spec.key else batch.unionByName(self.read(name))
-            self._change(name, keys, lambda old: upserted(old, newest, spec.key))
+            self._change(name, keys, lambda old: upserted(old, batch, newest, spec.key))
         return count
 
     def replace_children(self, name: str, parents: DataFrame, rows: DataFrame) -> int:

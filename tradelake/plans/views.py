@@ -273,10 +273,11 @@ def era_overlap(tables: Tables) -> DataFrame:
     """The eras' date ranges and whether they overlap (they must not)."""
     current = sales_orders(tables).agg(F.min(F.to_date("placed_on")).alias("current_from"))
     legacy = tables["legacy_sales"].agg(F.max("order_date").alias("legacy_to"))
-    # two one-row frames
-    return current.withColumn("k", F.lit(1)).join(legacy.withColumn("k", F.lit(1)), "k").select(
-        "current_from", "legacy_to",
-        F.coalesce(F.col("legacy_to") >= F.col("current_from"), F.lit(False)).alias("overlaps"),
+    both = current.unionByName(legacy, allowMissingColumns=True)
+    return both.agg(
+        F.max("current_from").alias("current_from"), F.max("legacy_to").alias("legacy_to")
+    ).withColumn(
+        "overlaps", F.coalesce(F.col("legacy_to") >= F.col("current_from"), F.lit(False))
     )
 
 

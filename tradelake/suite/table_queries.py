@@ -55,10 +55,10 @@ def _latest_per_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _order_line_sequence(spark: SparkSession, d: str) -> DataFrame:
-    # The month of shipping never decreases along the order of the lines.
+    # The day of shipping never decreases along the order of the lines.
     numbered = keyed.running_sequence(
         _lines(spark, d), "order_id",
-        ["when_upserted", "order_row_id", *TIES], F.date_trunc("MONTH", "when_upserted"),
+        ["when_upserted", "order_row_id", *TIES], F.to_date("when_upserted"),
     )
     uid = F.concat_ws("-", "order_id", "seq")
     return plain(numbered.select("order_id", "order_row_id", "when_upserted", *TIES, "seq", uid.alias("line_uid")))
