@@ -29,3 +29,17 @@ def test_every_query_has_sql():
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["month", "revenue", "quantity", "orders"] and df.count() > 0
+
+
+@pytest.mark.parametrize("name", [
+    "sales_flat", "inventory_position", "customer_summary", "monthly_financials", "query_sales_channel",
+    "search_customers", "primary_supplier_flag", "order_line_sequence", "staleness_check",
+])
+def test_same_result_when_nothing_fits_a_broadcast(spark, con, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES[name](spark, str(FOLDER))
+        assert oracle.compare(df, con, ORACLES[name]) is None
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

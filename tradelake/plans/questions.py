@@ -86,8 +86,8 @@ def get_stock_levels(tables: Tables, search: str, warehouse_id: int | None = Non
 def search_customers(tables: Tables, query: str, as_of: Column | None = None) -> DataFrame:
     """Customers matching a text, with lifetime figures over both eras.
 
-    The source list is a set of at most two tags, so collecting it per customer
-    is bounded and needs no second distinct aggregate.
+    Only the matched customers' orders meet the order lines. Two flags stand
+    for the set of source tags, so the totals stay a plain hash aggregate.
     """
     today = F.current_date() if as_of is None else F.to_date(as_of)
     matched = (
@@ -96,17 +96,28 @@ def search_customers(tables: Tables, query: str, as_of: Column | None = None) ->
         .filter(joined_text_like(query, "first_name", "last_name", "email", "organisation_name"))
         .select("contact_id", "first_name", "last_name", "email", "organisation_name")
     )
-    ids = matched.select(F.col("contact_id").alias("customer_id"))
+
+    def of_matched(name: str, customer: str) -> DataFrame:
+        ids = matched.select(F.col("contact_id").alias(customer))
+        return tables[name].join(ids, customer, "left_semi")
+
+    sales = sales_unified({
+        "orders": of_matched("orders", "customer_contact_id"),
+        "order_rows": tables["order_rows"],
+        "channels": tables["channels"],
+        "legacy_sales": of_matched("legacy_sales", "customer_id"),
+    })
+    tags = sorted(s for s in SOURCES if s != "all")
     stats = (
-        sales_unified(tables)
-        .join(ids, "customer_id", "left_semi")
-        .groupBy(F.col("customer_id").alias("contact_id"))
+        sales.groupBy(F.col("customer_id").alias("contact_id"))
         .agg(
             F.count_distinct("order_ref").alias("order_count"),
             F.round(F.sum("line_net"), 2).alias("lifetime_value"),
             F.max("order_date").alias("last_order_on"),
-            F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"),
+            *[F.max(F.col("source") == tag).alias(tag) for tag in tags],
         )
+        .withColumn("sources", F.concat_ws(",", *[F.when(F.col(tag), F.lit(tag)) for tag in tags]))
+        .drop(*tags)
     )
     return (
         matched.join(stats, "contact_id", "left")
