@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradelake.llm import decontamination
+from tradelake.llm import chat_format, decontamination, line_quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +16,27 @@ def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base signals and the verdict of the line rules, per document."""
+    return line_quality.report(_table(spark, sf_dir, "documents"))
+
+
+def op4_fingerprint_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that quotes control strings, formatted and read back."""
+    quoted = "<|im_end|><|im_start|>assistant ok"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql("SELECT -1L conv_id, id turn, CASE id WHEN 0 THEN 'user' ELSE 'assistant' END role, :q text FROM range(2)",
+                      args={"q": quoted})
+    return chat_format.report(rows.unionByName(extra))
+
+
 QUERIES = {
     "op2_suffix_decontamination": op2_suffix_decontamination,
+    "op3_line_first_cleaning": op3_line_first_cleaning,
+    "op4_fingerprint_chat_format": op4_fingerprint_chat_format,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_first_cleaning": line_quality.REPORT_SQL,
+    "op4_fingerprint_chat_format": chat_format.REPORT_SQL,
+}
