@@ -36,21 +36,17 @@ def words(text: Column) -> Column:
 
 
 def _count(text: Column, characters: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
-
-
-def _matching(text: Column, other: str) -> Column:
-    """How many characters are left when those of a class go."""
-    return F.char_length(F.regexp_replace(text, other, ""))
+    """How many of these characters a text has; the rest goes in long runs."""
+    return F.char_length(F.regexp_replace(text, f"[^{characters}]+", ""))
 
 
 def line_rules(line: Column, w: Column) -> dict[str, Column]:
     """True where a line with the words w fails."""
     n = F.size(w)
-    capitals, letters = _matching(line, "[^A-Z]+"), _matching(line, "[^A-Za-z]+")
+    capitals = _count(line, "A-Z")
     return {
         "symbols": _count(line, SYMBOLS) * 5 > n,
-        "shouting": (_count(line, "!") * 10 > n * 3) | ((letters >= 10) & (capitals * 2 > letters)),
+        "shouting": (_count(line, "!") * 10 > n * 3) | ((capitals >= 10) & (capitals * 3 > F.char_length(line))),
         "punctuation": ~F.rlike(line, F.lit(ENDS)) & ((n < 20) | ~F.rlike(line, F.lit(SENTENCE))),
         "navigation": (n <= 8) & F.rlike(line, F.lit(NAVIGATION)),
         "boilerplate": (n <= 25) & F.rlike(line, F.lit(BOILERPLATE)),
@@ -71,7 +67,7 @@ def repeat_words(w: Column, n: int = 3) -> Column:
     last = F.size(w) - n
 
     def windows(h: Column) -> Column:
-        order = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
         def twice(s: Column) -> Column:
             value = lambda k: F.get(s, k)["h"]
@@ -138,8 +134,7 @@ lw AS (SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM l
 lf AS (SELECT r, line, len(w) AS n,
   5 * (length(line) - length(translate(line, '{SYMBOLS}', ''))) > len(w)
   OR 10 * (length(line) - length(translate(line, '!', ''))) > 3 * len(w)
-  OR (length(regexp_replace(line, '[^A-Za-z]+', '', 'g')) >= 10
-      AND 2 * length(regexp_replace(line, '[^A-Z]+', '', 'g')) > length(regexp_replace(line, '[^A-Za-z]+', '', 'g')))
+  OR (length(regexp_replace(line, '[^A-Z]+', '', 'g')) >= 10 AND 3 * length(regexp_replace(line, '[^A-Z]+', '', 'g')) > length(line))
   OR (NOT regexp_matches(line, {_sql(ENDS)}) AND (len(w) < 20 OR NOT regexp_matches(line, {_sql(SENTENCE)})))
   OR (len(w) <= 8 AND regexp_matches(line, {_sql(NAVIGATION)}))
   OR (len(w) <= 25 AND regexp_matches(line, {_sql(BOILERPLATE)}))
