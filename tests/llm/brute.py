@@ -28,3 +28,29 @@ def window_hits(text, items, window=10):
                     hit |= set(range(p, p + n))
                     found.add(str(item))
     return len(w), len(hit), sorted(found)
+
+
+def shingles(text, n=3):
+    w = space_words(text)
+    return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+
+
+def jaccard_components(rows, percent=90):
+    """{row number: (set size, smallest id of the component)} for (id, text) rows."""
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                up[top(a)] = top(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[top(k)] = min(x for x in (i, least.get(top(k))) if x is not None) if i is not None or top(k) in least else None
+    return {k: (len(sets[k]), least[top(k)]) for k in range(len(rows))}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradelake.llm import chat_format, decontamination, line_quality
+from tradelake.llm import chat_format, decontamination, jaccard_join, line_quality, rule_ensemble, toxicity_chain
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,28 @@ def op4_fingerprint_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.report(rows.unionByName(extra))
 
 
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the fitted rules."""
+    return rule_ensemble.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components at a Jaccard similarity of 0.9 over 3-word shingles."""
+    return jaccard_join.report(_table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities of every document by the classifier chain."""
+    return toxicity_chain.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_suffix_decontamination": op2_suffix_decontamination,
     "op3_line_first_cleaning": op3_line_first_cleaning,
     "op4_fingerprint_chat_format": op4_fingerprint_chat_format,
+    "op6_rule_ensemble": op6_rule_ensemble,
+    "op7_set_relation_join": op7_set_relation_join,
+    "op9_toxicity_chain": op9_toxicity_chain,
 }
 
 ORACLES: dict[str, str] = {
