@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradelake.llm import chat_format, decontamination, jaccard_join, line_quality, rule_ensemble, toxicity_chain
+from tradelake.llm import (
+    best_fit,
+    chat_format,
+    decontamination,
+    jaccard_join,
+    line_quality,
+    rule_ensemble,
+    toxicity_chain,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +53,11 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_chain.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_synchronous_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return best_fit.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_suffix_decontamination": op2_suffix_decontamination,
     "op3_line_first_cleaning": op3_line_first_cleaning,
@@ -52,6 +65,7 @@ QUERIES = {
     "op6_rule_ensemble": op6_rule_ensemble,
     "op7_set_relation_join": op7_set_relation_join,
     "op9_toxicity_chain": op9_toxicity_chain,
+    "op10_synchronous_best_fit": op10_synchronous_best_fit,
 }
 
 ORACLES: dict[str, str] = {
