@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tradelake.llm.components import components
+from tradelake.llm.sieve import sifted
 from tradelake.llm.staging import staged
 from tradelake.llm.tokens import chunks, mix, windows, words
 
@@ -105,6 +106,13 @@ def _signing(counts, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
              pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "set", "n", "prefix"])
 
 
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of their set, without other texts under the same id."""
+    for batch in chunks(batches, "text", CHUNK_BYTES):
+        prints = np.array([_fingerprint(s) for s in shingle_sets(batch.column("text"))])
+        yield batch.filter(pa.array(prints == batch.column("set").to_numpy()))
+
+
 def _comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Overlaps of pairs (a, b); with `wide`, also what a has more and what b has more, for Jaccard 0.7 and up."""
     for batch in batches:
@@ -118,8 +126,6 @@ def _comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows: dict[str, list] = {k: [] for k in ("a", "b", "n_a", "n_b", "common", "less", "more")}
             for a, b, wide in zip(*(part.column(c).to_pylist() for c in ("a", "b", "wide"))):
                 x, y = known[a], known[b]
-                if _fingerprint(x) != a or _fingerprint(y) != b:
-                    continue  # another text under the id of this set
                 where = np.searchsorted(x, y)
                 same = where < len(x)
                 same[same] = x[where[same]] == y[same]
@@ -202,8 +208,14 @@ def _short_pairs(entries: DataFrame) -> DataFrame:
     return a.join(b, "token").where(ordered & fits).select("a", "b")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b, wide) with overlaps."""
+def _compared(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """pairs (a, b, wide) with overlaps; ids: (set, doc_id), a document for each set."""
+    shown = pairs.select(F.col("a").alias("set")).unionAll(pairs.select("b")).distinct()
+    needed = staged(ids.join(shown, "set"), "jaccard-needed")
+    some = sifted(docs, needed.select("doc_id"), "doc_id")
+    # rows of one id meet here, so repeated rows go without another shuffle
+    texts = some.join(needed, "doc_id").dropDuplicates(["doc_id", "set", "text"]).select("set", "text")
+    texts = staged(texts.mapInArrow(_own, texts.schema), "jaccard-texts")
     a, b = (texts.select(F.col("set").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
     return staged(pairs.join(b, "b").join(a, "a").select("a", "b", "wide", "text_a", "text_b").mapInArrow(
         _comparing, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint, less array<bigint>, more array<bigint>"), "jaccard-pairs")
@@ -219,30 +231,26 @@ def classes(docs: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     counts = spark.sparkContext.broadcast(frequencies(docs, slots))  # 4 bytes a slot, whatever the input
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = staged(docs.mapInArrow(partial(_signing, counts), f"doc_id {kind}, set bigint, n bigint, prefix array<bigint>"), "jaccard-sets")
-    sets = signed.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = signed.where("n > 0").groupBy("set").agg(F.max("n").alias("n"), F.first("prefix").alias("prefix"))
     entries = sets.select("set", "n", F.posexplode("prefix").alias("pos", "token"))
     counted = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     entries = staged(entries.join(counted, "token"), "jaccard-lists")
-
-    shown = entries.select("set").distinct()
-    needed = sets.select("set", "doc_id").join(shown, "set")
-    texts = staged(docs.join(needed, "doc_id").dropDuplicates(["set", "text"]).select("set", "text"), "jaccard-texts")
+    ids = signed.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
 
     edges, round_ = [], 0
     while True:
-        short = entries.where(F.col("c") <= SHORT)
-        pairs = _short_pairs(short).distinct().withColumn("wide", F.lit(False))
-        edges.append(_linked(_compared(pairs, texts)))
+        pairs = _short_pairs(entries.where(F.col("c") <= SHORT)).withColumn("wide", F.lit(False))
         long = entries.where(F.col("c") > SHORT)
         if not long.take(1):
+            edges.append(_linked(_compared(staged(pairs.distinct(), "jaccard-candidates"), docs, ids)))
             break
         seat = F.pmod(F.xxhash64("set", F.lit(round_)), F.lit(LEADERS))
         leaders = long.groupBy("token", seat.alias("seat")).agg(F.min(F.struct("n", "set")).alias("lead"))
         leaders = leaders.select("token", F.col("lead.set").alias("a"), F.col("lead.n").alias("n_a"))
         met = staged(long.join(leaders, "token").where("set <> a").select("token", F.col("set").alias("b"), "a", "n_a", "n"), "jaccard-met")
         fits = F.least("n_a", "n") * 10 >= F.greatest("n_a", "n") * 7
-        star = met.where(fits).select("a", "b").distinct().withColumn("wide", F.lit(True))
-        told = _compared(star, texts)
+        star = met.where(fits).select("a", "b", F.lit(True).alias("wide"))
+        told = _compared(staged(pairs.unionAll(star).distinct(), "jaccard-candidates"), docs, ids)
         near = told.where(F.col("less").isNotNull())
         edges += [_linked(told), _cells(near)]
         distance = 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
@@ -256,7 +264,6 @@ def classes(docs: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     for e in edges[1:]:
         every = every.unionAll(e)
     found = components(every)
-    ids = signed.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     found = found.join(ids, F.col("node") == F.col("set")).select("set", "label", "doc_id")
     least = found.groupBy("label").agg(F.min("doc_id").alias("least"))
     return signed.drop("prefix"), found.join(least, "label").select("set", F.col("least").alias("label"))
