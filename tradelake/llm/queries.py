@@ -10,7 +10,9 @@ from tradelake.llm import (
     decontamination,
     jaccard_join,
     line_quality,
+    lm_scoring,
     rule_ensemble,
+    substring_dedup,
     toxicity_chain,
 )
 
@@ -19,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy passages of 50 words and more that documents share."""
+    return substring_dedup.passages(_table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 benchmark words in each document."""
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -38,6 +45,11 @@ def op4_fingerprint_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.report(rows.unionByName(extra))
 
 
+def op5_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by the recurrent model, beside the smoothed unigram score."""
+    return lm_scoring.report(_table(spark, sf_dir, "documents"))
+
+
 def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by the fitted rules."""
     return rule_ensemble.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -59,9 +71,11 @@ def op10_synchronous_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_collinear_chaining": op1_collinear_chaining,
     "op2_suffix_decontamination": op2_suffix_decontamination,
     "op3_line_first_cleaning": op3_line_first_cleaning,
     "op4_fingerprint_chat_format": op4_fingerprint_chat_format,
+    "op5_gru_scoring": op5_gru_scoring,
     "op6_rule_ensemble": op6_rule_ensemble,
     "op7_set_relation_join": op7_set_relation_join,
     "op9_toxicity_chain": op9_toxicity_chain,
