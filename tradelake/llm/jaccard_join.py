@@ -15,7 +15,7 @@ pair at the threshold shares one.
   class is kept as its difference to the leader, and the overlap of two classes
   follows from their overlaps with the leader and from those differences, with
   no look at the sets themselves. The class then leaves the list; the rest goes
-  into the next round, until no list is long.
+  into the next round, with twice the leaders, until no list is long.
 
 Cells tell no pairs, only a tree of each component. Shingle frequencies, which
 order the shingles, are estimated by a table of `slots` counters over all
@@ -42,7 +42,8 @@ from tradelake.llm.tokens import chunks, mix, windows, words
 
 SHINGLE, PERCENT = 3, 90
 SLOTS = 1 << 20
-SHORT, LEADERS, BLOCK = 24, 4, 1500
+#: Lists up to SHORT are paired; a longer one has LEADERS leaders, twice as many each round; rows of a block of a cell.
+SHORT, LEADERS, BLOCK = 48, 4, 1500
 CHUNK_BYTES = 2_000_000
 _PAGE = 1 << 14
 
@@ -242,9 +243,9 @@ def classes(docs: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
         pairs = _short_pairs(entries.where(F.col("c") <= SHORT)).withColumn("wide", F.lit(False))
         long = entries.where(F.col("c") > SHORT)
         if not long.take(1):
-            edges.append(_linked(_compared(staged(pairs.distinct(), "jaccard-candidates"), docs, ids)))
+            edges.append(staged(_linked(_compared(staged(pairs.distinct(), "jaccard-candidates"), docs, ids)), "jaccard-edges"))
             break
-        seat = F.pmod(F.xxhash64("set", F.lit(round_)), F.lit(LEADERS))
+        seat = F.pmod(F.xxhash64("set", F.lit(round_)), F.lit(LEADERS << round_))
         leaders = long.groupBy("token", seat.alias("seat")).agg(F.min(F.struct("n", "set")).alias("lead"))
         leaders = leaders.select("token", F.col("lead.set").alias("a"), F.col("lead.n").alias("n_a"))
         met = staged(long.join(leaders, "token").where("set <> a").select("token", F.col("set").alias("b"), "a", "n_a", "n"), "jaccard-met")
@@ -252,7 +253,7 @@ def classes(docs: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
         star = met.where(fits).select("a", "b", F.lit(True).alias("wide"))
         told = _compared(staged(pairs.unionAll(star).distinct(), "jaccard-candidates"), docs, ids)
         near = told.where(F.col("less").isNotNull())
-        edges += [_linked(told), _cells(near)]
+        edges.append(staged(_linked(told).unionAll(_cells(near)), "jaccard-edges"))
         distance = 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
         done = met.join(told.where(distance <= 0.2).select("a", "b"), ["a", "b"]).select("token", F.col("b").alias("set"))
         done = done.unionAll(leaders.select("token", F.col("a").alias("set"))).distinct()
