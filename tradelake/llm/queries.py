@@ -14,6 +14,7 @@ from tradelake.llm import (
     rule_ensemble,
     substring_dedup,
     toxicity_chain,
+    url_lists,
 )
 
 
@@ -60,6 +61,11 @@ def op7_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(_table(spark, sf_dir, "documents"))
 
 
+def op8_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list entries active on its day."""
+    return url_lists.report(_table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category probabilities of every document by the classifier chain."""
     return toxicity_chain.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -78,6 +84,7 @@ QUERIES = {
     "op5_gru_scoring": op5_gru_scoring,
     "op6_rule_ensemble": op6_rule_ensemble,
     "op7_set_relation_join": op7_set_relation_join,
+    "op8_temporal_url_lists": op8_temporal_url_lists,
     "op9_toxicity_chain": op9_toxicity_chain,
     "op10_synchronous_best_fit": op10_synchronous_best_fit,
 }
@@ -85,4 +92,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_line_first_cleaning": line_quality.REPORT_SQL,
     "op4_fingerprint_chat_format": chat_format.REPORT_SQL,
+    "op8_temporal_url_lists": url_lists.REPORT_SQL,
 }
