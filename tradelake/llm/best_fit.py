@@ -107,35 +107,41 @@ def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAP
     return staged(cut.select(F.monotonically_increasing_id().alias("pid"), "*"), "pieces")
 
 
-SWEPT = "part int, gap boolean, id bigint, value bigint, mate bigint, mate_value bigint, rank bigint"
+#: Rows of a sweep. A piece has the gap it goes to and that gap's room then; a gap has the last piece it took and the
+#: room left. What is left over has a rank, from the best on. One row without `gap` counts for its range: pieces left,
+#: gaps left, pieces placed, tokens left.
+SWEPT = "part int, gap boolean, id bigint, value bigint, mate bigint, room bigint, rank bigint"
 
 
 def _sweep(several: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One sorted range: pieces wait on a stack, a gap takes the topmost; rank counts what is left, from the best on."""
+    """One sorted range: pieces wait on a stack, a gap takes the topmost."""
     tables = [b for b in batches if b.num_rows]
     if not tables:
         return
     t = pa.Table.from_batches(tables)
     gap, ids, value = (t[c].to_pylist() for c in ("gap", "id", "value"))
-    mate, room, rank, stack, free = [-1] * len(ids), [None] * len(ids), [None] * len(ids), [], 0
+    n = len(ids)
+    mate, room, rank, stack, free = [None] * n, [None] * n, [None] * n, [], 0
     for k, is_gap in enumerate(gap):
         if not is_gap:
             stack.append(k)
         elif stack:
             left = value[k]
-            while stack and value[stack[-1]] <= left and (several or mate[k] < 0):
-                top = mate[k] = stack.pop()
-                mate[top], room[top] = k, left
+            while stack and value[stack[-1]] <= left and (several or mate[k] is None):
+                top = stack.pop()
+                mate[k], mate[top], room[top] = ids[top], ids[k], left
                 left -= value[top]
+            room[k] = left
         else:
             rank[k], free = free, free + 1
-    for n, k in enumerate(reversed(stack)):
-        rank[k] = n
+    for r, k in enumerate(reversed(stack)):
+        rank[k] = r
+    tokens, met = sum(value[k] for k in stack), gap.count(False) - len(stack)
+    part = t["part"][0].as_py()
+    ints = [ids + [len(stack)], value + [free], mate + [met], room + [tokens], rank + [None]]
     yield pa.RecordBatch.from_arrays(
-        [t["part"].combine_chunks(), pa.array(gap), pa.array(ids, pa.int64()), pa.array(value, pa.int64()),
-         pa.array([ids[m] if m >= 0 else None for m in mate], pa.int64()),
-         pa.array(room, pa.int64()), pa.array(rank, pa.int64())],
-        ["part", "gap", "id", "value", "mate", "mate_value", "rank"])
+        [pa.array([part] * (n + 1), pa.int32()), pa.array(gap + [None], pa.bool_()), *(pa.array(x, pa.int64()) for x in ints)],
+        ["part", "gap", "id", "value", "mate", "room", "rank"])
 
 
 def _flows(left: list) -> list[tuple[int, int, int, int, int, int]]:
@@ -155,51 +161,58 @@ def _flows(left: list) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
+FLOW = "piece_part int, piece_rank bigint, gap_part int, gap_rank bigint, n bigint, number bigint"
+
+
 def _numbered(left: DataFrame, flows: DataFrame, side: str) -> DataFrame:
+    """What a round leaves over, with the number of its match across ranges, null if it has none."""
     hit = (F.col("part") == F.col(f"{side}_part")) & (F.col("rank") >= F.col(f"{side}_rank")) & (F.col("rank") < F.col(f"{side}_rank") + F.col("n"))
-    return left.join(F.broadcast(flows), hit).select(
+    return left.join(F.broadcast(flows), hit, "left").select(
         "id", "value", (F.col("number") + F.col("rank") - F.col(f"{side}_rank")).alias("number"))
 
 
 def _round(docs: DataFrame, bins: DataFrame, capacity: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """What this round places (pid, length, seq, gap), the rest, the new gaps, and how many pieces are left."""
+    """What this round places (pid, seq, gap), the rest, the new gaps, and how many pieces are left.
+
+    One shuffle sorts, another brings matches across ranges together; the rest
+    is read from the sweep's rows as they lie.
+    """
     spark = docs.sparkSession
     both = docs.select(F.lit(False).alias("gap"), F.col("pid").alias("id"), F.col("length").alias("value")).unionAll(
         bins.select(F.lit(True), "seq", "room"))
     order = ("value", "gap", F.xxhash64("id"), "id")
     swept = both.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "*")
     swept = staged(swept.mapInArrow(partial(_sweep, turn >= SEVERAL), SWEPT), "pack-sweep")
-    free = F.col("mate").isNull()
-    left = swept.groupBy("part").agg(
-        F.count_if(free & ~F.col("gap")).alias("pieces"), F.count_if(free & F.col("gap")).alias("gaps"),
-        F.count_if(~free & ~F.col("gap")).alias("met"), F.coalesce(F.sum(F.when(free & ~F.col("gap"), F.col("value"))), F.lit(0)).alias("tokens"))
-    left = sorted(left.collect(), key=lambda r: r.part)  # one row for each range
-    flows = _flows(left)
-    count = sum(r.pieces for r in left) - sum(f[4] for f in flows)
-    here = swept.where("mate IS NOT NULL AND NOT gap").select(
-        F.col("id").alias("pid"), F.col("value").alias("length"), F.col("mate").alias("seq"), F.col("mate_value").alias("gap"))
-    if flows:
-        table = spark.createDataFrame(flows, "piece_part int, piece_rank bigint, gap_part int, gap_rank bigint, n bigint, number bigint")
-        a = _numbered(swept.where("rank IS NOT NULL AND NOT gap"), table, "piece")
-        b = _numbered(swept.where("rank IS NOT NULL AND gap"), table, "gap").select("number", F.col("id").alias("seq"), F.col("value").alias("gap"))
-        here = here.unionAll(a.join(b, "number").select(F.col("id").alias("pid"), F.col("value").alias("length"), "seq", "gap"))
-    elif not any(r.met for r in left):  # nothing fits: the largest open new sequences
+    left = swept.where("gap IS NULL").select("part", F.col("id").alias("pieces"), F.col("value").alias("gaps"), F.col("mate").alias("met"),
+                                             F.col("room").alias("tokens")).collect()  # one row for each range
+    left.sort(key=lambda r: r.part)
+    flows, opening = _flows(left), False
+    if not flows and not any(r.met for r in left):  # nothing fits: the largest open new sequences
+        opening = True
         tokens = sum(r.tokens for r in left) * (OPENING if turn == 1 else 1)
         need, before = max(1, math.ceil(tokens / capacity)), 0
-        opening = []
         for r in reversed(left):
-            opening.append((r.part, 0, r.part, 0, max(0, min(r.pieces, need - before)), 0))
+            flows.append((r.part, 0, r.part, 0, max(0, min(r.pieces, need - before)), 0))
             before += r.pieces
-        table = spark.createDataFrame(opening, "piece_part int, piece_rank bigint, gap_part int, gap_rank bigint, n bigint, number bigint")
-        here = _numbered(swept.where("NOT gap"), table, "piece").select(
-            F.col("id").alias("pid"), F.col("value").alias("length"), F.col("id").alias("seq"), F.lit(capacity).cast("bigint").alias("gap"))
-        count -= min(need, count)
-    placed = staged(here, "pack-placed")
-    met = placed.select(F.col("pid").alias("id"))
-    docs = swept.where("NOT gap").join(met, "id", "left_anti").select(F.col("id").alias("pid"), F.col("value").alias("length"))
-    shrunk = placed.groupBy("seq").agg(F.min(F.col("gap") - F.col("length")).alias("room"))
-    same = swept.where("gap").select(F.col("id").alias("seq"), F.col("value").alias("room")).join(placed.select("seq"), "seq", "left_anti")
-    return placed, docs, shrunk.unionAll(same).where("room > 0"), count
+    table = spark.createDataFrame(flows, FLOW)
+    pieces_left = _numbered(swept.where("NOT gap AND rank IS NOT NULL"), table, "piece")
+    gaps_left = swept.where("gap AND rank IS NOT NULL")
+    crossing = pieces_left.where("number IS NOT NULL").select(F.col("id").alias("pid"), F.col("value").alias("length"), "number")
+    if opening:
+        crossing = crossing.select("pid", F.col("pid").alias("seq"), F.lit(capacity).cast("bigint").alias("gap"), "length")
+        gaps_left = gaps_left.select("id", "value")
+    else:
+        gaps_left = _numbered(gaps_left, table, "gap")
+        taken = gaps_left.where("number IS NOT NULL").select("number", F.col("id").alias("seq"), F.col("value").alias("gap"))
+        crossing = staged(crossing.join(taken, "number").select("pid", "seq", "gap", "length"), "pack-crossing") if flows else crossing.select(
+            "pid", F.col("pid").alias("seq"), F.col("length").alias("gap"), "length")
+        gaps_left = gaps_left.where("number IS NULL").select("id", "value")
+    placed = swept.where("NOT gap AND mate IS NOT NULL").select(F.col("id").alias("pid"), F.col("mate").alias("seq"), F.col("room").alias("gap"))
+    placed = placed.unionAll(crossing.drop("length"))
+    bins = swept.where("gap AND mate IS NOT NULL").select(F.col("id").alias("seq"), "room").unionAll(gaps_left).unionAll(
+        crossing.select("seq", F.col("gap") - F.col("length"))).where("room > 0")
+    docs = pieces_left.where("number IS NULL").select(F.col("id").alias("pid"), F.col("value").alias("length"))
+    return placed, docs, bins, sum(r.pieces for r in left) - sum(f[4] for f in flows)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
