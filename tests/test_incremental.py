@@ -4,20 +4,18 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tradelake.operators.incremental import Sync, changed_since, first_changes, newer_than
-from tradelake.operators.state import RunBook, freshness_report, staleness, state_from_runs
-from tradelake.schemas import (
-    ID, RESOURCES, SYNC_STATE, TEXT, TIME, TIER_BUDGET_MINUTES, TableSpec, table_schema,
-)
+from tradelake.operators.incremental import Sync, changed_since, newer_than, next_changes
+from tradelake.operators.state import freshness_report, run_records, save_runs, staleness, state_from_runs
+from tradelake.schemas import RESOURCES, SYNC_STATE, TIER_BUDGET_MINUTES, TableSpec, table_schema
 
 NOW = datetime(2024, 5, 1, 12)
-ROW = table_schema((ID, "row_id!"), (TEXT, "name"), (TIME, "updated_on"), (TIME, "when_upserted!"))
+ROW = table_schema("row_id BIGINT NOT NULL, name STRING, updated_on TIMESTAMP, when_upserted TIMESTAMP NOT NULL")
 
 
 @pytest.fixture
 def sync(store):
     store.register(TableSpec("rows", ROW, "row_id"))
-    return Sync(store, RunBook(store), NOW)
+    return Sync(store, NOW)
 
 
 def source(spark, *rows):
@@ -32,21 +30,21 @@ def test_id_watermark_stops_at_seen_ids(spark, sync):
     assert sync.by_id("rows", source(spark, (99, "a", None), (100, "a", None))) == 2
     assert sync.by_id("rows", source(spark, (99, "b", None), (100, "b", None), (101, "b", None))) == 1
     assert names(sync.store) == {99: "a", 100: "a", 101: "b"}
-    state = sync.book.get("rows")
+    state = sync.state("rows")
     assert state["watermark_id"] == 101 and state["last_run_rows"] == 1 and state["last_run_kind"] == "id"
 
 
 def test_id_watermark_survives_an_empty_run(spark, sync):
     sync.by_id("rows", source(spark, (5, "a", None)))
     assert sync.by_id("rows", source(spark)) == 0
-    assert sync.book.get("rows")["watermark_id"] == 5
+    assert sync.state("rows")["watermark_id"] == 5
 
 
 def test_full_run_upserts_and_keeps_the_watermark(spark, sync):
     sync.by_id("rows", source(spark, (5, "a", None), (9, "a", None)))
     assert sync.by_id("rows", source(spark, (5, "b", None)), full=True) == 1
     assert names(sync.store) == {5: "b", 9: "a"}
-    assert sync.book.get("rows")["watermark_id"] == 9
+    assert sync.state("rows")["watermark_id"] == 9
 
 
 def test_updated_watermark_reaches_back(spark, sync):
@@ -58,7 +56,7 @@ def test_updated_watermark_reaches_back(spark, sync):
     )
     assert sync.by_updated("rows", changed) == 2
     assert names(sync.store) == {1: "b", 2: "a", 3: "b"}
-    state = sync.book.get("rows")
+    state = sync.state("rows")
     assert state["watermark_updated_on"] == t + timedelta(minutes=1) and state["last_run_kind"] == "sweep"
 
 
@@ -66,7 +64,7 @@ def test_watermark_never_moves_back(spark, sync):
     t = datetime(2024, 1, 1)
     sync.by_updated("rows", source(spark, (1, "a", t)))
     sync.by_updated("rows", source(spark, (2, "b", t - timedelta(minutes=5))))
-    assert sync.book.get("rows")["watermark_updated_on"] == t
+    assert sync.state("rows")["watermark_updated_on"] == t
 
 
 def test_limited_runs_miss_nothing(spark, sync):
@@ -83,7 +81,8 @@ def test_filters_without_watermark(spark):
     assert changed_since(df, "updated_on", None).count() == 2
     assert newer_than(df, "row_id", None).count() == 2
     assert newer_than(df, "row_id", 1).count() == 1
-    assert first_changes(df, "updated_on", "row_id", None) is df
+    assert [r["row_id"] for r in next_changes(df, "updated_on", "row_id", 1, None).collect()] == [1]
+    assert next_changes(df, "updated_on", "row_id", 5, (NOW, 2)).count() == 0
 
 
 def test_reload_replaces(spark, sync):
@@ -101,13 +100,14 @@ def deleted(store):
 
 
 @pytest.mark.parametrize("kept, gone", [
-    (10, set()), (9, {10}), (8, {9, 10}), (7, set()), (0, set()),
+    (10, set()), (9, {10}), (8, {9, 10}), (7, None), (0, None),
 ])
 def test_reconcile(spark, sync, kept, gone):
     sync.store.truncate_load("contacts", contacts(spark, 10))
     ids = spark.range(1, kept + 1).select(F.col("id").alias("contact_id"))
-    assert sync.reconcile("contacts", ids) == len(gone)
-    assert deleted(sync.store) == gone
+    assert sync.reconcile("contacts", ids) == (None if gone is None else len(gone))
+    assert deleted(sync.store) == (gone or set())
+    assert sync.state("contacts")["last_run_kind"] == ("reconcile refused" if gone is None else "reconcile")
 
 
 def test_reconcile_counts_live_rows_only(spark, sync, now):
@@ -115,7 +115,7 @@ def test_reconcile_counts_live_rows_only(spark, sync, now):
     sync.store.mark_deleted("contacts", contacts(spark, 5), now)
     # five live rows; two missing is more than a fifth of them
     ids = spark.range(8, 11).select(F.col("id").alias("contact_id"))
-    assert sync.reconcile("contacts", ids) == 0
+    assert sync.reconcile("contacts", ids) is None
     ids = spark.range(7, 11).select(F.col("id").alias("contact_id"))
     assert sync.reconcile("contacts", ids) == 1
 
@@ -135,7 +135,7 @@ def test_pages_by_id(spark, sync):
     assert sync.pages("journal_rows", pages(spark, page(5, 4, 3), page(2, 1))) == 2
     rows = sync.store.read("journal_rows").collect()
     assert sorted(r["journal_row_id"] for r in rows) == [1, 2, 3, 4, 5]
-    assert sync.book.get("journal_rows")["watermark_id"] == 5
+    assert sync.state("journal_rows")["watermark_id"] == 5
 
 
 def test_pages_full_and_updated(spark, sync):
@@ -148,7 +148,7 @@ def test_pages_full_and_updated(spark, sync):
     moving = Resource("moving", "search", "journalRowId", "updated", "updatedOn", "hot")
     sync.pages(moving, pages(spark, page(3, 5)))
     assert sync.pages(moving, pages(spark, page(4, 5, 6))) == 2
-    assert sync.book.get("moving")["watermark_updated_on"] == datetime(2024, 1, 6)
+    assert sync.state("moving")["watermark_updated_on"] == datetime(2024, 1, 6)
 
 
 def test_orders_and_lines_stay_together(spark, sync):
@@ -167,24 +167,61 @@ def test_orders_and_lines_stay_together(spark, sync):
     assert got == [(1, 10), (2, 20)]
 
 
-def test_run_book(spark, store):
-    book = RunBook(store)
-    assert book.get("orders") == {}
-    book.record("orders", last_run_at=NOW, last_run_kind="sweep", watermark_id=7)
-    book.record("orders", last_run_at=NOW, last_run_rows=3)
-    book.record("brands", last_run_at=NOW)
-    assert book.get("orders")["watermark_id"] == 7
-    assert not store.exists("sync_state")
-    assert book.flush() == 2 and book.flush() == 0
-    fresh = RunBook(store)
-    row = fresh.get("orders")
+def test_run_records(spark, store):
+    one = {"resource": "orders", "last_run_at": NOW, "last_run_kind": "sweep", "watermark_id": 7}
+    runs = [one, {"resource": "orders", "last_run_at": NOW, "last_run_rows": 3}, {"resource": "brands", "last_run_at": NOW}]
+    assert Sync(store, NOW).state("orders") == {}
+    assert save_runs(store) == 0 and not store.exists("sync_state")
+    assert save_runs(store, *runs) == 2
+    row = Sync(store, NOW).state("orders")
     assert (row["watermark_id"], row["last_run_rows"], row["last_run_kind"]) == (7, 3, "sweep")
     # a later record without a watermark keeps it
-    fresh.record("orders", last_run_at=NOW + timedelta(hours=1))
-    fresh.flush()
-    assert RunBook(store).get("orders")["watermark_id"] == 7
+    save_runs(store, {"resource": "orders", "last_run_at": NOW + timedelta(hours=1)})
+    assert Sync(store, NOW).state("orders")["watermark_id"] == 7
     with pytest.raises(ValueError):
-        book.record("orders", nonsense=1)
+        run_records(spark, {"resource": "orders", "nonsense": 1})
+
+
+def test_limited_runs_get_through(spark, sync):
+    t = datetime(2024, 1, 1)
+    rows = source(spark, *((k, "a", t + timedelta(seconds=k)) for k in range(10)))
+    counts = []
+    for want in (3, 6, 9, 10, 10):
+        sync.by_updated("rows", rows, limit=3)
+        counts.append(len(names(sync.store)))
+    assert counts == [3, 6, 9, 10, 10]
+    assert sync.save() == 1
+
+
+def test_pages_keep_what_they_do_not_mention(spark, sync):
+    def text(columns, *rows):
+        meta = {"columns": [{"name": n, "reportDataType": k} for n, k in columns]}
+        return json.dumps({"metaData": meta, "results": rows})
+
+    both, one = [("journalRowId", "INTEGER"), ("note", "STRING")], [("journalRowId", "INTEGER")]
+    sync.store.register(TableSpec("journal_rows", table_schema("journal_row_id BIGINT, when_upserted TIMESTAMP"), "journal_row_id", buckets=64))
+    sync.pages("journal_rows", pages(spark, text(both, *([k, "keep"] for k in range(20)))))
+    sync.pages("journal_rows", pages(spark, text(one, *([k] for k in range(20, 40)))))
+    got = {r["journal_row_id"]: r["note"] for r in sync.store.read("journal_rows").collect()}
+    assert got == {k: "keep" if k < 20 else None for k in range(40)}
+    assert sync.store.spec("journal_rows").buckets == 64
+
+
+def test_each_page_has_its_own_names(spark, sync):
+    swapped = json.dumps({"metaData": {"columns": [{"name": "updatedOn", "reportDataType": "DATETIME"}, {"name": "journalRowId", "reportDataType": "INTEGER"}]},
+                          "results": [["2024-01-09T00:00:00Z", 9]]})
+    sync.pages("journal_rows", pages(spark, page(3), swapped))
+    got = {r["journal_row_id"]: r["updated_on"].day for r in sync.store.read("journal_rows").collect()}
+    assert got == {3: 3, 9: 9}
+
+
+def test_reference_load(spark, sync):
+    payloads = spark.createDataFrame([('[{"id": 4, "name": "Web"}]',)], "payload STRING")
+    from tradelake.sources.reference_items import reference_rows
+
+    rows = reference_rows(payloads, F.lit(NOW).cast("timestamp"))
+    assert sync.reload("channels", rows) == 1
+    assert [r["id"] for r in sync.store.read("channels").collect()] == ["4"]
 
 
 def state(spark, *rows):

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from tradelake.operators import keyed
 from tradelake.operators.store import (
-    MalformedPayload, TableStore, append_log, read_log, replace_snapshot, usable_payloads,
+    MalformedPayload, TableStore, VersionTaken, append_log, read_log, replace_snapshot, short_log, usable_payloads,
 )
 from tradelake.operators import projections
-from tradelake.schemas import FLAG, ID, TEXT, TIME, TableSpec, table_schema
+from tradelake.schemas import TableSpec, table_schema
 from tradelake.session import work_folder
 
-THING = table_schema((ID, "thing_id"), (TEXT, "name"), (TIME, "when_upserted!"))
+THING = table_schema("thing_id BIGINT, name STRING, when_upserted TIMESTAMP NOT NULL")
 
 
 def at(hour):
@@ -30,7 +30,7 @@ def frame(spark, *rows):
 
 
 def content(store, name="things"):
-    return sorted(((r["thing_id"], r["name"]) for r in store.read(name).collect()), key=str)
+    return sorted(((r["thing_id"], r["name"]) for r in store.read(name).collect()), key=lambda r: (r[0] is None, r))
 
 
 def test_new_table_is_empty(things):
@@ -69,10 +69,10 @@ def test_null_keys_are_added_each_time(spark, things):
 
 def test_small_upsert_leaves_other_buckets_alone(spark, things):
     things.truncate_load("things", frame(spark, *[(i, "a", 1) for i in range(200)]))
-    before = things._manifest("things")[1]
+    before = things._manifest("things")[1]["folders"]
     assert len(before) == 8
     things.upsert("things", frame(spark, (7, "b", 2)))
-    after = things._manifest("things")[1]
+    after = things._manifest("things")[1]["folders"]
     assert sum(before[b] != after[b] for b in before) == 1
     assert things.read("things").count() == 200
     assert things.read("things").filter("name = 'b'").count() == 1
@@ -110,21 +110,21 @@ def test_readers_keep_their_version(spark, things):
 
 def test_two_writers_cannot_publish_one_version(spark, things):
     things.truncate_load("things", frame(spark, (1, "a", 1)))
-    with pytest.raises(Exception, match="(?i)exist"):
-        things._commit("things", 1, {})
+    with pytest.raises(VersionTaken):
+        things._commit(things.spec("things"), 1, {})
     assert content(things) == [(1, "a")]
 
 
 def test_new_column_reads_null_in_old_rows(spark, things):
     things.upsert("things", frame(spark, (1, "a", 1)))
-    wide = table_schema((ID, "thing_id"), (TEXT, "name"), (TIME, "when_upserted!"), (FLAG, "extra"))
+    wide = table_schema("thing_id BIGINT, name STRING, when_upserted TIMESTAMP NOT NULL, extra BOOLEAN")
     things.register(TableSpec("things", wide, "thing_id"))
     things.upsert("things", frame(spark, (2, "b", 1)).withColumn("extra", F.lit(True)))
     assert {r["thing_id"]: r["extra"] for r in things.read("things").collect()} == {1: None, 2: True}
 
 
 def test_string_keys(spark, things):
-    schema = table_schema((TEXT, "code"), (TEXT, "name"), (TIME, "when_upserted!"))
+    schema = table_schema("code STRING, name STRING, when_upserted TIMESTAMP NOT NULL")
     things.register(TableSpec("codes", schema, "code"))
     for name in ("one", "two"):
         things.upsert("codes", spark.createDataFrame([("x", name, at(1)), ("y", name, at(1))], schema))
@@ -248,7 +248,9 @@ def test_question_log(spark):
     append_log(entry, path)
     rows = read_log(spark, path).collect()
     assert len(rows) == 2
-    assert len(rows[0]["arguments"]) == 2000 and len(rows[0]["detail"]) == 500
+    assert len(rows[0]["arguments"]) == 3000 and len(rows[0]["detail"]) == 900
+    short = short_log(read_log(spark, path)).first()
+    assert (len(short["arguments"]), short["argument_chars"], len(short["detail"])) == (2000, 3000, 500)
     assert rows[0]["user_email"] is None
 
 
@@ -297,3 +299,44 @@ def test_running_sequence_plan_splits_a_hot_key(spark):
     assert [r["seq"] for r in got.orderBy("id").collect()] == list(range(1, 1001))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(k" in plan and "_chunk" in plan
+
+
+def test_other_bucket_counts_do_not_double_keys(spark, things):
+    rows = lambda name, n: frame(spark, *[(i, name, n) for i in range(50)])
+    things.upsert("things", rows("a", 1))
+    things.register(TableSpec("things", THING, "thing_id", buckets=16))
+    things.upsert("things", rows("b", 2))
+    assert content(things) == [(i, "b") for i in range(50)]
+    things.truncate_load("things", rows("c", 3))
+    assert things.spec("things").buckets == 16 and len(content(things)) == 50
+
+
+def test_a_publish_cut_short_leaves_the_old_table(spark, things):
+    things.truncate_load("things", frame(spark, (1, "a", 1)))
+    draft = f"{things.root}/things/_manifest/_cut.draft"
+    things._fs.create(things._path(draft), False).close()
+    assert content(things) == [(1, "a")]
+    things.upsert("things", frame(spark, (2, "b", 1)))
+    assert content(things) == [(1, "a"), (2, "b")]
+
+
+def test_a_second_writer_starts_anew(spark, things):
+    things.truncate_load("things", frame(spark, (1, "a", 1)))
+    write, once = things._write, []
+
+    def slow(spec, version, rows):
+        out = write(spec, version, rows)
+        if not once:
+            once.append(1)
+            TableStore(spark, things.root, things.specs).upsert("things", frame(spark, (2, "b", 1)))
+        return out
+
+    things._write = slow
+    things.upsert("things", frame(spark, (3, "c", 1)))
+    assert content(things) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_keys_that_repeat_are_not_upserted(spark, store):
+    prices = store.read("product_prices")
+    with pytest.raises(ValueError, match="does not tell rows apart"):
+        store.upsert("product_prices", prices)

@@ -89,8 +89,7 @@ def test_query_sales(tables):
     assert by_source["legacy"]["revenue"] == 25 and by_source["current"]["orders"] == 3
     assert questions.query_sales(tables, "2023-05-02", "2024-01-09", "source").count() == 0
     assert [r["month"] for r in questions.query_sales(tables, "2020-01-01", "2030-01-01", source="legacy").collect()] == ["2023-05"]
-    assert questions.query_sales(tables, "2020-01-01", "2030-01-01", "channel", top_n=-5).count() == 1
-    for bad in ({"group_by": "sql"}, {"source": "both"}):
+    for bad in ({"group_by": "sql"}, {"source": "both"}, {"top_n": -5}):
         with pytest.raises(ValueError):
             questions.query_sales(tables, "2020-01-01", "2030-01-01", **bad)
 
@@ -151,9 +150,9 @@ def test_stock_view_keeps_products_without_payload_or_stock(spark):
 def test_schema_listing_and_capped_answer(spark, tables):
     listing = {r["table_name"]: r["columns"] for r in questions.get_schema(spark, tables).collect()}
     assert listing["channels"] == ["id string", "name string"]
-    rows, more = questions.answer(spark.range(201))
+    rows, more = questions.answer(lambda n: spark.range(201))
     assert len(rows) == 200 and more
-    rows, more = questions.answer(spark.range(200))
+    rows, more = questions.answer(lambda n: spark.range(200))
     assert len(rows) == 200 and not more
 
 

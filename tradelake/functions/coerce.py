@@ -41,9 +41,13 @@ def snake_case(name: str) -> str:
     return "".join(out)
 
 
-def snake_case_text(column: Column) -> Column:
-    """The same for data."""
-    return F.lower(F.regexp_replace(column, "(?<=.)([A-Z])", "_$1"))
+#: White space as a pattern for both ends of a text; \\s with all of Unicode.
+_ENDS = r"(?U)^\s+|\s+$"
+
+
+def trimmed(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, _ENDS, "")
 
 
 def _filled(value: Column) -> Column:
@@ -59,7 +63,7 @@ def _to_id(value: Column) -> Column:
 
 
 def _to_flag(value: Column) -> Column:
-    text = F.trim(F.lower(_filled(value)))
+    text = trimmed(F.lower(_filled(value)))
     # Not text: true unless zero, false or an empty array or object.
     truthy = ~text.isin("false", "0", "[]", "{}")
     return F.when(is_text(value), text.isin(*TRUE_TEXTS)).otherwise(truthy)

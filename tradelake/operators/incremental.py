@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from tradelake.functions.coerce import snake_case
 from tradelake.functions.predicates import live
-from tradelake.operators.state import RunBook
+from tradelake.operators.state import STATE, after_runs, run_records, save_runs
 from tradelake.operators.store import TableStore, replace_snapshot
 from tradelake.schemas import RESOURCES, Resource, TableSpec
 from tradelake.sources.pages import page_columns, page_rows, table_schema_for
+from tradelake.sources.reference_items import reference_rows
 
 # How far a time-based run reaches back before its watermark, and
 # the share of live rows a reconcile may delete.
@@ -38,9 +40,15 @@ def newer_than(df: DataFrame, key: str, watermark: Column | int | None) -> DataF
     return df.filter(F.col(key) > mark)
 
 
-def first_changes(df: DataFrame, column: str, key: str, limit: int | None) -> DataFrame:
-    """At most `limit` rows, oldest change first, so no later run can miss one."""
-    return df if limit is None else df.orderBy(column, key).limit(limit)
+def next_changes(df: DataFrame, column: str, key: str, limit: int, after: tuple | None) -> DataFrame:
+    """The `limit` oldest changes, beyond a (time, id) already loaded if there is one.
+
+    A change without a time comes first, so it is loaded once and not again.
+    """
+    if after is not None:
+        time, number = (F.lit(v) for v in after)
+        df = df.filter((F.col(column) > time) | ((F.col(column) == time) & (F.col(key) > number)))
+    return df.orderBy(F.col(column).asc_nulls_first(), key).limit(limit)
 
 
 def watermarks(df: DataFrame, key: str | None, column: str | None) -> Row:
@@ -56,25 +64,39 @@ def _higher(old, new):
     return new if old is None or (new is not None and new > old) else old
 
 
+PARTIAL = "partial"
+
+
 class Sync:
-    """Loads of one deployment: a store, its run book and the time of the run."""
+    """Loads of one deployment: a store and the time of the run.
 
-    def __init__(self, store: TableStore, book: RunBook, now: datetime):
-        self.store, self.book, self.now = store, book, now
+    Records of runs gather until `save` writes them together.
+    """
+
+    def __init__(self, store: TableStore, now: datetime):
+        self.store, self.now = store, now
+        self._runs: list[dict] = []
 
     def _record(self, name: str, kind: str, rows: int, **marks) -> int:
-        self.book.record(
-            name, last_run_at=self.now, last_run_kind=kind, last_run_rows=rows, **marks
-        )
+        given = {k: v for k, v in marks.items() if v is not None}
+        self._runs.append({"resource": name, "last_run_at": self.now, "last_run_kind": kind, "last_run_rows": rows, **given})
         return rows
 
-    def _mark(self, name: str) -> dict:
-        return self.book.get(name)
+    def state(self, name: str) -> dict:
+        """What is known of a resource's runs, unsaved ones included; {} if there were none."""
+        known = after_runs(self.store.read(STATE), run_records(self.store.spark, *self._runs))
+        row = known.where(F.col("resource") == name).first()
+        return row.asDict() if row else {}
+
+    def save(self) -> int:
+        saved = save_runs(self.store, *self._runs)
+        self._runs.clear()
+        return saved
 
     def _upsert(
         self, name: str, rows: DataFrame, kind: str, key: str | None, column: str | None
     ) -> int:
-        old = self._mark(name)
+        old = self.state(name)
         with self.store.staged(name, rows) as batch:
             high = watermarks(batch, key, column)
             count = self.store.upsert_staged(name, batch)
@@ -84,73 +106,104 @@ class Sync:
             watermark_updated_on=_higher(old.get("watermark_updated_on"), high["time"]),
         )
 
+    def _changes(self, name: str, source: DataFrame, column: str, key: str, full: bool, limit: int | None) -> tuple[DataFrame, str]:
+        """The changes a run takes, and its kind.
+
+        A run that its limit cut short leaves the last (time, id) it loaded,
+        and the next one goes on behind it. Only a run that has caught up
+        reaches back by the overlap again.
+        """
+        old = {} if full else self.state(name)
+        mark, cut = old.get("watermark_updated_on"), old.get("last_run_kind") == PARTIAL
+        if limit is not None and cut:
+            return next_changes(source, column, key, limit, (mark, old["watermark_id"])), "sweep"
+        rows = source.filter(F.col(column) >= F.lit(mark)) if cut and mark else changed_since(source, column, mark)
+        kind = "sweep" if mark else "backfill"
+        return (rows if limit is None else next_changes(rows, column, key, limit, None)), kind
+
+    def _reached(self, name: str, batch: DataFrame, column: str, key: str, count: int, kind: str, limit: int | None) -> int:
+        """Record a run by time: at its limit where it stopped, else the highest time."""
+        if limit is not None and count >= limit:
+            last = batch.agg(F.max_by(F.struct(column, key), F.struct(F.col(column).isNotNull(), column, key)).alias("at")).first()["at"]
+            return self._record(name, PARTIAL, count, watermark_updated_on=last[0], watermark_id=last[1])
+        high = watermarks(batch, None, column)["time"]
+        return self._record(name, kind, count, watermark_updated_on=_higher(self.state(name).get("watermark_updated_on"), high))
+
     def by_updated(
         self, name: str, source: DataFrame, column: str = "updated_on", full: bool = False,
         limit: int | None = None,
     ) -> int:
-        """Upsert the rows changed since the last run."""
-        mark = None if full else self._mark(name).get("watermark_updated_on")
-        rows = changed_since(source, column, mark)
-        rows = first_changes(rows, column, self.store.specs[name].key, limit)
-        return self._upsert(name, rows, "sweep" if mark else "backfill", None, column)
+        """Upsert the rows changed since the last run, at most `limit` of them."""
+        key = self.store.specs[name].key
+        rows, kind = self._changes(name, source, column, key, full, limit)
+        with self.store.staged(name, rows) as batch:
+            count = self.store.upsert_staged(name, batch)
+            return self._reached(name, batch, column, key, count, kind, limit)
 
     def by_id(self, name: str, source: DataFrame, full: bool = False) -> int:
         """Upsert the rows with ids above the last one seen."""
         key = self.store.specs[name].key
-        mark = None if full else self._mark(name).get("watermark_id")
+        mark = None if full else self.state(name).get("watermark_id")
         return self._upsert(name, newer_than(source, key, mark), "full" if full else "id", key, None)
 
     def reload(self, name: str, source: DataFrame, kind: str = "full") -> int:
         """Replace the whole table."""
         return self._record(name, kind, self.store.truncate_load(name, source))
 
-    def orders(self, headers: DataFrame, lines: DataFrame, full: bool = False) -> int:
-        """Changed order headers, and the lines of exactly those orders."""
-        mark = None if full else self._mark("orders").get("watermark_updated_on")
-        changed = changed_since(headers, "updated_on", mark)
-        kind = "sweep" if mark else "backfill"
+    def reference(self, name: str, payloads: DataFrame) -> int:
+        """Replace a reference table by the items of its payloads."""
+        return self.reload(name, reference_rows(payloads, F.lit(self.now).cast("timestamp")))
+
+    def orders(self, headers: DataFrame, lines: DataFrame, full: bool = False, limit: int | None = None) -> int:
+        """Changed order headers, at most `limit` of them, and the lines of exactly those orders."""
+        changed, kind = self._changes("orders", headers, "updated_on", "order_id", full, limit)
         with self.store.staged("orders", changed) as batch:
-            high = watermarks(batch, None, "updated_on")
             count = self.store.upsert_staged("orders", batch)
             parents = batch.select("order_id").distinct()
             self.store.replace_children(
                 "order_rows", parents, lines.join(parents, "order_id", "left_semi")
             )
-        mark = _higher(self._mark("orders").get("watermark_updated_on"), high["time"])
-        return self._record("orders", kind, count, watermark_updated_on=mark)
+            return self._reached("orders", batch, "updated_on", "order_id", count, kind, limit)
 
     def pages(self, resource: str | Resource, pages: DataFrame, full: bool = False) -> int:
-        """Load the result pages of a searchable resource by its mode."""
+        """Load the result pages of a searchable resource by its mode.
+
+        Columns only ever join a table: one that is missing in these pages
+        stays, and so does the table's bucket count.
+        """
         r = _BY_NAME[resource] if isinstance(resource, str) else resource
         columns = page_columns(pages)
         if not columns:
             return self._record(r.name, r.mode, 0)
-        spec = TableSpec(r.name, table_schema_for(columns), snake_case(r.key))
-        self.store.register(spec)
+        found, key = table_schema_for(columns), snake_case(r.key)
+        known = self.store.specs.get(r.name) or TableSpec(r.name, found, key)
+        fresh = [f for f in found.fields if f.name not in known.schema.fieldNames()]
+        spec = self.store.register(replace(known, schema=T.StructType([*known.schema.fields, *fresh])))
         rows = page_rows(pages, columns, F.lit(self.now).cast("timestamp"))
         if r.mode == "full":
             return self.reload(r.name, rows)
         if r.mode == "id":
             return self.by_id(r.name, rows, full)
         column = snake_case(r.cursor)
-        mark = None if full else self._mark(r.name).get("watermark_updated_on")
+        mark = None if full else self.state(r.name).get("watermark_updated_on")
         kind = "full" if full else "updated"
         return self._upsert(r.name, changed_since(rows, column, mark), kind, spec.key, column)
 
-    def reconcile(self, name: str, source_ids: DataFrame) -> int:
+    def reconcile(self, name: str, source_ids: DataFrame) -> int | None:
         """Soft-delete live rows that are missing at the source.
 
-        Nothing happens when the source gave no ids, or when more than a fifth
-        of the live rows would go: both mean the source failed.
+        When the source gave no ids, or more than a fifth of the live rows
+        would go, the source has failed: nothing happens, the run is recorded
+        as refused and the result is None.
         """
         key = self.store.specs[name].key
         alive = self.store.read(name).filter(live()).select(key)
-        if source_ids.isEmpty():
-            return 0
         with self.store.scratch(alive.join(source_ids.select(key), key, "left_anti")) as gone:
-            if gone.count() > alive.count() * MAX_MISSING_SHARE:
-                return 0
-            return self.store.mark_deleted(name, gone, F.lit(self.now).cast("timestamp"))
+            missing, rows = gone.count(), alive.count()
+            if missing > rows * MAX_MISSING_SHARE or (rows and source_ids.isEmpty()):
+                self._record(name, "reconcile refused", missing)
+                return None
+            return self._record(name, "reconcile", self.store.mark_deleted(name, gone, F.lit(self.now).cast("timestamp")))
 
     def derived(self, name: str, fetched: DataFrame, to_rows: Callable[[DataFrame], DataFrame]) -> int:
         """Reload a snapshot table from fetched payloads, unless they are malformed."""

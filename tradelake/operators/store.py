@@ -1,18 +1,23 @@
 """Keyed tables on plain Parquet.
 
 A table is a set of bucket folders, a bucket being a hash of the clustering
-column. Every change writes new folders for the buckets it touches and then one
-small manifest naming the folders of the new version, so readers see the old or
-the new table and a failed or repeated job leaves nothing half done.
+column. Every change writes new folders for the buckets it touches and then
+publishes one small pointer file: written under another name, closed, and
+renamed without overwriting. So readers see the old or the new table, also after
+a job that was cut short, and of two writers one starts anew from the other's
+version. The pointer keeps the bucket count and the columns of the table, which
+a later declaration can add to but not take from.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import replace
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tradelake.operators.keyed import (
@@ -21,6 +26,9 @@ from tradelake.operators.keyed import (
 from tradelake.schemas import QUESTION_LOG, TABLES, TableSpec, conform
 
 BUCKET = "kb"
+#: How often a change starts anew after another writer's.
+TRIES = 5
+NOTHING = {"buckets": None, "schema": None, "folders": {}}
 
 
 class TableStore:
@@ -38,11 +46,11 @@ class TableStore:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(path))
 
-    def _manifest(self, name: str) -> tuple[int, dict[str, str]]:
-        """The current version and its bucket folders; (0, {}) for a new table."""
-        files = self._names(f"{self.root}/{name}/_manifest")
+    def _manifest(self, name: str) -> tuple[int, dict]:
+        """The current version and what it holds; (0, NOTHING) for a new table."""
+        files = [n for n in self._names(f"{self.root}/{name}/_manifest") if n.endswith(".json")]
         if not files:
-            return 0, {}
+            return 0, NOTHING
         stream = self._fs.open(self._path(f"{self.root}/{name}/_manifest/{files[-1]}"))
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -50,14 +58,26 @@ class TableStore:
             stream.close()
         return int(files[-1].split(".")[0]), json.loads(text)
 
-    def _commit(self, name: str, version: int, folders: dict[str, str]) -> None:
-        """Publish a version; fails if another writer published it first."""
-        path = self._path(f"{self.root}/{name}/_manifest/{version:010d}.json")
-        stream = self._fs.create(path, False)
+    def _commit(self, spec: TableSpec, version: int, folders: dict[str, str]) -> None:
+        """Publish a version; VersionTaken if another writer published it first."""
+        folder = f"{self.root}/{spec.name}/_manifest"
+        draft = self._path(f"{folder}/_{uuid.uuid4().hex}.draft")
+        stream = self._fs.create(draft, False)
         try:
-            stream.write(bytearray(json.dumps(folders).encode()))
+            holds = {"buckets": spec.buckets, "schema": spec.schema.jsonValue(), "folders": folders}
+            stream.write(bytearray(json.dumps(holds).encode()))
         finally:
             stream.close()
+        jvm = self.spark._jvm
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration())
+        no_options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(self._fs.makeQualified(draft), self._fs.makeQualified(self._path(f"{folder}/{version:010d}.json")), no_options)
+        except Py4JJavaError as e:
+            self._fs.delete(draft, False)
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                raise VersionTaken(f"{spec.name} version {version}") from e
+            raise
 
     # -- tables
 
@@ -66,12 +86,24 @@ class TableStore:
         self.specs[spec.name] = spec
         return spec
 
+    def spec(self, name: str) -> TableSpec:
+        """A declared table with the stored columns it leaves out and the stored bucket count."""
+        spec, (_, stored) = self.specs[name], self._manifest(name)
+        if stored["schema"] is None:
+            return spec
+        declared = {f.name: f.dataType for f in spec.schema.fields}
+        old = T.StructType.fromJson(stored["schema"]).fields
+        if clash := [f.name for f in old if declared.get(f.name, f.dataType) != f.dataType]:
+            raise ValueError(f"{name}: stored with another type: {clash}")
+        kept = [T.StructField(f.name, f.dataType) for f in old if f.name not in declared]
+        return replace(spec, schema=T.StructType([*spec.schema.fields, *kept]), buckets=stored["buckets"])
+
     def exists(self, name: str) -> bool:
         return self._manifest(name)[0] > 0
 
     def read(self, name: str) -> DataFrame:
         """The current version of a table."""
-        return self._scan(self.specs[name], list(self._manifest(name)[1].values()))
+        return self._scan(self.spec(name), list(self._manifest(name)[1]["folders"].values()))
 
     def _scan(self, spec: TableSpec, folders: list[str]) -> DataFrame:
         if not folders:
@@ -133,31 +165,35 @@ class TableStore:
     @contextmanager
     def staged(self, name: str, rows: DataFrame) -> Iterator[DataFrame]:
         """A batch for a table as scratch, typed and checked."""
-        with self.scratch(self._typed(self.specs[name], rows)) as batch:
+        with self.scratch(self._typed(self.spec(name), rows)) as batch:
             yield batch
 
     def _change(
         self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame]
     ) -> None:
         """Apply a change to the buckets that hold `keys`, and to no others."""
-        spec = self.specs[name]
-        version, folders = self._manifest(name)
-        # At most spec.buckets numbers reach the driver.
-        touched = {str(r[0]) for r in keys.select(self._bucket(spec)).distinct().collect()}
-        if not touched:
-            return
-        old = self._scan(spec, [f for b, f in folders.items() if b in touched])
-        new = self._write(spec, version + 1, change(old))
-        kept = {b: f for b, f in folders.items() if b not in touched}
-        self._commit(name, version + 1, {**kept, **new})
+        for left in reversed(range(TRIES)):
+            spec, (version, stored) = self.spec(name), self._manifest(name)
+            # At most spec.buckets numbers reach the driver.
+            touched = {str(r[0]) for r in keys.select(self._bucket(spec)).distinct().collect()}
+            if not touched:
+                return
+            old = self._scan(spec, [f for b, f in stored["folders"].items() if b in touched])
+            new = self._write(spec, version + 1, change(old))
+            kept = {b: f for b, f in stored["folders"].items() if b not in touched}
+            try:
+                return self._commit(spec, version + 1, {**kept, **new})
+            except VersionTaken:
+                if not left:
+                    raise
 
     # -- writes
 
     def truncate_load(self, name: str, rows: DataFrame) -> int:
-        """Replace the whole table; an empty frame empties it."""
-        spec = self.specs[name]
+        """Replace the whole table, in as many buckets as declared; an empty frame empties it."""
+        spec = replace(self.spec(name), buckets=self.specs[name].buckets)
         version = self._manifest(name)[0] + 1
-        self._commit(name, version, self._write(spec, version, self._typed(spec, rows)))
+        self._commit(spec, version, self._write(spec, version, self._typed(spec, rows)))
         return self.read(name).count()
 
     def upsert(self, name: str, rows: DataFrame, tie_break: tuple[str, ...] = ()) -> int:
@@ -166,13 +202,18 @@ class TableStore:
             return self.upsert_staged(name, batch, tie_break)
 
     def upsert_staged(self, name: str, batch: DataFrame, tie_break: tuple[str, ...] = ()) -> int:
-        spec = self.specs[name]
+        spec = self.spec(name)
+        if not spec.unique:
+            raise ValueError(f"{name}.{spec.key} does not tell rows apart: replace the rows of a parent instead")
         count = batch.count()
         if count:
             newest = latest_per_key(batch, spec.key, spec.order_col, tie_break)
             # A child table is clustered by its parent, so the old row of a key
-            # may lie in a bucket the new one does not: look in all of them.
-            keys = batch if spec.cluster_column == spec.key else batch.unionByName(self.read(name))
+            # may lie in a bucket the new one does not: those buckets change too.
+            keys = batch.select(spec.cluster_column)
+            if spec.cluster_column != spec.key:
+                old = self.read(name).join(batch.select(spec.key), spec.key, "left_semi")
+                keys = keys.unionAll(old.select(spec.cluster_column))
             self._change(name, keys, lambda old: upserted(old, batch, newest, spec.key))
         return count
 
@@ -207,16 +248,16 @@ class TableStore:
         version = self._manifest(name)[0] + 1
         folder = f"v{version}-{uuid.uuid4().hex[:8]}"
         write(f"{self.root}/{name}/{folder}")
-        self._commit(name, version, {"all": folder})
+        self._commit(TableSpec(name, T.StructType(), ""), version, {"all": folder})
 
     def published(self, name: str) -> str:
         """The current folder of a table made by `publish`."""
-        return f"{self.root}/{name}/{self._manifest(name)[1]['all']}"
+        return f"{self.root}/{name}/{self._manifest(name)[1]["folders"]["all"]}"
 
     def drop_old_versions(self, name: str) -> int:
         """Delete bucket folders the current version does not use. Only for quiet
         tables: a running reader or writer of an older version would lose files."""
-        used = set(self._manifest(name)[1].values())
+        used = set(self._manifest(name)[1]["folders"].values())
         dropped = 0
         for folder in self._names(f"{self.root}/{name}"):
             for bucket in self._names(f"{self.root}/{name}/{folder}"):
@@ -226,23 +267,32 @@ class TableStore:
         return dropped
 
 
-# How much text a log entry keeps.
+# How much of its texts the short view of a log shows.
 ARGUMENT_CHARS = 2000
 DETAIL_CHARS = 500
 
 
 def append_log(entries: DataFrame, path: str) -> None:
-    """Append entries to the question log; long texts are cut."""
-    df = conform(entries, QUESTION_LOG)
-    df.withColumn("arguments", F.substring("arguments", 1, ARGUMENT_CHARS)).withColumn(
-        "detail", F.substring("detail", 1, DETAIL_CHARS)
-    ).write.mode("append").parquet(path)
+    """Append entries to the question log, texts in full."""
+    conform(entries, QUESTION_LOG).write.mode("append").parquet(path)
+
+
+def short_log(log: DataFrame) -> DataFrame:
+    """A log for display: long texts are cut, and two columns give their full lengths."""
+    return log.withColumns({
+        "arguments": F.substring("arguments", 1, ARGUMENT_CHARS), "argument_chars": F.length("arguments"),
+        "detail": F.substring("detail", 1, DETAIL_CHARS), "detail_chars": F.length("detail"),
+    })
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUESTION_LOG).parquet(path)
 
 
+class VersionTaken(RuntimeError):
+    """Another writer published this version of a table first."""
+
+
 class MalformedPayload(ValueError):
     """A payload has a shape that must not be taken for an empty one."""
 
@@ -275,6 +325,12 @@ def usable_payloads(
 def replace_snapshot(
     store: TableStore, name: str, fetched: DataFrame, to_rows: Callable[[DataFrame], DataFrame]
 ) -> tuple[int, DataFrame]:
-    """Load a snapshot table from fetched payloads; the old one stays on failure."""
-    usable, rejects = usable_payloads(fetched)
+    """Load a snapshot table from fetched payloads; the old one stays on failure.
+
+    The payloads are written first, so what was checked is what is loaded. The
+    rejects are rows of that copy, which stays in the work folder.
+    """
+    folder = f"{store.root}/_fetched/{name}-{uuid.uuid4().hex}"
+    fetched.write.parquet(folder)
+    usable, rejects = usable_payloads(store.spark.read.schema(fetched.schema).parquet(folder))
     return store.truncate_load(name, to_rows(usable)), rejects

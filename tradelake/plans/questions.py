@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
@@ -14,7 +14,9 @@ from tradelake.plans.views import inventory_position, po_pipeline, sales_unified
 
 Tables = Mapping[str, DataFrame]
 
-# How many rows an answer may show.
+# How many rows an answer shows unless asked for more. Each
+# question takes the number as a parameter; `answer` tells whether rows were
+# left out.
 MAX_ROWS = 200
 STOCK_ROWS = 100
 CUSTOMER_ROWS = 50
@@ -22,6 +24,12 @@ CUSTOMER_ROWS = 50
 SOURCES = ("all", "current", "legacy")
 
 
+def _rows(n: int) -> int:
+    if n < 1:
+        raise ValueError(f"at least one row must be asked for, not {n}")
+    return n
+
+
 def _dimensions() -> dict[str, Column]:
     return {
         "month": F.date_format("order_date", "yyyy-MM"),
@@ -48,9 +56,12 @@ def query_sales(
         raise ValueError(f"group_by must be one of {list(dimensions)}")
     if source not in SOURCES:
         raise ValueError(f"source must be one of {list(SOURCES)}")
-    sales = sales_unified(tables).filter(
-        F.col("order_date").between(F.lit(start_date).cast("date"), F.lit(end_date).cast("date"))
-    )
+    first, last = (F.lit(d).cast("date") for d in (start_date, end_date))
+    history = tables["legacy_sales"]
+    if "order_month" in history.columns:  # stored by month: only the folders of the range are read
+        months = F.col("order_month").between(F.trunc(first, "month"), F.trunc(last, "month"))
+        tables = {**tables, "legacy_sales": history.filter(months)}
+    sales = sales_unified(tables).filter(F.col("order_date").between(first, last))
     if source != "all":
         sales = sales.filter(F.col("source") == source)
     return (
@@ -61,11 +72,13 @@ def query_sales(
             F.count_distinct("order_ref").alias("orders"),
         )
         .orderBy(F.desc("revenue"), F.asc(group_by))
-        .limit(max(1, min(top_n, MAX_ROWS)))
+        .limit(_rows(top_n))
     )
 
 
-def get_stock_levels(tables: Tables, search: str, warehouse_id: int | None = None) -> DataFrame:
+def get_stock_levels(
+    tables: Tables, search: str, warehouse_id: int | None = None, max_rows: int = STOCK_ROWS
+) -> DataFrame:
     """Stock of products whose SKU, name, collection or pattern holds a term."""
     stock = inventory_position(tables).filter(
         any_column_like(search, "sku", "name", "collection", "pattern")
@@ -74,7 +87,7 @@ def get_stock_levels(tables: Tables, search: str, warehouse_id: int | None = Non
         stock = stock.filter(F.col("warehouse_id") == warehouse_id)
     return (
         stock.orderBy("sku", "warehouse_id", "product_id")
-        .limit(STOCK_ROWS)
+        .limit(_rows(max_rows))
         .select(
             "product_id", "sku", "name", "collection", "pattern", "size", "unit_of_measure",
             "warehouse_name", "on_hand", "allocated", "in_stock", "on_order",
@@ -83,7 +96,9 @@ def get_stock_levels(tables: Tables, search: str, warehouse_id: int | None = Non
     )
 
 
-def search_customers(tables: Tables, query: str, as_of: Column | None = None) -> DataFrame:
+def search_customers(
+    tables: Tables, query: str, as_of: Column | None = None, max_rows: int = CUSTOMER_ROWS
+) -> DataFrame:
     """Customers matching a text, with lifetime figures over both eras.
 
     Only the matched customers' orders meet the order lines. Two flags stand
@@ -130,11 +145,11 @@ def search_customers(tables: Tables, query: str, as_of: Column | None = None) ->
             F.coalesce("sources", F.lit("")).alias("sources"),
         )
         .orderBy(F.desc_nulls_last("lifetime_value"), "contact_id")
-        .limit(CUSTOMER_ROWS)
+        .limit(_rows(max_rows))
     )
 
 
-def get_po_pipeline(tables: Tables, supplier: str | None = None) -> DataFrame:
+def get_po_pipeline(tables: Tables, supplier: str | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
     """Lines of open purchase orders, newest first."""
     lines = po_pipeline(tables).filter(still_open())
     if supplier:
@@ -145,7 +160,7 @@ def get_po_pipeline(tables: Tables, supplier: str | None = None) -> DataFrame:
             F.desc("placed_on"), "order_id", "order_row_id", "product_sku", "quantity",
             "row_net", "unit_cost",
         )
-        .limit(MAX_ROWS)
+        .limit(_rows(max_rows))
         .select(
             "order_id", "reference", "supplier_name", "order_status_name", "placed_on",
             "warehouse_name", "product_sku", "product_name", "quantity", "unit_cost", "row_net",
@@ -184,9 +199,12 @@ def get_schema(spark: SparkSession, tables: Tables) -> DataFrame:
     )
 
 
-def answer(df: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[Row], bool]:
-    """The rows to show and whether more exist. Never fetches more than one extra."""
-    rows = df.limit(max_rows + 1).collect()
+def answer(question: Callable[[int], DataFrame], max_rows: int = MAX_ROWS) -> tuple[list[Row], bool]:
+    """The rows to show and whether more exist. Never fetches more than one extra.
+
+    `question` makes the frame for a number of rows, so the extra one is asked for too.
+    """
+    rows = question(max_rows + 1).limit(max_rows + 1).collect()
     return rows[:max_rows], len(rows) > max_rows
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -9,17 +10,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tradelake.functions.times import instant
 
-ID, TEXT, FLAG, TIME, DAY = T.LongType(), T.StringType(), T.BooleanType(), T.TimestampType(), T.DateType()
-NUMBER = T.DecimalType(38, 9)
+
+_TYPES = {
+    "BIGINT": T.LongType(),
+    "STRING": T.StringType(),
+    "BOOLEAN": T.BooleanType(),
+    "TIMESTAMP": T.TimestampType(),
+    "DATE": T.DateType(),
+    "DECIMAL(38,9)": T.DecimalType(38, 9),
+}
 
 
-def table_schema(*groups: tuple[T.DataType, str]) -> T.StructType:
-    """Build a schema from (type, "name name! ...") groups; "!" marks NOT NULL."""
-    fields = []
-    for data_type, names in groups:
-        for name in names.split():
-            fields.append(T.StructField(name.rstrip("!"), data_type, not name.endswith("!")))
-    return T.StructType(fields)
+def table_schema(ddl: str) -> T.StructType:
+    """A schema from "name TYPE [NOT NULL], ..."; works before a session exists."""
+    fields = [re.split(r"\s+", part.strip(), maxsplit=2) for part in re.split(r",\s+", ddl.strip())]
+    return T.StructType([T.StructField(name, _TYPES[kind], not rest) for name, kind, *rest in fields])
 
 
 @dataclass(frozen=True)
@@ -28,7 +33,10 @@ class TableSpec:
 
     `cluster_by` is the column writes look rows up by: the key itself, or the
     parent's key for child tables. `buckets` sets how many directories the
-    table is split into, so a small write touches few of them.
+    table is split into, so a small write touches few of them; a stored table
+    keeps the count it was written with. Tables whose rows the key does not
+    tell apart are not `unique`: they can be loaded whole or replaced by
+    parent, not upserted.
     """
 
     name: str
@@ -37,85 +45,196 @@ class TableSpec:
     cluster_by: str = ""
     order_col: str = "when_upserted"
     buckets: int = 8
+    unique: bool = True
 
     @property
     def cluster_column(self) -> str:
         return self.cluster_by or self.key
 
 
-ORDERS = table_schema(
-    (ID, "order_id! parent_order_id"), (TEXT, "order_type_code reference"),
-    (ID, "order_status_id"),
-    (TEXT, "order_status_name order_payment_status stock_status_code "
-           "allocation_status_code shipping_status_code"),
-    (TIME, "placed_on created_on updated_on closed_on"),
-    (ID, "customer_contact_id"),
-    (TEXT, "customer_company_name customer_email delivery_state delivery_postal_code "
-           "delivery_country_iso"),
-    (ID, "warehouse_id channel_id lead_source_id staff_owner_contact_id"),
-    (TEXT, "currency_code"),
-    (NUMBER, "exchange_rate total_net total_tax total base_total_net base_total"),
-    (TEXT, "invoice_reference"), (ID, "price_list_id"), (FLAG, "historical_order is_deleted"),
-    (TIME, "deleted_at"), (TEXT, "raw_payload"), (TIME, "when_upserted!"),
-)
-
-ORDER_ROWS = table_schema(
-    (ID, "order_row_id! order_id! row_sequence product_id"), (TEXT, "product_name product_sku"),
-    (NUMBER, "quantity item_cost product_price discount_percentage row_net row_tax tax_rate"),
-    (TEXT, "tax_code nominal_code"), (FLAG, "bundle_parent bundle_child"),
-    (ID, "parent_order_row_id"), (TEXT, "product_options"),
-    (TIME, "order_updated_on when_upserted!"),
-)
-
-PRODUCTS = table_schema(
-    (ID, "product_id!"), (TEXT, "sku barcode name status"),
-    (ID, "brand_id product_type_id product_group_id"), (FLAG, "stock_tracked"),
-    (NUMBER, "weight"), (FLAG, "is_bundle"),
-    (TEXT, "nominal_code_sales nominal_code_purchases nominal_code_stock"),
-    (TIME, "created_on updated_on"), (FLAG, "is_deleted"), (TIME, "deleted_at"),
-    (TEXT, "raw_payload"), (TIME, "when_upserted!"),
-)
-
-CONTACTS = table_schema(
-    (ID, "contact_id!"), (TEXT, "first_name last_name email telephone"), (ID, "company_id"),
-    (TEXT, "organisation_name"), (FLAG, "is_supplier is_staff"),
-    (ID, "price_list_id credit_term_days currency_id"), (TEXT, "contact_tags"),
-    (TIME, "created_on updated_on last_contacted_on"), (FLAG, "is_deleted"),
-    (TIME, "deleted_at"), (TEXT, "raw_payload"), (TIME, "when_upserted!"),
-)
-
-SYNC_STATE = table_schema(
-    (TEXT, "resource!"), (TIME, "watermark_updated_on"), (ID, "watermark_id"),
-    (TIME, "last_run_at"), (TEXT, "last_run_kind"), (ID, "last_run_rows"),
-)
-
-PRODUCT_PRICES = table_schema(
-    (ID, "product_id! price_list_id!"), (NUMBER, "price"), (TEXT, "quantity_prices"),
-    (TIME, "when_upserted!"),
-)
-
-PRODUCT_SUPPLIERS = table_schema(
-    (ID, "product_id! supplier_contact_id!"), (FLAG, "is_primary"), (TIME, "when_upserted!"),
-)
-
-PRODUCT_AVAILABILITY = table_schema(
-    (ID, "product_id! warehouse_id"), (NUMBER, "on_hand allocated in_stock on_order"),
-    (TIME, "when_upserted!"),
-)
-
-REFERENCE_ITEMS = table_schema((TEXT, "id name raw_payload"), (TIME, "when_upserted!"))
-
-LEGACY_SALES = table_schema(
-    (TEXT, "source_order_id! source_line_id line_uid!"), (DAY, "order_date!"),
-    (TEXT, "order_status"), (ID, "customer_id"),
-    (TEXT, "customer_email customer_company ship_state channel"), (ID, "product_id"),
-    (TEXT, "sku product_name unit_of_measure"), (NUMBER, "quantity line_net"),
-    (TEXT, "raw_payload"), (TIME, "when_upserted!"),
-)
-
-QUESTION_LOG = table_schema(
-    (TIME, "called_at!"), (TEXT, "tool! arguments"), (FLAG, "ok"), (TEXT, "detail user_email"),
-)
+# The columns of the tables, their order and types.
+
+ORDERS = table_schema("""
+    order_id BIGINT NOT NULL,
+    parent_order_id BIGINT,
+    order_type_code STRING,
+    reference STRING,
+    order_status_id BIGINT,
+    order_status_name STRING,
+    order_payment_status STRING,
+    stock_status_code STRING,
+    allocation_status_code STRING,
+    shipping_status_code STRING,
+    placed_on TIMESTAMP,
+    created_on TIMESTAMP,
+    updated_on TIMESTAMP,
+    closed_on TIMESTAMP,
+    customer_contact_id BIGINT,
+    customer_company_name STRING,
+    customer_email STRING,
+    delivery_state STRING,
+    delivery_postal_code STRING,
+    delivery_country_iso STRING,
+    warehouse_id BIGINT,
+    channel_id BIGINT,
+    lead_source_id BIGINT,
+    staff_owner_contact_id BIGINT,
+    currency_code STRING,
+    exchange_rate DECIMAL(38,9),
+    total_net DECIMAL(38,9),
+    total_tax DECIMAL(38,9),
+    total DECIMAL(38,9),
+    base_total_net DECIMAL(38,9),
+    base_total DECIMAL(38,9),
+    invoice_reference STRING,
+    price_list_id BIGINT,
+    historical_order BOOLEAN,
+    is_deleted BOOLEAN,
+    deleted_at TIMESTAMP,
+    raw_payload STRING,
+    when_upserted TIMESTAMP NOT NULL
+""")
+
+ORDER_ROWS = table_schema("""
+    order_row_id BIGINT NOT NULL,
+    order_id BIGINT NOT NULL,
+    row_sequence BIGINT,
+    product_id BIGINT,
+    product_name STRING,
+    product_sku STRING,
+    quantity DECIMAL(38,9),
+    item_cost DECIMAL(38,9),
+    product_price DECIMAL(38,9),
+    discount_percentage DECIMAL(38,9),
+    row_net DECIMAL(38,9),
+    row_tax DECIMAL(38,9),
+    tax_rate DECIMAL(38,9),
+    tax_code STRING,
+    nominal_code STRING,
+    bundle_parent BOOLEAN,
+    bundle_child BOOLEAN,
+    parent_order_row_id BIGINT,
+    product_options STRING,
+    order_updated_on TIMESTAMP,
+    when_upserted TIMESTAMP NOT NULL
+""")
+
+PRODUCTS = table_schema("""
+    product_id BIGINT NOT NULL,
+    sku STRING,
+    barcode STRING,
+    name STRING,
+    status STRING,
+    brand_id BIGINT,
+    product_type_id BIGINT,
+    product_group_id BIGINT,
+    stock_tracked BOOLEAN,
+    weight DECIMAL(38,9),
+    is_bundle BOOLEAN,
+    nominal_code_sales STRING,
+    nominal_code_purchases STRING,
+    nominal_code_stock STRING,
+    created_on TIMESTAMP,
+    updated_on TIMESTAMP,
+    is_deleted BOOLEAN,
+    deleted_at TIMESTAMP,
+    raw_payload STRING,
+    when_upserted TIMESTAMP NOT NULL
+""")
+
+CONTACTS = table_schema("""
+    contact_id BIGINT NOT NULL,
+    first_name STRING,
+    last_name STRING,
+    email STRING,
+    telephone STRING,
+    company_id BIGINT,
+    organisation_name STRING,
+    is_supplier BOOLEAN,
+    is_staff BOOLEAN,
+    price_list_id BIGINT,
+    credit_term_days BIGINT,
+    currency_id BIGINT,
+    contact_tags STRING,
+    created_on TIMESTAMP,
+    updated_on TIMESTAMP,
+    last_contacted_on TIMESTAMP,
+    is_deleted BOOLEAN,
+    deleted_at TIMESTAMP,
+    raw_payload STRING,
+    when_upserted TIMESTAMP NOT NULL
+""")
+
+SYNC_STATE = table_schema("""
+    resource STRING NOT NULL,
+    watermark_updated_on TIMESTAMP,
+    watermark_id BIGINT,
+    last_run_at TIMESTAMP,
+    last_run_kind STRING,
+    last_run_rows BIGINT
+""")
+
+PRODUCT_PRICES = table_schema("""
+    product_id BIGINT NOT NULL,
+    price_list_id BIGINT NOT NULL,
+    price DECIMAL(38,9),
+    quantity_prices STRING,
+    when_upserted TIMESTAMP NOT NULL
+""")
+
+PRODUCT_SUPPLIERS = table_schema("""
+    product_id BIGINT NOT NULL,
+    supplier_contact_id BIGINT NOT NULL,
+    is_primary BOOLEAN,
+    when_upserted TIMESTAMP NOT NULL
+""")
+
+PRODUCT_AVAILABILITY = table_schema("""
+    product_id BIGINT NOT NULL,
+    warehouse_id BIGINT,
+    on_hand DECIMAL(38,9),
+    allocated DECIMAL(38,9),
+    in_stock DECIMAL(38,9),
+    on_order DECIMAL(38,9),
+    when_upserted TIMESTAMP NOT NULL
+""")
+
+REFERENCE_ITEMS = table_schema("""
+    id STRING,
+    name STRING,
+    raw_payload STRING,
+    when_upserted TIMESTAMP NOT NULL
+""")
+
+LEGACY_SALES = table_schema("""
+    source_order_id STRING NOT NULL,
+    source_line_id STRING,
+    line_uid STRING NOT NULL,
+    order_date DATE NOT NULL,
+    order_status STRING,
+    customer_id BIGINT,
+    customer_email STRING,
+    customer_company STRING,
+    ship_state STRING,
+    channel STRING,
+    product_id BIGINT,
+    sku STRING,
+    product_name STRING,
+    unit_of_measure STRING,
+    quantity DECIMAL(38,9),
+    line_net DECIMAL(38,9),
+    raw_payload STRING,
+    when_upserted TIMESTAMP NOT NULL
+""")
+
+QUESTION_LOG = table_schema("""
+    called_at TIMESTAMP NOT NULL,
+    tool STRING NOT NULL,
+    arguments STRING,
+    ok BOOLEAN,
+    detail STRING,
+    user_email STRING
+""")
 
 TABLES = {
     spec.name: spec
@@ -125,9 +244,9 @@ TABLES = {
         TableSpec("products", PRODUCTS, "product_id"),
         TableSpec("contacts", CONTACTS, "contact_id"),
         TableSpec("sync_state", SYNC_STATE, "resource", order_col="last_run_at", buckets=1),
-        TableSpec("product_prices", PRODUCT_PRICES, "product_id"),
-        TableSpec("product_suppliers", PRODUCT_SUPPLIERS, "product_id"),
-        TableSpec("product_availability", PRODUCT_AVAILABILITY, "product_id"),
+        TableSpec("product_prices", PRODUCT_PRICES, "product_id", unique=False),
+        TableSpec("product_suppliers", PRODUCT_SUPPLIERS, "product_id", unique=False),
+        TableSpec("product_availability", PRODUCT_AVAILABILITY, "product_id", unique=False),
     )
 }
 
@@ -206,9 +325,11 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     for field in schema.fields:
         if field.name not in have:
             value = F.lit(None).cast(field.dataType)
-        elif field.dataType == TIME and have[field.name] == TEXT:
+        elif field.dataType == T.TimestampType() and have[field.name] == T.StringType():
             value = instant(F.col(field.name))
         else:
             value = F.col(field.name).cast(field.dataType)
         columns.append(value.alias(field.name))
     return df.select(*columns)
+
+TABLES.update({r.name: TableSpec(r.name, REFERENCE_ITEMS, "id") for r in RESOURCES if r.kind == "reference"})

@@ -14,10 +14,18 @@ results ARRAY<ARRAY<VARIANT>>
 
 
 def page_columns(pages: DataFrame, page: str = "page") -> list[tuple[str, str]]:
-    """The (name, type) list of a resource, from its first page."""
-    parsed = F.from_json(page, PAGE).getField("metaData").getField("columns")
-    row = pages.select(parsed.alias("c")).first()
-    return [(c["name"], c["reportDataType"]) for c in row["c"]] if row and row["c"] else []
+    """The (name, type) of every column that some page has, by name.
+
+    Only different columns come to the driver. One name with two types that
+    are stored differently is an error.
+    """
+    each = pages.select(F.explode(F.from_json(page, PAGE).getField("metaData").getField("columns")).alias("c"))
+    found = sorted((r["name"], r["reportDataType"]) for r in each.select("c.*").distinct().collect())
+    types: dict[str, str] = {}
+    for name, kind in found:
+        if column_type(types.setdefault(name, kind)) != column_type(kind):
+            raise ValueError(f"column {name} is {types[name]} on one page and {kind} on another")
+    return list(types.items())
 
 
 def table_schema_for(columns: list[tuple[str, str]]) -> T.StructType:
@@ -30,16 +38,20 @@ def table_schema_for(columns: list[tuple[str, str]]) -> T.StructType:
 def page_rows(
     pages: DataFrame, columns: list[tuple[str, str]], now: Column, page: str = "page"
 ) -> DataFrame:
-    """Typed rows of all pages.
+    """Typed rows of all pages, each read by its own page's column names.
 
-    A row shorter than the metadata leaves NULLs, a longer one is cut. Of two
-    columns with one name the last wins.
+    A row shorter than its page's names leaves NULLs, cells beyond the names
+    have none and go. Of two columns with one name the last wins.
     """
-    place = {name: (i, kind) for i, (name, kind) in enumerate(columns)}
-    cells = pages.select(F.explode(F.from_json(page, PAGE).getField("results")).alias("r"))
-    named = {
-        snake_case(name): coerce(F.get("r", F.lit(i)), kind) for name, (i, kind) in place.items()
-    }
+    read = pages.select(F.from_json(page, PAGE).alias("p"))
+    names = F.transform(F.col("p.metaData.columns"), lambda c: c["name"])
+    cells = read.select(F.reverse(names).alias("names"), F.explode("p.results").alias("r"))
+
+    def cell(name: str) -> Column:
+        back = F.array_position("names", name)  # from the end, 0: not on this page
+        return F.when(back > 0, F.get("r", (F.size("names") - back).cast("int")))
+
+    named = {snake_case(name): coerce(cell(name), kind) for name, kind in columns}
     return cells.select(
         *[c.alias(name) for name, c in named.items()], now.alias("when_upserted")
     )

@@ -6,7 +6,7 @@ never passes through a float and a value of the wrong type is an error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 ORDER = """
 id STRING, parentOrderId STRING, orderTypeCode STRING, reference STRING,
@@ -59,11 +59,25 @@ allocated: STRING, inStock: STRING, onOrder: STRING>>>>"""
 SUPPLIERS = "MAP<STRING, ARRAY<STRING>>"
 
 
-def read_payloads(spark: SparkSession, path: str, column: str = "raw_payload") -> DataFrame:
-    """Files of JSON lines as one text column, byte for byte."""
-    return spark.read.text(path).withColumnRenamed("value", column)
+def _objects(kind: T.DataType) -> set[str]:
+    """Names of the fields that hold an object."""
+    if isinstance(kind, T.StructType):
+        own = {f.name for f in kind.fields if isinstance(f.dataType, T.StructType | T.MapType)}
+        return own.union(*(_objects(f.dataType) for f in kind.fields))
+    if isinstance(kind, T.ArrayType):
+        return _objects(kind.elementType)
+    return _objects(kind.valueType) if isinstance(kind, T.MapType) else set()
 
 
 def parsed(text: Column, schema: str) -> Column:
-    """Parse strictly: a record that does not fit the shape fails the job."""
+    """Parse strictly: a record that does not fit the shape fails the job.
+
+    An empty list, an empty text, false or 0 where an object belongs is an
+    absent one. Quotes inside JSON texts are escaped, so only real field names
+    can match.
+    """
+    names = sorted(_objects(T._parse_datatype_string(schema)))
+    if names:
+        empty = rf"""(?<!\\)("(?:{'|'.join(names)})"\s*:\s*)(?:\[\s*\]|""|false|0(?![.0-9]))"""
+        text = F.regexp_replace(text, empty, "$1null")
     return F.from_json(text, schema, {"mode": "FAILFAST"})

@@ -103,16 +103,16 @@ SELECT l_partkey AS product_id, CAST(l_suppkey % 3 AS BIGINT) AS warehouse_id,
 FROM {lineitem} GROUP BY l_partkey, l_suppkey % 3
 """,
     "erp_warehouses": """
-SELECT CAST(r_regionkey AS BIGINT) AS id, concat('Warehouse ', r_name) AS name
-FROM {region} WHERE r_regionkey <> 2
+SELECT CASE WHEN r_regionkey = 2 THEN 102 ELSE CAST(r_regionkey AS BIGINT) END AS id, concat('Warehouse ', r_name) AS name
+FROM {region}
 """,
     "erp_brands": """
 SELECT CAST(n_nationkey AS BIGINT) AS brand_id, concat('Brand of ', n_name) AS brand_name FROM {nation}
 """,
     "erp_nominal_codes": """
-SELECT concat('4', CAST(n_nationkey AS STRING)) AS code, concat('Account ', n_name) AS name,
+SELECT concat(CASE WHEN n_nationkey < 8 THEN '4' ELSE '9' END, CAST(n_nationkey AS STRING)) AS code, concat('Account ', n_name) AS name,
   CASE WHEN n_regionkey = 0 THEN 'INCOME' WHEN n_regionkey = 1 THEN NULL ELSE 'EXPENSE' END AS type
-FROM {nation} WHERE n_nationkey < 8
+FROM {nation}
 """,
     "erp_product_suppliers": """
 SELECT DISTINCT l_partkey AS product_id, l_suppkey % 10 AS supplier_contact_id FROM {lineitem}
@@ -183,32 +183,18 @@ def _base_names(text: str) -> list[str]:
     return sorted(set(re.findall(r"(?<!\{)\{(\w+)\}", text)))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan over all cores, when it has fewer splits than there are.
-
-    A table in one small file is one split, and everything up to the next
-    shuffle would run in one task. Scans of large tables pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 class ErpTables(Mapping[str, DataFrame]):
-    """The ERP tables of one data folder; a table is read on first use.
-
-    `wide` is for jobs with much work per row: small tables are then spread.
-    """
+    """The ERP tables of one data folder; a table is read on first use."""
 
-    def __init__(self, spark: SparkSession, folder: str, wide: bool = False, **overrides: str):
-        self._spark, self._folder, self._wide = spark, folder, wide
+    def __init__(self, spark: SparkSession, folder: str, **overrides: str):
+        self._spark, self._folder = spark, folder
         self._adapters = {**VIEW_TABLES, **overrides}
         self._made: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
         key = f"base:{name}"
         if key not in self._made:
-            df = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
-            self._made[key] = spread(df) if self._wide else df
+            self._made[key] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
         return self._made[key]
 
     def __getitem__(self, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tradelake.functions.coerce import trimmed
 from tradelake.operators.projections import contact_rows, order_headers, order_lines, product_rows
 from tradelake.operators.store import TableStore
 
@@ -37,12 +38,20 @@ def read_events(spark: SparkSession, folder: str, files_per_batch: int | None =
 
 
 def event_ids(events: DataFrame) -> DataFrame:
-    """One row per id of a notice; tokens that are not digits are dropped."""
-    tokens = F.transform(F.split("id", ","), lambda t: F.trim(t))
+    """One row per id of a notice; tokens that are no ids are dropped (see `rejected_ids`)."""
+    return _tokens(events).filter(F.col("id").isNotNull()).drop("token")
+
+
+def rejected_ids(events: DataFrame) -> DataFrame:
+    """Tokens made of digits that no id can be, as (resource, event, token)."""
+    return _tokens(events).filter(F.col("id").isNull()).drop("id")
+
+
+def _tokens(events: DataFrame) -> DataFrame:
+    tokens = F.transform(F.split("id", ","), trimmed)
     digits = F.filter(tokens, lambda t: t.rlike("^[0-9]+$"))
-    return events.select("resource", "event", F.explode(digits).alias("id")).select(
-        "resource", "event", F.col("id").cast("bigint").alias("id")
-    )
+    return events.select("resource", "event", F.explode(digits).alias("token")).withColumn(
+        "id", F.col("token").try_cast("bigint"))
 
 
 def target_table(resource: Column) -> Column:

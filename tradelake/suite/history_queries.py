@@ -22,18 +22,18 @@ def _with_thousands(column: str):
     return F.format_number(F.col(column), 2)
 
 
-def write_files(t: ErpTables, path: str, damaged: bool = False) -> str:
+def write_files(t: ErpTables, path: str, damaged: bool = False, line_breaks: bool = False) -> str:
     """The legacy lines as CSV files, in the order of `_ORDER` within and across files.
 
-    Some lines have no product, some names hold quotes and line breaks, and
-    with `damaged` some cells are broken.
+    Some lines have no product, some names hold quotes (and line breaks, if
+    asked for), and with `damaged` some cells are broken.
     """
     quantity = F.col("quantity")
 
     def broken(n: int, value: str, otherwise):
         return F.when((quantity == n) & F.lit(damaged), value).otherwise(otherwise)
 
-    name = F.when(quantity == 2, F.concat("product_name", F.lit(', "wide"\nroll'))).otherwise(
+    name = F.when(quantity == 2, F.concat("product_name", F.lit(', "wide"' + ("\n" if line_breaks else " ") + "roll"))).otherwise(
         F.col("product_name")
     )
     cells = t["legacy_sales"].select(
@@ -57,9 +57,9 @@ def write_files(t: ErpTables, path: str, damaged: bool = False) -> str:
     return path
 
 
-def _records(spark: SparkSession, d: str, damaged: bool):
+def _records(spark: SparkSession, d: str, damaged: bool, line_breaks: bool = False):
     store = TableStore(spark, work_folder(spark, "history"))
-    path = write_files(ErpTables(spark, d), f"{store.root}/files", damaged)
+    path = write_files(ErpTables(spark, d), f"{store.root}/files", damaged, line_breaks)
     return store, path
 
 
@@ -72,8 +72,8 @@ def _load_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _month_partitioned_load(spark: SparkSession, d: str) -> DataFrame:
-    store, path = _records(spark, d, damaged=False)
-    history_csv.load_history(store, path, _now(), ALIASES)
+    store, path = _records(spark, d, damaged=False, line_breaks=True)
+    history_csv.load_history(store, path, _now(), ALIASES, quoted_newlines=True)
     rows = history_csv.read_by_month(store)
     return plain(
         rows.select(
@@ -135,8 +135,8 @@ SELECT CAST(CAST(date_trunc('month', order_date) AS DATE) AS VARCHAR) AS order_m
   CAST(sum(line_net) AS DOUBLE) AS line_net, count(*) AS line_count
 FROM erp_legacy_sales WHERE year(order_date) = 1996 GROUP BY 1"""),
     "legacy_rejects": with_adapters("erp_legacy_sales", select="""
-SELECT source_order_id, CASE CAST(quantity AS INT) WHEN 3 THEN 'line_net contains a spreadsheet error value'
-    WHEN 4 THEN 'customer_id is not an integer' WHEN 5 THEN 'order_date must be YYYY-MM-DD'
-    WHEN 6 THEN 'quantity is required but empty' END AS problems, count(*) AS records
+SELECT source_order_id, CASE CAST(quantity AS INT) WHEN 3 THEN 'line_net: spreadsheet error'
+    WHEN 4 THEN 'customer_id: no integer' WHEN 5 THEN 'order_date: no day'
+    WHEN 6 THEN 'quantity: empty' END AS problems, count(*) AS records
 FROM erp_legacy_sales WHERE quantity IN (3, 4, 5, 6) GROUP BY 1, 2"""),
 }

@@ -6,21 +6,21 @@ state, read back.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tradelake.operators import keyed, projections
 from tradelake.operators.incremental import Sync
-from tradelake.operators.state import (
-    RunBook, freshness_report, staleness, state_from_runs, status_listing,
-)
+from tradelake.operators.state import freshness_report, staleness, state_from_runs, status_listing
 from tradelake.operators.store import TableStore, append_log, read_log, replace_snapshot
-from tradelake.schemas import ID, NUMBER, TEXT, TIME, TableSpec, table_schema
+from tradelake.plans.views import sales_flat
+from tradelake.schemas import Resource, TableSpec, table_schema
 from tradelake.session import work_folder
 from tradelake.sources.testdata import ErpTables
 from tradelake.streaming import change_events
-from tradelake.suite import payload_queries as payloads
+from tradelake.suite import payload_queries as payloads, view_queries
 from tradelake.suite.common import TIME_TEXT, plain, sql_time, with_adapters
 
 RUN_TIME = datetime(2002, 1, 1)
@@ -28,8 +28,8 @@ NOW_TEXT = "2002-01-01 00:00:00"
 
 LINES = TableSpec(
     "lines",
-    table_schema((ID, "order_row_id! order_id product_id"), (NUMBER, "quantity row_net"),
-                 (TIME, "when_upserted!")),
+    table_schema("order_row_id BIGINT NOT NULL, order_id BIGINT, product_id BIGINT, quantity DECIMAL(38,9), row_net DECIMAL(38,9), "
+                 "when_upserted TIMESTAMP NOT NULL"),
     "order_row_id",
 )
 TIES = ("product_id", "quantity", "row_net")
@@ -47,7 +47,7 @@ def _store(spark: SparkSession, purpose: str) -> TableStore:
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return ErpTables(spark, d, wide=True)["order_rows"].select(*LINES.schema.fieldNames())
+    return ErpTables(spark, d)["order_rows"].select(*LINES.schema.fieldNames())
 
 
 def _latest_per_key(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def _upsert_small_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _replace_children(spark: SparkSession, d: str) -> DataFrame:
-    store, t = _store(spark, "replace-children"), ErpTables(spark, d, wide=True)
+    store, t = _store(spark, "replace-children"), ErpTables(spark, d)
     store.truncate_load("order_rows", t["order_rows"])
     parents = t["orders"].filter("order_payment_status = 'UNPAID'").select("order_id")
     rows = t["order_rows"].filter("quantity >= 25").join(parents, "order_id", "left_semi")
@@ -95,7 +95,7 @@ def _replace_children(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _soft_delete(spark: SparkSession, d: str) -> DataFrame:
-    store, orders = _store(spark, "soft-delete"), ErpTables(spark, d, wide=True)["orders"]
+    store, orders = _store(spark, "soft-delete"), ErpTables(spark, d)["orders"]
     store.truncate_load("orders", orders)
     store.mark_deleted("orders", orders.filter("order_status_name = 'Cancelled'"), _now())
     return plain(store.read("orders").select("order_id", "order_status_name", "is_deleted", "deleted_at"))
@@ -106,7 +106,7 @@ def _contacts(t: ErpTables) -> DataFrame:
 
 
 def _truncate_load(spark: SparkSession, d: str) -> DataFrame:
-    store, contacts = _store(spark, "truncate-load"), _contacts(ErpTables(spark, d, wide=True))
+    store, contacts = _store(spark, "truncate-load"), _contacts(ErpTables(spark, d))
     store.truncate_load("contacts", contacts)
     store.truncate_load("contacts", contacts.filter("email IS NOT NULL"))
     return plain(store.read("contacts").select("contact_id", "last_name", "email", "telephone", "is_deleted"))
@@ -116,20 +116,66 @@ def _additive_columns(spark: SparkSession, d: str) -> DataFrame:
     """A table gains a column: rows written before read NULL there."""
     store, lines = _store(spark, "additive-columns"), _lines(spark, d)
     store.truncate_load("lines", keyed.latest_per_key(lines, "order_row_id", "when_upserted", TIES))
-    wider = table_schema((ID, "order_row_id! order_id product_id"), (NUMBER, "quantity row_net"),
-                         (TIME, "when_upserted!"), (TEXT, "note"))
+    wider = table_schema("note STRING").fields
+    wider = T.StructType([*LINES.schema.fields, *wider])
     store.register(TableSpec("lines", wider, "order_row_id"))
     late = lines.filter(F.col("when_upserted") >= F.lit(SMALL_FROM).cast("timestamp"))
     store.upsert("lines", late.withColumn("note", F.lit("late")), TIES)
     return plain(store.read("lines"))
 
 
+def _rebucketed_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """All keys twice, declared with another bucket count in between."""
+    store, lines = _store(spark, "rebucketed"), _lines(spark, d)
+    store.upsert("lines", lines.filter(F.col("when_upserted") < F.lit(SMALL_FROM).cast("timestamp")), TIES)
+    store.register(replace(LINES, buckets=16))
+    store.upsert("lines", lines, TIES)
+    return plain(store.read("lines"))
+
+
+def _limited_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of a limited size, until one has caught up: every order is there."""
+    store, orders = _store(spark, "limited"), ErpTables(spark, d)["orders"]
+    sync = Sync(store, RUN_TIME)
+    limit = orders.count() // 3 + 1
+    while sync.by_updated("orders", orders, limit=limit) >= limit:
+        pass
+    return plain(store.read("orders").select("order_id", "reference", "updated_on"))
+
+
+def _pages_come_and_go(spark: SparkSession, d: str) -> DataFrame:
+    """Two loads of pages, the second of other keys and without one of the columns."""
+    store, t = _store(spark, "pages"), ErpTables(spark, d)
+    rows = t.base("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"))
+    sync = Sync(store, RUN_TIME)
+    meta = '{"metaData": {"columns": [{"name": "brandId", "reportDataType": "INTEGER"}%s]}, "results": ['
+    name = ', {"name": "brandName", "reportDataType": "STRING"}'
+    cells = F.to_json(F.array(F.col("k").cast("string"), "n"))
+    pages = rows.groupBy(F.floor(F.col("k") / 50).alias("page"), (F.col("k") % 2).alias("odd"))
+    full = pages.agg(F.concat(F.lit(meta % name), F.array_join(F.collect_list(cells), ","), F.lit("]}")).alias("page_text"))
+    bare = pages.agg(F.concat(F.lit(meta % ""), F.array_join(F.collect_list(F.concat(F.lit('["'), "k", F.lit('"]'))), ","), F.lit("]}")).alias("page_text"))
+    brands = Resource("brands", "search", "brandId", "id", "brandId", "warm")
+    sync.pages(brands, full.filter("odd = 0").select(F.col("page_text").alias("page")), full=True)
+    sync.pages(brands, bare.filter("odd = 1").select(F.col("page_text").alias("page")), full=True)
+    return plain(store.read("brands").select("brand_id", "brand_name"))
+
+
+def _reference_to_channels(spark: SparkSession, d: str) -> DataFrame:
+    """Channels loaded from a reference payload, and the sales view over the loaded table."""
+    store, t = _store(spark, "reference"), ErpTables(spark, d)
+    items = t["channels"].select(F.to_json(F.struct(F.col("id").alias("id"), F.col("name").alias("name"))).alias("item"))
+    payload = items.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("item")), ","), F.lit("]")).alias("payload"))
+    Sync(store, RUN_TIME).reference("channels", payload)
+    sales = sales_flat({**t, "channels": store.read("channels")})
+    return plain(sales)
+
+
 def _reconcile(at_least: int):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        store, t = _store(spark, "reconcile"), ErpTables(spark, d, wide=True)
+        store, t = _store(spark, "reconcile"), ErpTables(spark, d)
         store.truncate_load("contacts", _contacts(t))
         source = t.base("customer").filter(F.col("c_acctbal") >= at_least)
-        sync = Sync(store, RunBook(store), RUN_TIME)
+        sync = Sync(store, RUN_TIME)
         sync.reconcile("contacts", source.select(F.col("c_custkey").alias("contact_id")))
         return plain(store.read("contacts").select("contact_id", "is_deleted", "deleted_at"))
 
@@ -137,36 +183,34 @@ def _reconcile(at_least: int):
 
 
 NOTICES = TableSpec(
-    "notices", table_schema((ID, "event_id!"), (TEXT, "resource event"), (TIME, "when_upserted!")),
+    "notices", table_schema("event_id BIGINT NOT NULL, resource STRING, event STRING, when_upserted TIMESTAMP NOT NULL"),
     "event_id",
 )
 
 
-def _synced_by_id(spark: SparkSession, d: str) -> tuple[TableStore, RunBook]:
+def _synced_by_id(spark: SparkSession, d: str) -> TableStore:
     store = _store(spark, "incremental-id")
     store.register(NOTICES)
-    events = ErpTables(spark, d, wide=True)["change_events"].withColumn("when_upserted", F.col("ts").cast("timestamp"))
-    book = RunBook(store)
-    sync = Sync(store, book, RUN_TIME)
+    events = ErpTables(spark, d)["change_events"].withColumn("when_upserted", F.col("ts").cast("timestamp"))
+    sync = Sync(store, RUN_TIME)
     early = events.filter(F.col("when_upserted") < F.lit("2024-01-08").cast("timestamp"))
     sync.by_id("notices", early)
     sync.by_id("notices", events.withColumn("event", F.lit("second run")))
-    book.flush()
-    return store, book
+    sync.save()
+    return store
 
 
 def _incremental_by_id(spark: SparkSession, d: str) -> DataFrame:
-    return plain(_synced_by_id(spark, d)[0].read("notices"))
+    return plain(_synced_by_id(spark, d).read("notices"))
 
 
 def _incremental_state(spark: SparkSession, d: str) -> DataFrame:
-    return plain(_synced_by_id(spark, d)[0].read("sync_state"))
+    return plain(_synced_by_id(spark, d).read("sync_state"))
 
 
 def _incremental_by_updated(spark: SparkSession, d: str) -> DataFrame:
-    store, t = _store(spark, "incremental-updated"), ErpTables(spark, d, wide=True)
-    book = RunBook(store)
-    sync = Sync(store, book, RUN_TIME)
+    store, t = _store(spark, "incremental-updated"), ErpTables(spark, d)
+    sync = Sync(store, RUN_TIME)
     orders = t["orders"]
     early = orders.filter(F.col("updated_on") < F.lit("1999-01-01").cast("timestamp"))
     sync.orders(early, t["order_rows"].withColumn("product_name", F.lit("first run")))
@@ -184,7 +228,7 @@ def _incremental_by_updated(spark: SparkSession, d: str) -> DataFrame:
 
 def _supplier_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """A guarded snapshot load: refused requests are skipped, the rest replaces."""
-    store, t = _store(spark, "snapshot"), ErpTables(spark, d, wide=True)
+    store, t = _store(spark, "snapshot"), ErpTables(spark, d)
     refused = F.col("raw_payload").contains('"3"')
     fetched = payloads.supplier_payloads(t).withColumn("status", F.when(refused, 400).otherwise(200))
     replace_snapshot(
@@ -195,7 +239,7 @@ def _supplier_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _product_id_lists(spark: SparkSession, d: str) -> DataFrame:
-    products = ErpTables(spark, d, wide=True)["products"]
+    products = ErpTables(spark, d)["products"]
     lists = {
         "all": projections.all_product_ids, "stock_tracked": projections.stock_tracked_ids,
         "live": projections.live_product_ids,
@@ -208,7 +252,7 @@ def _product_id_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _notice_folder(spark: SparkSession, d: str, folder: str) -> str:
-    events = ErpTables(spark, d, wide=True)["change_events"].select("resource", "id", "event")
+    events = ErpTables(spark, d)["change_events"].select("resource", "id", "event")
     events.write.json(f"{folder}/notices")
     return f"{folder}/notices"
 
@@ -227,7 +271,7 @@ def _event_ids_coalesced(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _event_routing(spark: SparkSession, d: str) -> DataFrame:
-    events = ErpTables(spark, d, wide=True)["change_events"]
+    events = ErpTables(spark, d)["change_events"]
     ids = change_events.event_ids(events).withColumn(
         "table_name", change_events.target_table(F.col("resource"))
     )
@@ -238,7 +282,7 @@ def _event_routing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _destroyed_soft_delete(spark: SparkSession, d: str) -> DataFrame:
-    store, t = _store(spark, "destroyed"), ErpTables(spark, d, wide=True)
+    store, t = _store(spark, "destroyed"), ErpTables(spark, d)
     store.truncate_load("products", t["products"].withColumn("when_upserted", _now()))
     notices = change_events.read_events(spark, _notice_folder(spark, d, store.root))
     apply = change_events.ApplyChanges(store, payloads={}, now=_now())
@@ -254,7 +298,7 @@ def _destroyed_soft_delete(spark: SparkSession, d: str) -> DataFrame:
 
 def _change_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Notices turned into current rows of orders, lines, products, stock and contacts."""
-    store, t = _store(spark, "changes"), ErpTables(spark, d, wide=True)
+    store, t = _store(spark, "changes"), ErpTables(spark, d)
     store.truncate_load("products", t["products"].withColumn("when_upserted", _now()))
     store.truncate_load("contacts", _contacts(t))
     store.truncate_load("orders", t["orders"])
@@ -297,11 +341,11 @@ AS_OF = "2024-01-31 00:10:30"
 
 
 def _run_state_latest(spark: SparkSession, d: str) -> DataFrame:
-    return plain(state_from_runs(ErpTables(spark, d, wide=True)["run_log"], ("run_id",)))
+    return plain(state_from_runs(ErpTables(spark, d)["run_log"], ("run_id",)))
 
 
 def _state(spark: SparkSession, d: str) -> DataFrame:
-    return state_from_runs(ErpTables(spark, d, wide=True)["run_log"], ("run_id",))
+    return state_from_runs(ErpTables(spark, d)["run_log"], ("run_id",))
 
 
 def _as_of():
@@ -321,9 +365,9 @@ def _status_listing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _question_log(spark: SparkSession, d: str) -> DataFrame:
-    """Two appends to the log; long arguments and details are cut."""
+    """Two appends to the log, texts in full."""
     path = work_folder(spark, "question-log")
-    log = ErpTables(spark, d, wide=True)["run_log"].select(
+    log = ErpTables(spark, d)["run_log"].select(
         F.col("last_run_at").alias("called_at"), F.col("resource").alias("tool"),
         F.repeat(F.concat("resource", F.lit(" ")), 300).alias("arguments"),
         (F.col("last_run_kind") == "sweep").alias("ok"),
@@ -347,6 +391,10 @@ QUERIES = {
     "soft_delete": _soft_delete,
     "truncate_load": _truncate_load,
     "additive_columns": _additive_columns,
+    "rebucketed_upsert": _rebucketed_upsert,
+    "limited_runs_to_the_end": _limited_runs,
+    "pages_column_comes_and_goes": _pages_come_and_go,
+    "reference_to_channels": _reference_to_channels,
     "reconcile_missing": _reconcile(0),
     "reconcile_refused": _reconcile(5000),
     "incremental_by_id": _incremental_by_id,
@@ -444,6 +492,12 @@ FROM erp_contacts WHERE email IS NOT NULL"""),
     "additive_columns": _lines_sql(select=f"""
 SELECT {_PLAIN_LINES}, CASE WHEN when_upserted >= DATE '{SMALL_FROM}' THEN 'late' END AS note
 FROM (SELECT * FROM lines {_NEWEST}) AS newest""".replace("when_upserted >= DATE", "newest.when_upserted >= DATE")),
+    "rebucketed_upsert": _lines_sql(select=f"SELECT {_PLAIN_LINES} FROM (SELECT * FROM lines {_NEWEST})"),
+    "limited_runs_to_the_end": with_adapters("erp_orders", select=f"""
+SELECT order_id, reference, {sql_time("updated_on")} AS updated_on FROM erp_orders"""),
+    "pages_column_comes_and_goes": """
+SELECT CAST(c_custkey AS BIGINT) AS brand_id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS brand_name FROM customer""",
+    "reference_to_channels": view_queries.ORACLES["sales_flat"],
     "reconcile_missing": _reconcile_sql("c_acctbal < 0 AND c.is_deleted IS DISTINCT FROM TRUE"),
     "reconcile_refused": _reconcile_sql("FALSE"),
     "incremental_by_id": with_adapters("erp_change_events", select=f"""
@@ -512,6 +566,6 @@ SELECT resource, last_run_kind, last_run_rows,
   date_sub('minute', state.last_run_at, TIMESTAMP '{AS_OF}') AS run_lag_minutes FROM state"""),
     "question_log": with_adapters("erp_run_log", select=f"""
 SELECT {sql_time("last_run_at")} AS called_at, resource AS tool, last_run_kind = 'sweep' AS ok,
-  least(300 * (length(resource) + 1), 2000) AS argument_chars, CAST(500 AS BIGINT) AS detail_chars,
+  300 * (length(resource) + 1) AS argument_chars, CAST(600 AS BIGINT) AS detail_chars,
   CAST(NULL AS VARCHAR) AS user_email FROM erp_run_log"""),
 }
