@@ -206,7 +206,21 @@ def _short_pairs(entries: DataFrame) -> DataFrame:
     # places of earlier shared shingles are part of what may be common, at most min(p_a, p_b) of them
     most = F.least("p_a", "p_b") + 1 + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) - 1
     fits = (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (most * (100 + PERCENT) >= PERCENT * (F.col("n_a") + F.col("n_b")))
-    return a.join(b, "token").where(ordered & fits).select("a", "b")
+    return a.join(b, "token").where(ordered & fits).select("a", "b", "n_a", "n_b")
+
+
+def _sharing_enough(pairs: DataFrame) -> DataFrame:
+    """Different pairs that share as many prefix shingles as the threshold asks for.
+
+    Of the two, take the set whose prefix ends first: all shingles that it
+    shares out of its prefix are in the other's prefix, so the overlap is at
+    most their number and the rest of the set. Only for lists that hold all
+    prefixes; a pair that also meets in a long list may be undercounted here
+    and is judged there.
+    """
+    rest = F.greatest(*(F.floor((PERCENT * F.col(n) + 99) / 100) for n in ("n_a", "n_b"))) - 1
+    counted = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"))
+    return counted.where((F.col("c") + rest) * (100 + PERCENT) >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -240,7 +254,8 @@ def classes(docs: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
 
     edges, round_ = [], 0
     while True:
-        pairs = _short_pairs(entries.where(F.col("c") <= SHORT)).withColumn("wide", F.lit(False))
+        pairs = _short_pairs(entries.where(F.col("c") <= SHORT))
+        pairs = (pairs.select("a", "b") if round_ else _sharing_enough(pairs)).withColumn("wide", F.lit(False))
         long = entries.where(F.col("c") > SHORT)
         if not long.take(1):
             edges.append(staged(_linked(_compared(staged(pairs.distinct(), "jaccard-candidates"), docs, ids)), "jaccard-edges"))
