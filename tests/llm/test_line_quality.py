@@ -3,11 +3,10 @@ import pytest
 
 from tradelake.llm import line_quality
 
-GOOD = "The quick brown fox jumps over the lazy dog while %d other animals look on from afar. "
-
 
 def text(n):
-    return "\n".join("".join((GOOD % (k * 10 + i)) for i in range(3)).strip() for k in range(n))
+    sentence = lambda k, i: " ".join(f"w{k}x{i}y{j}" for j in range(12)).capitalize() + "."
+    return "\n".join(" ".join(sentence(k, i) for i in range(3)) for k in range(n))
 
 
 ROWS = [
