@@ -31,7 +31,7 @@ from tradelake.llm.gru import GROUPS, HEAD, TAIL, Gru
 from tradelake.llm.staging import staged
 from tradelake.llm.tokens import Words, chunks, mix, words
 
-SAMPLE_DOCS, LISTED, LANES, EPOCHS = 1500, 1 << 18, 96, 3
+SAMPLE_DOCS, LISTED, LANES, EPOCHS = 1500, 1 << 16, 96, 3
 COUNT_BYTES, SCORE_BYTES = 2_000_000, 6_000_000
 #: Fewest occurrences of a token that the model knows by itself; so it also learns what rare tokens look like.
 FREQUENT = 3
