@@ -168,3 +168,13 @@ def test_views_by_name(spark, tables):
 def test_ordered_listing(spark):
     df = spark.createDataFrame([("t", 2, "b"), ("t", 10, "c"), ("t", 1, "a")], "g STRING, p INT, x STRING")
     assert questions.ordered_listing(df, ["g"], "p", F.col("x")).first()["items"] == ["a", "b", "c"]
+
+
+def test_history_by_month_is_pruned(tables, tmp_path):
+    stored = tables["legacy_sales"].withColumn("order_month", F.trunc("order_date", "month"))
+    stored.write.partitionBy("order_month").parquet(str(tmp_path / "h"))
+    history = tables["legacy_sales"].sparkSession.read.parquet(str(tmp_path / "h"))
+    df = questions.query_sales({**tables, "legacy_sales": history}, "2023-05-03", "2023-06-10", "source")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_month" in plan
+    assert questions.query_sales({**tables, "legacy_sales": history}, "2023-05-01", "2023-06-10", "source").first()["revenue"] == 25
