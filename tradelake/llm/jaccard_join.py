@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tradelake.llm.components import components
 from tradelake.llm.sieve import sifted
-from tradelake.llm.staging import staged
+from tradelake.llm.staging import discard, staged
 from tradelake.llm.tokens import chunks, mix, windows, words
 
 SHINGLE, PERCENT = 3, 90
@@ -223,17 +223,17 @@ def _sharing_enough(pairs: DataFrame) -> DataFrame:
     return counted.where((F.col("c") + rest) * (100 + PERCENT) >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, docs: DataFrame, ids: DataFrame, made: list[str]) -> DataFrame:
     """pairs (a, b, wide) with overlaps; ids: (set, doc_id), a document for each set."""
     shown = pairs.select(F.col("a").alias("set")).unionAll(pairs.select("b")).distinct()
-    needed = staged(ids.join(shown, "set"), "jaccard-needed")
+    needed = staged(ids.join(shown, "set"), "jaccard-needed", made)
     some = sifted(docs, needed.select("doc_id"), "doc_id")
     # rows of one id meet here, so repeated rows go without another shuffle
     texts = some.join(needed, "doc_id").dropDuplicates(["doc_id", "set", "text"]).select("set", "text")
-    texts = staged(texts.mapInArrow(_own, texts.schema), "jaccard-texts")
+    texts = staged(texts.mapInArrow(_own, texts.schema), "jaccard-texts", made)
     a, b = (texts.select(F.col("set").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
     return staged(pairs.join(b, "b").join(a, "a").select("a", "b", "wide", "text_a", "text_b").mapInArrow(
-        _comparing, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint, less array<bigint>, more array<bigint>"), "jaccard-pairs")
+        _comparing, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint, less array<bigint>, more array<bigint>"), "jaccard-pairs", made)
 
 
 def classes(docs: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
@@ -249,37 +249,39 @@ def classes(docs: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     sets = signed.where("n > 0").groupBy("set").agg(F.max("n").alias("n"), F.first("prefix").alias("prefix"))
     entries = sets.select("set", "n", F.posexplode("prefix").alias("pos", "token"))
     counted = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    entries = staged(entries.join(counted, "token"), "jaccard-lists")
+    made: list[str] = []
+    entries = staged(entries.join(counted, "token"), "jaccard-lists", made)
     ids = signed.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
 
-    edges, round_ = [], 0
+    edges, round_ = [], 0  # what is staged from here on goes once the components are known
     while True:
         pairs = _short_pairs(entries.where(F.col("c") <= SHORT))
         pairs = (pairs.select("a", "b") if round_ else _sharing_enough(pairs)).withColumn("wide", F.lit(False))
         long = entries.where(F.col("c") > SHORT)
         if not long.take(1):
-            edges.append(staged(_linked(_compared(staged(pairs.distinct(), "jaccard-candidates"), docs, ids)), "jaccard-edges"))
+            edges.append(staged(_linked(_compared(staged(pairs.distinct(), "jaccard-candidates", made), docs, ids, made)), "jaccard-edges", made))
             break
         seat = F.pmod(F.xxhash64("set", F.lit(round_)), F.lit(LEADERS << round_))
         leaders = long.groupBy("token", seat.alias("seat")).agg(F.min(F.struct("n", "set")).alias("lead"))
         leaders = leaders.select("token", F.col("lead.set").alias("a"), F.col("lead.n").alias("n_a"))
-        met = staged(long.join(leaders, "token").where("set <> a").select("token", F.col("set").alias("b"), "a", "n_a", "n"), "jaccard-met")
+        met = staged(long.join(leaders, "token").where("set <> a").select("token", F.col("set").alias("b"), "a", "n_a", "n"), "jaccard-met", made)
         fits = F.least("n_a", "n") * 10 >= F.greatest("n_a", "n") * 7
         star = met.where(fits).select("a", "b", F.lit(True).alias("wide"))
-        told = _compared(staged(pairs.unionAll(star).distinct(), "jaccard-candidates"), docs, ids)
+        told = _compared(staged(pairs.unionAll(star).distinct(), "jaccard-candidates", made), docs, ids, made)
         near = told.where(F.col("less").isNotNull())
-        edges.append(staged(_linked(told).unionAll(_cells(near)), "jaccard-edges"))
+        edges.append(staged(_linked(told).unionAll(_cells(near)), "jaccard-edges", made))
         distance = 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
         done = met.join(told.where(distance <= 0.2).select("a", "b"), ["a", "b"]).select("token", F.col("b").alias("set"))
         done = done.unionAll(leaders.select("token", F.col("a").alias("set"))).distinct()
         rest = long.join(done, ["token", "set"], "left_anti").drop("c")
         counted = rest.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-        entries, round_ = staged(rest.join(counted, "token"), "jaccard-lists"), round_ + 1
+        entries, round_ = staged(rest.join(counted, "token"), "jaccard-lists", made), round_ + 1
 
     every = edges[0]
     for e in edges[1:]:
         every = every.unionAll(e)
     found = components(every)
+    discard(spark, made)
     found = found.join(ids, F.col("node") == F.col("set")).select("set", "label", "doc_id")
     least = found.groupBy("label").agg(F.min("doc_id").alias("least"))
     return signed.drop("prefix"), found.join(least, "label").select("set", F.col("least").alias("label"))

@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tradelake.session import work_folder
 
 
-def staged(df: DataFrame, purpose: str) -> DataFrame:
-    """df written as Parquet and read again: lineage ends here, and a lost executor costs no recomputation."""
+def staged(df: DataFrame, purpose: str, made: list[str] | None = None) -> DataFrame:
+    """df written as Parquet and read again: lineage ends here, and a lost executor costs no recomputation.
+
+    `made` gets the folder, for tables that nothing returned reads any more
+    once a job is done (see `discard`).
+    """
     folder = work_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
+    if made is not None:
+        made.append(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Delete staged tables."""
+    for folder in made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    made.clear()
