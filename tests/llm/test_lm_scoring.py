@@ -72,3 +72,15 @@ def test_base_and_score(spark):
 
 def test_empty_table(spark):
     assert lm_scoring.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_all_training_documents_teach_the_model(spark):
+    """Word order that no document of the sample shows."""
+    rng = random.Random(4)
+    words, rows = [f"w{k}" for k in range(12)], []
+    for k in range(1500):
+        at = rng.randrange(12)
+        rows.append((k, " ".join(words[(at + j) % 12] for j in range(rng.randrange(40, 80)))))
+    got = lm_scoring.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id"), sample_docs=1).where("held_out")
+    n, base, score = got.selectExpr("sum(n_tokens)", "sum(base_score)", "sum(score)").first()
+    assert score / n > base / n + 0.3

@@ -115,9 +115,10 @@ class Gru:
     def learn(self, stream: np.ndarray, lanes: int, epochs: int, rate: float = 0.01) -> list[float]:
         """Truncated backpropagation over texts in a row, each ended by 0, cut into lanes; returns the loss of each window."""
         lanes = max(1, min(lanes, len(stream) // (40 * WINDOW)))
-        length = len(stream) // lanes
+        length = -(-len(stream) // lanes)
         if not length:
             return []
+        stream = np.resize(stream, length * lanes)  # the last lane is filled up from the start
         after = stream[: length * lanes].reshape(lanes, length).T
         before = np.concatenate([np.r_[0, stream[length - 1 : length * lanes - 1 : length]][None, :], after[:-1]])
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))

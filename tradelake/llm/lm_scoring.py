@@ -2,8 +2,11 @@
 
 All training texts are counted: every token's count, and the mass and size of
 its class. A gated recurrent model (gru.py) over classes and frequent tokens
-learns from a bounded sample of training documents (`sample_docs`, chosen by
-hash, whole texts). A document's score is the model's log10 probability: class
+learns from all of them, whole: it starts with some passes over `sample_docs`
+documents, chosen by hash, in one task; then in each of `ROUNDS` rounds every
+task goes on from the same weights over its own share of that round's texts, and
+the weights that come out are averaged by tokens. Every training document is in
+one round. Another partitioning gives slightly other weights. A document's score is the model's log10 probability: class
 and frequent token from the recurrent state, a rarer token within its class by
 its count, with one added.
 
@@ -33,6 +36,8 @@ from tradelake.llm.tokens import Words, chunks, mix, words
 
 SAMPLE_DOCS, LISTED, LANES, EPOCHS = 1500, 1 << 16, 96, 3
 COUNT_BYTES, SCORE_BYTES = 2_000_000, 6_000_000
+#: Rounds over all training texts; a task learns from blocks of about so many tokens.
+ROUNDS, BLOCK, ROUND_LANES, RATE = 4, 1 << 20, 256, 0.005
 #: Fewest occurrences of a token that the model knows by itself; so it also learns what rare tokens look like.
 FREQUENT = 3
 #: Stands for the end of a text.
@@ -122,6 +127,35 @@ def _learning(lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     yield pa.RecordBatch.from_arrays([pa.array(list(model.p)), pa.array([v.tobytes() for v in model.p.values()])], ["name", "weights"])
 
 
+def _going_on(lexicon, model, rate: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's share of a round: its weights times the tokens it has read, and those."""
+    own, stream, size, total = Gru({k: v.copy() for k, v in model.value.p.items()}), [], 0, 0
+
+    def learn() -> None:
+        own.learn(np.concatenate(stream), ROUND_LANES, 1, rate)
+
+    for batch in chunks(batches, "text", COUNT_BYTES):
+        w = words(batch.column("text"))
+        for text in _texts(w, lexicon.value.numbers(w)[0]):
+            stream.append(text)
+            size, total = size + len(text), total + len(text)
+            if size >= BLOCK:
+                learn()
+                stream, size = [], 0
+    if size:
+        learn()
+    if total:
+        values = [(v.astype(np.float64) * total).tobytes() for v in own.p.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(own.p)), pa.array([total] * len(values)), pa.array(values)], ["name", "n", "weights"])
+
+
+def _summed(key: tuple, table: pa.Table) -> pa.Table:
+    table = table.sort_by("task")
+    total = sum(np.frombuffer(v.as_py(), np.float64) for v in table["weights"])
+    return pa.table({"name": pa.array([key[0].as_py()]), "n": pa.array([sum(table["n"].to_pylist())], pa.int64()),
+                     "task": pa.array([min(table["task"].to_pylist())], pa.int32()), "weights": pa.array([total.tobytes()])})
+
+
 def train(docs: DataFrame, lexicon, sample_docs: int) -> Gru:
     order = F.xxhash64("doc_id", F.crc32("text"))
     chosen = docs.select("text", order.alias("order")).orderBy("order", "text").limit(sample_docs)
@@ -129,6 +163,16 @@ def train(docs: DataFrame, lexicon, sample_docs: int) -> Gru:
     model = Gru.start(lexicon.value.counts_head)
     for r in got:
         model.p[r.name] = np.frombuffer(r.weights, np.float32).reshape(model.p[r.name].shape).copy()
+    kept = "name string, n bigint, task int, weights binary"
+    for k in range(ROUNDS):
+        now = docs.sparkSession.sparkContext.broadcast(model)
+        texts = docs.where(F.pmod(order, F.lit(ROUNDS)) == k).select("text")
+        parts = texts.mapInArrow(partial(_going_on, lexicon, now, RATE * (1 - k / ROUNDS)), "name string, n bigint, weights binary")
+        parts = parts.select("name", "n", F.spark_partition_id().alias("task"), "weights")
+        parts = parts.groupBy("name", F.pmod("task", F.lit(16)).alias("part")).applyInArrow(_summed, kept)  # fixed sizes, in two steps
+        for r in parts.groupBy("name").applyInArrow(_summed, kept).collect():
+            model.p[r.name] = (np.frombuffer(r.weights, np.float64) / r.n).reshape(model.p[r.name].shape).astype(np.float32)
+        now.unpersist()
     return model
 
 
