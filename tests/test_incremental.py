@@ -261,3 +261,17 @@ def test_state_from_runs(spark):
         "last_run_kind STRING, last_run_rows BIGINT, run_id BIGINT")
     row = state_from_runs(runs, ("run_id",)).first()
     assert row["last_run_rows"] == 2 and row["watermark_id"] == 5 and row["watermark_updated_on"] == NOW
+
+
+@pytest.mark.parametrize("limit", [2, 3, 5])
+def test_limited_runs_get_past_rows_without_a_time(spark, sync, limit):
+    """More rows without a time than the limit; also in a full run, after a time was known."""
+    t = datetime(2024, 1, 1)
+    rows = source(spark, *((k, "a", None if k % 3 else t + timedelta(seconds=k)) for k in range(9)))
+    for name, full in (("a", False), ("b", True)):
+        rows = rows.withColumn("name", F.lit(name))
+        counts = [sync.by_updated("rows", rows, limit=limit, full=full)]
+        while counts[-1] >= limit:
+            counts.append(sync.by_updated("rows", rows, limit=limit))
+            assert len(counts) < 9
+        assert sum(counts) == 9 and names(sync.store) == dict.fromkeys(range(9), name)

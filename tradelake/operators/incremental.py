@@ -43,11 +43,13 @@ def newer_than(df: DataFrame, key: str, watermark: Column | int | None) -> DataF
 def next_changes(df: DataFrame, column: str, key: str, limit: int, after: tuple | None) -> DataFrame:
     """The `limit` oldest changes, beyond a (time, id) already loaded if there is one.
 
-    A change without a time comes first, so it is loaded once and not again.
+    Changes without a time come first, by id; a mark without a time lies among them.
     """
     if after is not None:
         time, number = (F.lit(v) for v in after)
-        df = df.filter((F.col(column) > time) | ((F.col(column) == time) & (F.col(key) > number)))
+        same = F.col(column).isNull() if after[0] is None else F.col(column) == time
+        later = F.col(column).isNotNull() if after[0] is None else F.col(column) > time
+        df = df.filter(later | (same & (F.col(key) > number)))
     return df.orderBy(F.col(column).asc_nulls_first(), key).limit(limit)
 
 
@@ -64,7 +66,8 @@ def _higher(old, new):
     return new if old is None or (new is not None and new > old) else old
 
 
-PARTIAL = "partial"
+#: Kinds of runs that their limit cut short; the second stopped among rows without a time.
+PARTIAL, PARTIAL_UNTIMED = "partial", "partial untimed"
 
 
 class Sync:
@@ -114,7 +117,8 @@ class Sync:
         reaches back by the overlap again.
         """
         old = {} if full else self.state(name)
-        mark, cut = old.get("watermark_updated_on"), old.get("last_run_kind") == PARTIAL
+        cut = old.get("last_run_kind") in (PARTIAL, PARTIAL_UNTIMED)
+        mark = None if old.get("last_run_kind") == PARTIAL_UNTIMED else old.get("watermark_updated_on")
         if limit is not None and cut:
             return next_changes(source, column, key, limit, (mark, old["watermark_id"])), "sweep"
         rows = source.filter(F.col(column) >= F.lit(mark)) if cut and mark else changed_since(source, column, mark)
@@ -125,7 +129,8 @@ class Sync:
         """Record a run by time: at its limit where it stopped, else the highest time."""
         if limit is not None and count >= limit:
             last = batch.agg(F.max_by(F.struct(column, key), F.struct(F.col(column).isNotNull(), column, key)).alias("at")).first()["at"]
-            return self._record(name, PARTIAL, count, watermark_updated_on=last[0], watermark_id=last[1])
+            kind = PARTIAL_UNTIMED if last[0] is None else PARTIAL
+            return self._record(name, kind, count, watermark_updated_on=last[0], watermark_id=last[1])
         high = watermarks(batch, None, column)["time"]
         return self._record(name, kind, count, watermark_updated_on=_higher(self.state(name).get("watermark_updated_on"), high))
 
