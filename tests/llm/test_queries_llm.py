@@ -18,7 +18,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)} and "pipeline" in entry.queries()
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)} and "pipeline" in entry.queries()
 
 
 def test_pipeline_stages(spark, tmp_path):

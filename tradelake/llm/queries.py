@@ -8,7 +8,10 @@ from tradelake.llm import (
     best_fit,
     chat_format,
     decontamination,
+    fill_in_middle,
+    hash_forest,
     jaccard_join,
+    lexical_search,
     line_quality,
     lm_scoring,
     rule_ensemble,
@@ -76,6 +79,21 @@ def op10_synchronous_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    return hash_forest.report(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_swar_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and put in prefix-suffix-middle order, and read back."""
+    return fill_in_middle.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_geometric_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical_search.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_collinear_chaining": op1_collinear_chaining,
     "op2_suffix_decontamination": op2_suffix_decontamination,
@@ -87,10 +105,15 @@ QUERIES = {
     "op8_temporal_url_lists": op8_temporal_url_lists,
     "op9_toxicity_chain": op9_toxicity_chain,
     "op10_synchronous_best_fit": op10_synchronous_best_fit,
+    "op11_hash_prefix_forest": op11_hash_prefix_forest,
+    "op12_swar_fill_in_middle": op12_swar_fill_in_middle,
+    "op13_geometric_blocking": op13_geometric_blocking,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_first_cleaning": line_quality.REPORT_SQL,
     "op4_fingerprint_chat_format": chat_format.REPORT_SQL,
     "op8_temporal_url_lists": url_lists.REPORT_SQL,
+    "op12_swar_fill_in_middle": fill_in_middle.REPORT_SQL,
+    "op13_geometric_blocking": lexical_search.REPORT_SQL,
 }
