@@ -6,6 +6,7 @@ import pytest
 
 from tradelake import schemas
 from tradelake.operators import projections
+from tradelake.sources import payloads as P
 
 ORDER = {
     "id": 7001, "parentOrderId": 0, "orderTypeCode": "SO", "reference": "WEB-1",
@@ -74,6 +75,37 @@ def test_order_lines(spark, now):
     assert second["parent_order_row_id"] is None
 
 
+def test_free_keys_keep_their_values(spark, now):
+    options = {"quantity": "", "itemCost": [], "rowValue": 0, "composition": False}
+    payload = {"id": 1, "orderRows": {"2": {"quantity": "", "itemCost": [], "rowValue": 0, "composition": False, "productOptions": options}}}
+    line = projections.order_lines(frame(spark, payload), now).first()
+    assert json.loads(line["product_options"]) == options
+    assert line["quantity"] is None and line["item_cost"] is None and line["row_net"] is None
+
+
+@pytest.mark.parametrize("broken", [
+    {"parties": "none"}, {"parties": {"customer": 5}}, {"assignment": [1]}, {"invoices": {"a": 1}}, {"currency": True},
+])
+def test_a_value_where_an_object_belongs_is_an_error(spark, now, broken):
+    with pytest.raises(Exception, match="no (object|list)"):
+        projections.order_headers(frame(spark, {"id": 1, **broken}), now).collect()
+
+
+def test_payload_files(spark, now, tmp_path):
+    docs = [{"response": [ORDER, {"id": 2}]}, {"id": 3, "reference": "alone"}, {"response": []}]
+    (tmp_path / "a.json").write_text("\n".join(json.dumps(d) for d in docs))
+    records = P.read_payloads(spark, str(tmp_path))
+    rows = projections.order_headers(records, now).orderBy("order_id").collect()
+    assert [(r["order_id"], r["reference"]) for r in rows] == [(2, None), (3, "alone"), (7001, "WEB-1")]
+    assert json.loads(rows[2]["raw_payload"]) == ORDER
+    assert projections.order_lines(records, now).count() == 2
+
+
+def test_a_payload_is_parsed_once(spark, now):
+    plan = projections.order_lines(frame(spark, ORDER), now)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") == 1, plan
+
+
 @pytest.mark.parametrize("rows", [{}, None])
 def test_orders_without_lines(spark, now, rows):
     assert projections.order_lines(frame(spark, {"id": 1, "orderRows": rows}), now).count() == 0

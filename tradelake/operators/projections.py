@@ -16,19 +16,25 @@ from tradelake.schemas import (
 from tradelake.sources import payloads as P
 
 
-def _filled(text: str | Column) -> Column:
+def _filled(text: Column) -> Column:
     """Text, with empty as NULL."""
-    return F.nullif(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.nullif(text, F.lit(""))
 
 
-def _nonzero(text: str) -> Column:
+def _nonzero(text: Column) -> Column:
     """An id for which 0 and empty mean none."""
     return F.nullif(_filled(text).cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def _parse(df: DataFrame, schema: str, *keep: str) -> DataFrame:
-    """The parsed payload's fields as columns, parsed once per row."""
-    return df.select(*keep, F.inline(F.array(P.parsed(F.col("raw_payload"), schema))))
+def _payload_text(raw: DataFrame) -> Column:
+    """The payload in full: its own text, or a VARIANT's JSON text."""
+    return F.col("raw_payload") if "raw_payload" in raw.columns else F.to_json("p")
+
+
+def _records(raw: DataFrame, objects: tuple[str, ...], lists: tuple[str, ...] = ()) -> DataFrame:
+    """Parsed and checked payloads, beside their own text where there is one."""
+    keep = [c for c in ("raw_payload",) if c in raw.columns]
+    return P.shaped(P.parse(raw, *keep), ("", *objects), lists)
 
 
 def _named(columns: dict[str, str | Column]) -> list[Column]:
@@ -38,133 +44,151 @@ def _named(columns: dict[str, str | Column]) -> list[Column]:
     ]
 
 
+ORDER_OBJECTS = (
+    "orderStatus", "currency", "totalValue", "assignment", "assignment.current", "parties",
+    "parties.customer", "parties.delivery",
+)
+
+
 def order_headers(raw: DataFrame, now: Column) -> DataFrame:
-    """`raw_payload` texts to rows of `orders`."""
-    df = _parse(raw, P.ORDER, "raw_payload").select(*_named({
-        "order_id": "id",
-        "parent_order_id": _nonzero("parentOrderId"),
-        "order_type_code": "orderTypeCode",
-        "reference": "reference",
-        "order_status_id": "orderStatus.orderStatusId",
-        "order_status_name": "orderStatus.name",
-        "order_payment_status": "orderPaymentStatus",
-        "stock_status_code": "stockStatusCode",
-        "allocation_status_code": "allocationStatusCode",
-        "shipping_status_code": "shippingStatusCode",
-        "placed_on": "placedOn",
-        "created_on": "createdOn",
-        "updated_on": "updatedOn",
-        "closed_on": "closedOn",
-        "customer_contact_id": "parties.customer.contactId",
-        "customer_company_name": "parties.customer.companyName",
-        "customer_email": "parties.customer.email",
-        "delivery_state": "parties.delivery.addressLine4",
-        "delivery_postal_code": "parties.delivery.postalCode",
-        "delivery_country_iso": "parties.delivery.countryIsoCode",
-        "warehouse_id": "warehouseId",
-        "channel_id": "assignment.current.channelId",
-        "lead_source_id": "assignment.current.leadSourceId",
-        "staff_owner_contact_id": "assignment.current.staffOwnerContactId",
-        "currency_code": "currency.orderCurrencyCode",
-        "exchange_rate": _filled("currency.exchangeRate"),
-        "total_net": _filled("totalValue.net"),
-        "total_tax": _filled("totalValue.taxAmount"),
-        "total": _filled("totalValue.total"),
-        "base_total_net": _filled("totalValue.baseNet"),
-        "base_total": _filled("totalValue.baseTotal"),
-        "invoice_reference": F.get("invoices", F.lit(0)).getField("invoiceReference"),
-        "price_list_id": "priceListId",
-        "historical_order": "historicalOrder",
+    """Payloads to rows of `orders`."""
+    df = _records(raw, ORDER_OBJECTS, ("invoices",)).select(*_named({
+        "order_id": P.text("id"),
+        "parent_order_id": _nonzero(P.text("parentOrderId")),
+        "order_type_code": P.text("orderTypeCode"),
+        "reference": P.text("reference"),
+        "order_status_id": P.text("orderStatus.orderStatusId"),
+        "order_status_name": P.text("orderStatus.name"),
+        "order_payment_status": P.text("orderPaymentStatus"),
+        "stock_status_code": P.text("stockStatusCode"),
+        "allocation_status_code": P.text("allocationStatusCode"),
+        "shipping_status_code": P.text("shippingStatusCode"),
+        "placed_on": P.text("placedOn"),
+        "created_on": P.text("createdOn"),
+        "updated_on": P.text("updatedOn"),
+        "closed_on": P.text("closedOn"),
+        "customer_contact_id": P.text("parties.customer.contactId"),
+        "customer_company_name": P.text("parties.customer.companyName"),
+        "customer_email": P.text("parties.customer.email"),
+        "delivery_state": P.text("parties.delivery.addressLine4"),
+        "delivery_postal_code": P.text("parties.delivery.postalCode"),
+        "delivery_country_iso": P.text("parties.delivery.countryIsoCode"),
+        "warehouse_id": P.text("warehouseId"),
+        "channel_id": P.text("assignment.current.channelId"),
+        "lead_source_id": P.text("assignment.current.leadSourceId"),
+        "staff_owner_contact_id": P.text("assignment.current.staffOwnerContactId"),
+        "currency_code": P.text("currency.orderCurrencyCode"),
+        "exchange_rate": _filled(P.text("currency.exchangeRate")),
+        "total_net": _filled(P.text("totalValue.net")),
+        "total_tax": _filled(P.text("totalValue.taxAmount")),
+        "total": _filled(P.text("totalValue.total")),
+        "base_total_net": _filled(P.text("totalValue.baseNet")),
+        "base_total": _filled(P.text("totalValue.baseTotal")),
+        "invoice_reference": P.text("invoices[0].invoiceReference"),
+        "price_list_id": P.text("priceListId"),
+        "historical_order": P.text("historicalOrder"),
         "is_deleted": F.lit(False),
-        "raw_payload": "raw_payload",
+        "raw_payload": _payload_text(raw),
         "when_upserted": now,
     }))
     return conform(df, ORDERS)
 
 
+LINE_OBJECTS = (
+    "", "quantity", "itemCost", "productPrice", "rowValue", "rowValue.rowNet", "rowValue.rowTax",
+    "composition",
+)
+
+
 def order_lines(raw: DataFrame, now: Column) -> DataFrame:
-    """`raw_payload` texts to rows of `order_rows`; orders without lines give none."""
-    df = (
-        _parse(raw, P.ORDER_LINES)
-        .select("id", "updatedOn", F.explode("orderRows").alias("row_key", "line"))
-        .select(*_named({
-            "order_row_id": "row_key",
-            "order_id": "id",
-            "row_sequence": _filled("line.orderRowSequence"),
-            "product_id": "line.productId",
-            "product_name": "line.productName",
-            "product_sku": "line.productSku",
-            "quantity": _filled("line.quantity.magnitude"),
-            "item_cost": _filled("line.itemCost.value"),
-            "product_price": _filled("line.productPrice.value"),
-            "discount_percentage": _filled("line.discountPercentage"),
-            "row_net": _filled("line.rowValue.rowNet.value"),
-            "row_tax": _filled("line.rowValue.rowTax.value"),
-            "tax_rate": _filled("line.rowValue.taxRate"),
-            "tax_code": "line.rowValue.taxCode",
-            "nominal_code": "line.nominalCode",
-            "bundle_parent": "line.composition.bundleParent",
-            "bundle_child": "line.composition.bundleChild",
-            "parent_order_row_id": _nonzero("line.composition.parentOrderRowId"),
-            "product_options": _map_text("line.productOptions"),
-            "order_updated_on": "updatedOn",
-            "when_upserted": now,
-        }))
+    """Payloads to rows of `order_rows`; orders without lines give none."""
+    orders = P.shaped(P.parse(raw), ("", "orderRows"))
+    lines = orders.select(
+        P.text("id").alias("id"), P.text("updatedOn").alias("updatedOn"),
+        F.explode(P.members("orderRows")).alias("row_key", "line"),
     )
-    return conform(df, ORDER_ROWS)
 
+    def value(path: str) -> Column:
+        return P.text(path, "line")
 
-def _map_text(column: str) -> Column:
-    """A map as JSON text; an empty one as NULL."""
-    return F.when(F.size(column) > 0, F.to_json(column))
+    df = P.shaped(lines, LINE_OBJECTS, of="line").select(*_named({
+        "order_row_id": "row_key",
+        "order_id": "id",
+        "row_sequence": _filled(value("orderRowSequence")),
+        "product_id": value("productId"),
+        "product_name": value("productName"),
+        "product_sku": value("productSku"),
+        "quantity": _filled(value("quantity.magnitude")),
+        "item_cost": _filled(value("itemCost.value")),
+        "product_price": _filled(value("productPrice.value")),
+        "discount_percentage": _filled(value("discountPercentage")),
+        "row_net": _filled(value("rowValue.rowNet.value")),
+        "row_tax": _filled(value("rowValue.rowTax.value")),
+        "tax_rate": _filled(value("rowValue.taxRate")),
+        "tax_code": value("rowValue.taxCode"),
+        "nominal_code": value("nominalCode"),
+        "bundle_parent": value("composition.bundleParent"),
+        "bundle_child": value("composition.bundleChild"),
+        "parent_order_row_id": _nonzero(value("composition.parentOrderRowId")),
+        "product_options": P.present("productOptions", "line"),
+        "order_updated_on": "updatedOn",
+        "when_upserted": now,
+    }))
+    return conform(df, ORDER_ROWS)
 
 
 def product_rows(raw: DataFrame, now: Column) -> DataFrame:
-    df = _parse(raw, P.PRODUCT, "raw_payload").select(*_named({
-        "product_id": "id",
-        "sku": "identity.sku",
-        "barcode": "identity.barcode",
-        "name": F.get("salesChannels", F.lit(0)).getField("productName"),
-        "status": "status",
-        "brand_id": "brandId",
-        "product_type_id": "productTypeId",
-        "product_group_id": "productGroupId",
-        "stock_tracked": "stock.stockTracked",
-        "weight": _filled("stock.weight.magnitude"),
-        "is_bundle": "composition.bundle",
-        "nominal_code_sales": "nominalCodeSales",
-        "nominal_code_purchases": "nominalCodePurchases",
-        "nominal_code_stock": "nominalCodeStock",
-        "created_on": "createdOn",
-        "updated_on": "updatedOn",
+    objects = ("identity", "stock", "stock.weight", "composition")
+    df = _records(raw, objects, ("salesChannels",)).select(*_named({
+        "product_id": P.text("id"),
+        "sku": P.text("identity.sku"),
+        "barcode": P.text("identity.barcode"),
+        "name": P.text("salesChannels[0].productName"),
+        "status": P.text("status"),
+        "brand_id": P.text("brandId"),
+        "product_type_id": P.text("productTypeId"),
+        "product_group_id": P.text("productGroupId"),
+        "stock_tracked": P.text("stock.stockTracked"),
+        "weight": _filled(P.text("stock.weight.magnitude")),
+        "is_bundle": P.text("composition.bundle"),
+        "nominal_code_sales": P.text("nominalCodeSales"),
+        "nominal_code_purchases": P.text("nominalCodePurchases"),
+        "nominal_code_stock": P.text("nominalCodeStock"),
+        "created_on": P.text("createdOn"),
+        "updated_on": P.text("updatedOn"),
         "is_deleted": F.lit(False),
-        "raw_payload": "raw_payload",
+        "raw_payload": _payload_text(raw),
         "when_upserted": now,
     }))
     return conform(df, PRODUCTS)
 
 
+CONTACT_OBJECTS = (
+    "communication", "communication.emails", "communication.emails.PRI", "communication.telephones",
+    "relationshipToAccount", "financialDetails", "organisation",
+)
+
+
 def contact_rows(raw: DataFrame, now: Column) -> DataFrame:
-    primary = F.lit("PRI")
-    df = _parse(raw, P.CONTACT, "raw_payload").select(*_named({
-        "contact_id": "contactId",
-        "first_name": "firstName",
-        "last_name": "lastName",
-        "email": F.try_element_at("communication.emails", primary).getField("email"),
-        "telephone": F.try_element_at("communication.telephones", primary),
-        "company_id": "companyId",
-        "organisation_name": "organisation.name",
-        "is_supplier": "relationshipToAccount.isSupplier",
-        "is_staff": "relationshipToAccount.isStaff",
-        "price_list_id": "financialDetails.priceListId",
-        "credit_term_days": "financialDetails.creditTermDays",
-        "currency_id": "financialDetails.currencyId",
-        "contact_tags": "contactTags",
-        "created_on": "createdOn",
-        "updated_on": "updatedOn",
-        "last_contacted_on": "lastContactedOn",
+    df = _records(raw, CONTACT_OBJECTS).select(*_named({
+        "contact_id": P.text("contactId"),
+        "first_name": P.text("firstName"),
+        "last_name": P.text("lastName"),
+        "email": P.text("communication.emails.PRI.email"),
+        "telephone": P.text("communication.telephones.PRI"),
+        "company_id": P.text("companyId"),
+        "organisation_name": P.text("organisation.name"),
+        "is_supplier": P.text("relationshipToAccount.isSupplier"),
+        "is_staff": P.text("relationshipToAccount.isStaff"),
+        "price_list_id": P.text("financialDetails.priceListId"),
+        "credit_term_days": P.text("financialDetails.creditTermDays"),
+        "currency_id": P.text("financialDetails.currencyId"),
+        "contact_tags": P.text("contactTags"),
+        "created_on": P.text("createdOn"),
+        "updated_on": P.text("updatedOn"),
+        "last_contacted_on": P.text("lastContactedOn"),
         "is_deleted": F.lit(False),
-        "raw_payload": "raw_payload",
+        "raw_payload": _payload_text(raw),
         "when_upserted": now,
     }))
     return conform(df, CONTACTS)
@@ -172,31 +196,28 @@ def contact_rows(raw: DataFrame, now: Column) -> DataFrame:
 
 def price_rows(raw: DataFrame, now: Column) -> DataFrame:
     """One row per product and price list; the price is that of quantity 1."""
-    df = (
-        _parse(raw, P.PRICES)
-        .select(F.col("productId").alias("product_id"), F.explode("priceLists").alias("list"))
-        .select(
-            "product_id",
-            F.col("list.priceListId").alias("price_list_id"),
-            _filled(F.try_element_at("list.quantityPrice", F.lit("1"))).alias("price"),
-            _map_text("list.quantityPrice").alias("quantity_prices"),
-            now.alias("when_upserted"),
-        )
+    lists = P.shaped(P.parse(raw), ("",), ("priceLists",)).select(
+        P.text("productId").alias("product_id"), F.explode(P.items("priceLists")).alias("list"))
+    df = P.shaped(lists, ("", "quantityPrice"), of="list").select(
+        "product_id",
+        P.text("priceListId", "list").alias("price_list_id"),
+        _filled(P.text("quantityPrice['1']", "list")).alias("price"),
+        P.present("quantityPrice", "list").alias("quantity_prices"),
+        now.alias("when_upserted"),
     )
     return conform(df, PRODUCT_PRICES)
 
 
 def availability_rows(raw: DataFrame, now: Column) -> DataFrame:
     """One row per product and warehouse, from maps of maps."""
-    df = (
-        raw.select(F.explode(P.parsed(F.col("raw_payload"), P.AVAILABILITY)).alias("product_id", "a"))
-        .select("product_id", F.explode("a.warehouses").alias("warehouse_id", "w"))
-        .select(
-            "product_id", "warehouse_id",
-            F.col("w.onHand").alias("on_hand"), F.col("w.allocated").alias("allocated"),
-            F.col("w.inStock").alias("in_stock"), F.col("w.onOrder").alias("on_order"),
-            now.alias("when_upserted"),
-        )
+    products = P.shaped(P.parse(raw), ("",)).select(F.explode(P.members("")).alias("product_id", "a"))
+    stock = P.shaped(products, ("", "warehouses"), of="a").select(
+        "product_id", F.explode(P.members("warehouses", "a")).alias("warehouse_id", "w"))
+    df = P.shaped(stock, ("",), of="w").select(
+        "product_id", "warehouse_id",
+        P.text("onHand", "w").alias("on_hand"), P.text("allocated", "w").alias("allocated"),
+        P.text("inStock", "w").alias("in_stock"), P.text("onOrder", "w").alias("on_order"),
+        now.alias("when_upserted"),
     )
     return conform(df, PRODUCT_AVAILABILITY)
 
@@ -223,14 +244,10 @@ def flag_primary(suppliers: DataFrame, products: DataFrame) -> DataFrame:
 
 def supplier_rows(raw: DataFrame, products: DataFrame, now: Column) -> DataFrame:
     """One row per product and supplier, from maps of supplier id lists."""
-    pairs = (
-        raw.select(F.explode(P.parsed(F.col("raw_payload"), P.SUPPLIERS)).alias("product_id", "ids"))
-        .select("product_id", F.explode("ids").alias("supplier_contact_id"))
-        .select(
-            F.col("product_id").cast("bigint").alias("product_id"),
-            F.col("supplier_contact_id").cast("bigint").alias("supplier_contact_id"),
-        )
-    )
+    products_of = P.shaped(P.parse(raw), ("",)).select(F.explode(P.members("")).alias("product_id", "ids"))
+    pairs = P.shaped(products_of, lists=("",), of="ids").select(
+        "product_id", F.explode(P.items("", "ids")).alias("supplier_contact_id"),
+    ).select(*[F.col(c).cast("string").cast("bigint").alias(c) for c in ("product_id", "supplier_contact_id")])
     return conform(flag_primary(pairs, products).withColumn("when_upserted", now), PRODUCT_SUPPLIERS)
 
 

@@ -6,20 +6,19 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tradelake.functions.coerce import coerce, column_type, snake_case
 
-PAGE = """
-metaData STRUCT<resultsAvailable: BIGINT, resultsReturned: BIGINT, firstResult: BIGINT,
-  lastResult: BIGINT, columns: ARRAY<STRUCT<name: STRING, reportDataType: STRING>>>,
-results ARRAY<ARRAY<VARIANT>>
-"""
+COLUMNS = "ARRAY<STRUCT<name: STRING, reportDataType: STRING>>"
+PAGE = f"metaData STRUCT<columns: {COLUMNS}>, results ARRAY<ARRAY<VARIANT>>"
 
 
 def page_columns(pages: DataFrame, page: str = "page") -> list[tuple[str, str]]:
     """The (name, type) of every column that some page has, by name.
 
-    Only different columns come to the driver. One name with two types that
-    are stored differently is an error.
+    Only the column lists are read out of the pages, and only different ones are
+    parsed; what reaches the driver are different columns. One name with two
+    types that are stored differently is an error.
     """
-    each = pages.select(F.explode(F.from_json(page, PAGE).getField("metaData").getField("columns")).alias("c"))
+    lists = pages.select(F.get_json_object(page, "$.metaData.columns").alias("l")).distinct()
+    each = lists.select(F.explode(F.from_json("l", COLUMNS)).alias("c"))
     found = sorted((r["name"], r["reportDataType"]) for r in each.select("c.*").distinct().collect())
     types: dict[str, str] = {}
     for name, kind in found:
@@ -43,15 +42,23 @@ def page_rows(
     A row shorter than its page's names leaves NULLs, cells beyond the names
     have none and go. Of two columns with one name the last wins.
     """
-    read = pages.select(F.from_json(page, PAGE).alias("p"))
-    names = F.transform(F.col("p.metaData.columns"), lambda c: c["name"])
-    cells = read.select(F.reverse(names).alias("names"), F.explode("p.results").alias("r"))
+    read = pages.select(F.inline(F.array(F.from_json(page, PAGE))))
+    names = F.transform(F.col("metaData.columns"), lambda c: c["name"])
+    # where each wanted name stands on this page, its last place; 0: not there
+    backwards, size = F.reverse(names), F.size(names)
+    places = [
+        F.when(F.array_position(backwards, name) > 0, size + 1 - F.array_position(backwards, name)).otherwise(0)
+        .cast("int").alias(f"_{k}")
+        for k, (name, _) in enumerate(columns)
+    ]
+    placed = read.select(F.struct(*places).alias("at"), "results")  # once per page
+    cells = placed.select("at", F.explode("results").alias("r"))
 
-    def cell(name: str) -> Column:
-        back = F.array_position("names", name)  # from the end, 0: not on this page
-        return F.when(back > 0, F.get("r", (F.size("names") - back).cast("int")))
+    def cell(k: int) -> Column:
+        at = F.col(f"at._{k}")
+        return F.when(at > 0, F.get("r", at - 1))
 
-    named = {snake_case(name): coerce(cell(name), kind) for name, kind in columns}
+    named = {snake_case(name): coerce(cell(k), kind) for k, (name, kind) in enumerate(columns)}
     return cells.select(
         *[c.alias(name) for name, c in named.items()], now.alias("when_upserted")
     )

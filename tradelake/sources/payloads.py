@@ -1,83 +1,81 @@
-"""Nested business payloads: JSON text, one record per row.
+"""Nested business payloads: one record per row, as JSON text or as VARIANT.
 
-Scalars are parsed as text and cast when the table's columns are made, so money
-never passes through a float and a value of the wrong type is an error.
+A payload is parsed once into a VARIANT, which keeps decimals exact, and read by
+path. Scalars are taken as text and cast when the table's columns are made, so
+money never passes through a float and a value of the wrong type is an error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F, types as T
-
-ORDER = """
-id STRING, parentOrderId STRING, orderTypeCode STRING, reference STRING,
-orderStatus STRUCT<orderStatusId: STRING, name: STRING>, orderPaymentStatus STRING,
-stockStatusCode STRING, allocationStatusCode STRING, shippingStatusCode STRING,
-placedOn STRING, createdOn STRING, updatedOn STRING, closedOn STRING,
-currency STRUCT<orderCurrencyCode: STRING, exchangeRate: STRING>,
-totalValue STRUCT<net: STRING, taxAmount: STRING, baseNet: STRING, baseTotal: STRING, total: STRING>,
-assignment STRUCT<current: STRUCT<channelId: STRING, leadSourceId: STRING, staffOwnerContactId: STRING>>,
-parties STRUCT<customer: STRUCT<contactId: STRING, companyName: STRING, email: STRING>,
-  delivery: STRUCT<addressLine4: STRING, postalCode: STRING, countryIsoCode: STRING>>,
-invoices ARRAY<STRUCT<invoiceReference: STRING>>,
-warehouseId STRING, priceListId STRING, historicalOrder STRING
-"""
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-ORDER_LINES = """
-id STRING, updatedOn STRING,
-orderRows MAP<STRING, STRUCT<orderRowSequence: STRING, productId: STRING, productName: STRING,
-  productSku: STRING, quantity: STRUCT<magnitude: STRING>, itemCost: STRUCT<value: STRING>,
-  productPrice: STRUCT<value: STRING>, discountPercentage: STRING,
-  rowValue: STRUCT<taxRate: STRING, taxCode: STRING, rowNet: STRUCT<value: STRING>,
-    rowTax: STRUCT<value: STRING>>,
-  productOptions: MAP<STRING, STRING>, nominalCode: STRING,
-  composition: STRUCT<bundleParent: STRING, bundleChild: STRING, parentOrderRowId: STRING>>>
-"""
+from tradelake.functions.json_text import is_array, is_object
 
-PRODUCT = """
-id STRING, brandId STRING, productTypeId STRING, productGroupId STRING,
-identity STRUCT<sku: STRING, barcode: STRING>,
-stock STRUCT<stockTracked: STRING, weight: STRUCT<magnitude: STRING>>,
-salesChannels ARRAY<STRUCT<productName: STRING>>, composition STRUCT<bundle: STRING>,
-nominalCodeSales STRING, nominalCodePurchases STRING, nominalCodeStock STRING,
-status STRING, createdOn STRING, updatedOn STRING
-"""
+MEMBERS, ITEMS = "map<string,variant>", "array<variant>"
 
-CONTACT = """
-contactId STRING, firstName STRING, lastName STRING,
-communication STRUCT<emails: MAP<STRING, STRUCT<email: STRING>>, telephones: MAP<STRING, STRING>>,
-relationshipToAccount STRUCT<isSupplier: STRING, isStaff: STRING>,
-financialDetails STRUCT<priceListId: STRING, creditTermDays: STRING, currencyId: STRING>,
-organisation STRUCT<name: STRING>, contactTags STRING,
-createdOn STRING, updatedOn STRING, lastContactedOn STRING, companyId STRING
-"""
+# What stands for an absent object or list.
+ABSENT = ("null", '""', "[]", "{}", "false", "0")
 
-PRICES = "productId STRING, priceLists ARRAY<STRUCT<priceListId: STRING, quantityPrice: MAP<STRING, STRING>>>"
 
-AVAILABILITY = """MAP<STRING, STRUCT<warehouses: MAP<STRING, STRUCT<onHand: STRING,
-allocated: STRING, inStock: STRING, onOrder: STRING>>>>"""
+def read_payloads(spark: SparkSession, path: str, envelope: str = "response") -> DataFrame:
+    """Records of JSON files, one document per line, as a VARIANT column `payload`.
 
-SUPPLIERS = "MAP<STRING, ARRAY<STRING>>"
+    A document is an object with a list of records under `envelope`, or one
+    record. Files are split over tasks.
+    """
+    docs = spark.read.option("singleVariantColumn", "doc").json(path)
+    many = F.try_variant_get("doc", f"$.{envelope}", ITEMS)
+    return docs.select(F.explode(F.coalesce(many, F.array("doc"))).alias("payload"))
+
+
+def parse(df: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns and the payload as a VARIANT `p`, parsed once per row.
+
+    Text that is no JSON is an error. A generator keeps the parse from being
+    repeated for each column made of it.
+    """
+    if isinstance(df.schema["payload" if "payload" in df.columns else "raw_payload"].dataType, T.VariantType):
+        given = F.col("payload" if "payload" in df.columns else "raw_payload")
+    else:
+        given = F.parse_json("raw_payload")
+    return df.select(*keep, F.explode(F.array(given)).alias("p"))
 
 
-def _objects(kind: T.DataType) -> set[str]:
-    """Names of the fields that hold an object."""
-    if isinstance(kind, T.StructType):
-        own = {f.name for f in kind.fields if isinstance(f.dataType, T.StructType | T.MapType)}
-        return own.union(*(_objects(f.dataType) for f in kind.fields))
-    if isinstance(kind, T.ArrayType):
-        return _objects(kind.elementType)
-    return _objects(kind.valueType) if isinstance(kind, T.MapType) else set()
+def text(path: str, of: str = "p") -> Column:
+    """The value at a path as text: scalars as they are, anything else as JSON text."""
+    return F.variant_get(of, _path(path), "string")
 
 
-def parsed(text: Column, schema: str) -> Column:
-    """Parse strictly: a record that does not fit the shape fails the job.
+def members(path: str, of: str = "p") -> Column:
+    """An object as a map of VARIANTs; NULL for anything else."""
+    return F.try_variant_get(of, _path(path), MEMBERS)
 
-    An empty list, an empty text, false or 0 where an object belongs is an
-    absent one. Quotes inside JSON texts are escaped, so only real field names
-    can match.
+
+def items(path: str, of: str = "p") -> Column:
+    """A list of VARIANTs; NULL for anything else."""
+    return F.try_variant_get(of, _path(path), ITEMS)
+
+
+def present(path: str, of: str = "p") -> Column:
+    """The value at a path as JSON text; NULL for an absent one."""
+    found = F.to_json(F.variant_get(of, _path(path), "variant"))
+    return F.when(~found.isin(*ABSENT), found)
+
+
+def shaped(df: DataFrame, objects: tuple[str, ...] = (), lists: tuple[str, ...] = (), of: str = "p") -> DataFrame:
+    """df, checked: what stands at these paths is an object, or a list, or absent.
+
+    Whether an empty value stands for an absent object is decided by its path:
+    the same value under a free key stays what it is.
     """
-    names = sorted(_objects(T._parse_datatype_string(schema)))
-    if names:
-        empty = rf"""(?<!\\)("(?:{'|'.join(names)})"\s*:\s*)(?:\[\s*\]|""|false|0(?![.0-9]))"""
-        text = F.regexp_replace(text, empty, "$1null")
-    return F.from_json(text, schema, {"mode": "FAILFAST"})
+    problem = F.lit(None).cast("string")
+    for paths, fits, kind in ((objects, is_object, "object"), (lists, is_array, "list")):
+        for path in paths:
+            value = F.variant_get(of, _path(path), "variant")
+            odd = value.isNotNull() & ~fits(value) & present(path, of).isNotNull()
+            problem = F.when(odd, F.lit(f"{path or 'record'}: no {kind}")).otherwise(problem)
+    return df.filter(F.when(problem.isNotNull(), F.raise_error(problem).cast("boolean")).otherwise(F.lit(True)))
+
+
+def _path(path: str) -> str:
+    return f"$.{path}" if path and path[0] != "[" else f"${path}"

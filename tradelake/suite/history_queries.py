@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tradelake.operators.store import TableStore
@@ -71,9 +73,22 @@ def _load_report(spark: SparkSession, d: str) -> DataFrame:
     return plain(history_csv.load_history(store, path, _now(), ALIASES))
 
 
+@contextmanager
+def _splits(spark: SparkSession, size: str):
+    """Files are read in splits of at most this size, so that records cross them at any scale."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _month_partitioned_load(spark: SparkSession, d: str) -> DataFrame:
     store, path = _records(spark, d, damaged=False, line_breaks=True)
-    history_csv.load_history(store, path, _now(), ALIASES, quoted_newlines=True)
+    with _splits(spark, "1m"):
+        history_csv.load_history(store, path, _now(), ALIASES, quoted_newlines=True)
     rows = history_csv.read_by_month(store)
     return plain(
         rows.select(

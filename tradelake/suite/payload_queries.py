@@ -1,6 +1,7 @@
 """Payload projections over payloads made from the whole ERP tables.
 
-Each payload is made from one row, so making them needs no grouping.
+An order's lines, a product's warehouses and suppliers, and a page's rows are
+gathered into one payload; each is a small group whatever the size of the data.
 """
 
 from __future__ import annotations
@@ -8,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tradelake.operators import projections
+from tradelake.session import work_folder
 from tradelake.sources.pages import page_columns, page_rows
+from tradelake.sources.payloads import read_payloads
 from tradelake.sources.reference_items import reference_rows
 from tradelake.sources.testdata import ErpTables
 from tradelake.suite.common import plain, sql_time, with_adapters
@@ -29,6 +32,11 @@ def _text(column: str) -> Column:
     return F.col(column).cast("string")
 
 
+#: Tasks that payloads of one row each are spread over. The test tables are one
+#: row group each, hence one task; sources of more splits need no such step.
+SPREAD = 16
+
+
 def order_payloads(t: ErpTables) -> DataFrame:
     """(id, raw_payload): one order header with one line each."""
     order_id = F.col("order_id")
@@ -75,11 +83,16 @@ def order_payloads(t: ErpTables) -> DataFrame:
         paid.alias("historicalOrder"),
         F.create_map((order_id * 10).cast("string"), line).alias("orderRows"),
     )
-    return t["orders"].select(order_id.alias("id"), F.to_json(payload).alias("raw_payload"))
+    return t["orders"].repartition(SPREAD).select(order_id.alias("id"), F.to_json(payload).alias("raw_payload"))
+
+
+def _gathered(key: Column, value: Column) -> Column:
+    """The (key, value) pairs of a group as one map."""
+    return F.map_from_entries(F.collect_list(F.struct(key.alias("key"), value.alias("value"))))
 
 
 def line_payloads(t: ErpTables) -> DataFrame:
-    """One order payload per order line, holding that line."""
+    """One order payload per order, holding all its lines."""
     line = F.struct(
         F.when(F.col("row_sequence") == 1, F.lit("")).otherwise(_text("row_sequence"))
         .alias("orderRowSequence"),
@@ -94,7 +107,7 @@ def line_payloads(t: ErpTables) -> DataFrame:
             F.struct(_text("row_net").alias("value")).alias("rowNet"),
             F.struct(F.lit("").alias("value")).alias("rowTax"),
         ).alias("rowValue"),
-        F.when(F.col("row_sequence") > 3, F.create_map(F.lit("Color"), F.col("nominal_code")))
+        F.when(F.col("row_sequence") > 3, F.create_map(F.lit("Color"), F.col("nominal_code"), F.lit("quantity"), F.lit("")))
         .otherwise(F.create_map().cast("map<string,string>")).alias("productOptions"),
         F.col("nominal_code").alias("nominalCode"),
         F.struct(
@@ -102,11 +115,11 @@ def line_payloads(t: ErpTables) -> DataFrame:
             (F.col("row_sequence") - 1).alias("parentOrderRowId"),
         ).alias("composition"),
     )
-    payload = F.struct(
-        F.col("order_id").alias("id"), iso("when_upserted").alias("updatedOn"),
-        F.create_map(_text("order_row_id"), line).alias("orderRows"),
+    orders = t["order_rows"].groupBy("order_id").agg(
+        F.max("when_upserted").alias("changed"), _gathered(_text("order_row_id"), line).alias("orderRows"),
     )
-    return t["order_rows"].select(F.to_json(payload).alias("raw_payload"))
+    payload = F.struct(F.col("order_id").alias("id"), iso("changed").alias("updatedOn"), "orderRows")
+    return orders.select(F.to_json(payload).alias("raw_payload"))
 
 
 def product_payloads(t: ErpTables) -> DataFrame:
@@ -170,18 +183,18 @@ def availability_payloads(t: ErpTables) -> DataFrame:
         _text("on_hand").alias("onHand"), _text("allocated").alias("allocated"),
         _text("in_stock").alias("inStock"), _text("on_order").alias("onOrder"),
     )
-    warehouses = F.struct(F.create_map(_text("warehouse_id"), amounts).alias("warehouses"))
-    payload = F.create_map(_text("product_id"), warehouses)
-    return t["product_availability"].select("product_id", F.to_json(payload).alias("raw_payload"))
+    products = t["product_availability"].groupBy("product_id").agg(
+        _gathered(_text("warehouse_id"), amounts).alias("warehouses"))
+    payload = F.create_map(_text("product_id"), F.struct("warehouses"))
+    return products.select("product_id", F.to_json(payload).alias("raw_payload"))
 
 
 def supplier_payloads(t: ErpTables) -> DataFrame:
-    ids = F.when(F.col("supplier_contact_id") != 7, F.array(_text("supplier_contact_id")))
-    payload = F.create_map(_text("product_id"), ids)
-    # NULL lists must be kept as JSON null: they give no rows.
-    return t["product_suppliers"].select(
-        F.to_json(payload, {"ignoreNullFields": "false"}).alias("raw_payload")
-    )
+    others = F.when(F.col("supplier_contact_id") != 7, _text("supplier_contact_id"))
+    products = t["product_suppliers"].groupBy("product_id").agg(F.sort_array(F.collect_list(others)).alias("ids"))
+    # Products without any are JSON null, or an empty text: they give no rows.
+    ids = F.when(F.size("ids") > 0, F.to_json("ids")).when(F.col("product_id") % 2 == 0, "null").otherwise('""')
+    return products.select(F.concat(F.lit('{"'), _text("product_id"), F.lit('":'), ids, F.lit("}")).alias("raw_payload"))
 
 
 def _projection(payloads, rows, *columns: str):
@@ -210,8 +223,12 @@ PAGE_COLUMNS = (
 )
 
 
+#: Orders whose ledger lines make up one page.
+PAGE_ORDERS = 100
+
+
 def journal_pages(t: ErpTables) -> DataFrame:
-    """One result page per ledger line; some rows are short, some too long."""
+    """Ledger lines in result pages; some rows are short, some too long."""
     number = F.col("journal_row_id") % 10
     cells = [
         _text("journal_row_id"),
@@ -224,8 +241,11 @@ def journal_pages(t: ErpTables) -> DataFrame:
     ]
     tail = F.when(number == 7, "").when(number == 6, ',{"a":1},"extra"').otherwise(',"x"')
     row = F.concat(F.lit("["), F.concat_ws(",", *cells), tail, F.lit("]"))
-    page = F.concat(F.lit(f'{{"metaData":{{"columns":{PAGE_COLUMNS}}},"results":['), row, F.lit("]}"))
-    return t["journal_rows"].select(page.alias("page"))
+    number = (F.col("journal_row_id") / (1000 * PAGE_ORDERS)).cast("bigint")
+    rows = t["journal_rows"].groupBy(number.alias("number")).agg(F.collect_list(row).alias("rows"))
+    page = F.concat(
+        F.lit(f'{{"metaData":{{"columns":{PAGE_COLUMNS}}},"results":['), F.array_join("rows", ","), F.lit("]}"))
+    return rows.select(page.alias("page"))
 
 
 def _search_page_typed(spark: SparkSession, d: str) -> DataFrame:
@@ -256,15 +276,27 @@ def _reference_items(spark: SparkSession, d: str) -> DataFrame:
     return plain(rows.select("id", "name"))
 
 
+HEADER_COLUMNS = (
+    "order_id", "parent_order_id", "order_type_code", "reference", "order_status_id",
+    "order_status_name", "order_payment_status", "placed_on", "updated_on", "closed_on",
+    "customer_contact_id", "customer_company_name", "customer_email", "delivery_state",
+    "warehouse_id", "channel_id", "staff_owner_contact_id", "currency_code", "exchange_rate",
+    "total_net", "total", "invoice_reference", "historical_order", "is_deleted", "when_upserted",
+)
+
+
+def _payload_files(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as JSON files of answers with up to 100 records, read back and projected."""
+    folder = work_folder(spark, "payload-files")
+    number = (F.col("id") / 400).cast("bigint")
+    answers = order_payloads(ErpTables(spark, d)).groupBy(number.alias("number")).agg(F.collect_list("raw_payload").alias("r"))
+    answers.select(F.concat(F.lit('{"response":['), F.array_join("r", ","), F.lit("]}"))).write.text(folder)
+    return plain(projections.order_headers(read_payloads(spark, folder), now()).select(*HEADER_COLUMNS))
+
+
 QUERIES = {
-    "payload_order_header": _projection(
-        order_payloads, projections.order_headers,
-        "order_id", "parent_order_id", "order_type_code", "reference", "order_status_id",
-        "order_status_name", "order_payment_status", "placed_on", "updated_on", "closed_on",
-        "customer_contact_id", "customer_company_name", "customer_email", "delivery_state",
-        "warehouse_id", "channel_id", "staff_owner_contact_id", "currency_code", "exchange_rate",
-        "total_net", "total", "invoice_reference", "historical_order", "is_deleted", "when_upserted",
-    ),
+    "payload_order_header": _projection(order_payloads, projections.order_headers, *HEADER_COLUMNS),
+    "payload_files_order_header": _payload_files,
     "payload_order_lines": _projection(
         line_payloads, projections.order_lines,
         "order_row_id", "order_id", "row_sequence", "product_id", "product_name", "product_sku",
@@ -301,8 +333,7 @@ _PRIMARY = """primaries AS (
   SELECT product_id, TRY_CAST(raw_payload ->> '$.primarySupplierId' AS BIGINT) AS primary_id
   FROM erp_products WHERE is_deleted IS DISTINCT FROM TRUE)"""
 
-ORACLES = {
-    "payload_order_header": with_adapters("erp_orders", select=f"""
+_ORDER_HEADER_SQL = with_adapters("erp_orders", select=f"""
 SELECT order_id, nullif(order_id % 3, 0) AS parent_order_id, order_type_code, reference, order_status_id,
   order_status_name, order_payment_status,
   {sql_time("placed_on + INTERVAL 17 HOUR")} AS placed_on, {sql_time("placed_on + INTERVAL 17 HOUR")} AS updated_on,
@@ -313,7 +344,11 @@ SELECT order_id, nullif(order_id % 3, 0) AS parent_order_id, order_type_code, re
   CAST(total AS DOUBLE) AS total,
   CASE WHEN order_payment_status = 'PAID' THEN 'SI-' || order_id END AS invoice_reference,
   order_payment_status = 'PAID' AS historical_order, FALSE AS is_deleted, '{NOW}' AS when_upserted
-FROM erp_orders"""),
+FROM erp_orders""")
+
+ORACLES = {
+    "payload_order_header": _ORDER_HEADER_SQL,
+    "payload_files_order_header": _ORDER_HEADER_SQL,
     "payload_order_lines": with_adapters("erp_order_rows", select=f"""
 SELECT order_row_id, order_id, nullif(row_sequence, 1) AS row_sequence, product_id, product_name, product_sku,
   CAST(quantity AS DOUBLE) AS quantity, CAST(item_cost AS DOUBLE) AS item_cost,
@@ -321,8 +356,8 @@ SELECT order_row_id, order_id, nullif(row_sequence, 1) AS row_sequence, product_
   CAST(NULL AS DOUBLE) AS row_tax, CAST(tax_rate AS DOUBLE) AS tax_rate, 'N' AS tax_code, nominal_code,
   row_sequence = 2 AS bundle_parent, CAST(NULL AS BOOLEAN) AS bundle_child,
   nullif(row_sequence - 1, 0) AS parent_order_row_id,
-  CASE WHEN row_sequence > 3 THEN '{{"Color":"' || nominal_code || '"}}' END AS product_options,
-  {sql_time("when_upserted + INTERVAL 17 HOUR")} AS order_updated_on
+  CASE WHEN row_sequence > 3 THEN '{{"Color":"' || nominal_code || '","quantity":""}}' END AS product_options,
+  {sql_time("max(when_upserted) OVER (PARTITION BY order_id) + INTERVAL 17 HOUR")} AS order_updated_on
 FROM erp_order_rows"""),
     "payload_product": with_adapters("erp_products", select="""
 SELECT product_id, sku, '' AS barcode, CASE WHEN status = 'LIVE' THEN 'New ' || name END AS name, status,
