@@ -34,7 +34,7 @@ def _payload_text(raw: DataFrame) -> Column:
 def _records(raw: DataFrame, objects: tuple[str, ...], lists: tuple[str, ...] = ()) -> DataFrame:
     """Parsed and checked payloads, beside their own text where there is one."""
     keep = [c for c in ("raw_payload",) if c in raw.columns]
-    return P.shaped(P.parse(raw, *keep), ("", *objects), lists)
+    return P.shaped(P.parse(raw, *keep), objects, lists)
 
 
 def _named(columns: dict[str, str | Column]) -> list[Column]:
@@ -44,9 +44,10 @@ def _named(columns: dict[str, str | Column]) -> list[Column]:
     ]
 
 
+# Objects of each payload, by the path of a member.
 ORDER_OBJECTS = (
-    "orderStatus", "currency", "totalValue", "assignment", "assignment.current", "parties",
-    "parties.customer", "parties.delivery",
+    "id", "orderStatus.orderStatusId", "currency.orderCurrencyCode", "totalValue.net", "assignment.current",
+    "assignment.current.channelId", "parties.customer", "parties.customer.contactId", "parties.delivery.addressLine4",
 )
 
 
@@ -95,14 +96,14 @@ def order_headers(raw: DataFrame, now: Column) -> DataFrame:
 
 
 LINE_OBJECTS = (
-    "", "quantity", "itemCost", "productPrice", "rowValue", "rowValue.rowNet", "rowValue.rowTax",
-    "composition",
+    "productId", "quantity.magnitude", "itemCost.value", "productPrice.value", "rowValue.rowNet",
+    "rowValue.rowNet.value", "rowValue.rowTax.value", "composition.bundleParent",
 )
 
 
 def order_lines(raw: DataFrame, now: Column) -> DataFrame:
     """Payloads to rows of `order_rows`; orders without lines give none."""
-    orders = P.shaped(P.parse(raw), ("", "orderRows"))
+    orders = P.shaped(P.parse(raw), ("id", "orderRows."))
     lines = orders.select(
         P.text("id").alias("id"), P.text("updatedOn").alias("updatedOn"),
         F.explode(P.members("orderRows")).alias("row_key", "line"),
@@ -138,7 +139,7 @@ def order_lines(raw: DataFrame, now: Column) -> DataFrame:
 
 
 def product_rows(raw: DataFrame, now: Column) -> DataFrame:
-    objects = ("identity", "stock", "stock.weight", "composition")
+    objects = ("id", "identity.sku", "stock.stockTracked", "stock.weight.magnitude", "composition.bundle")
     df = _records(raw, objects, ("salesChannels",)).select(*_named({
         "product_id": P.text("id"),
         "sku": P.text("identity.sku"),
@@ -164,8 +165,9 @@ def product_rows(raw: DataFrame, now: Column) -> DataFrame:
 
 
 CONTACT_OBJECTS = (
-    "communication", "communication.emails", "communication.emails.PRI", "communication.telephones",
-    "relationshipToAccount", "financialDetails", "organisation",
+    "contactId", "communication.emails", "communication.emails.PRI", "communication.emails.PRI.email",
+    "communication.telephones.PRI", "relationshipToAccount.isSupplier", "financialDetails.creditTermDays",
+    "organisation.name",
 )
 
 
@@ -196,9 +198,9 @@ def contact_rows(raw: DataFrame, now: Column) -> DataFrame:
 
 def price_rows(raw: DataFrame, now: Column) -> DataFrame:
     """One row per product and price list; the price is that of quantity 1."""
-    lists = P.shaped(P.parse(raw), ("",), ("priceLists",)).select(
+    lists = P.shaped(P.parse(raw), ("productId",), ("priceLists",)).select(
         P.text("productId").alias("product_id"), F.explode(P.items("priceLists")).alias("list"))
-    df = P.shaped(lists, ("", "quantityPrice"), of="list").select(
+    df = P.shaped(lists, ("priceListId", "quantityPrice."), of="list").select(
         "product_id",
         P.text("priceListId", "list").alias("price_list_id"),
         _filled(P.text("quantityPrice['1']", "list")).alias("price"),
@@ -211,9 +213,9 @@ def price_rows(raw: DataFrame, now: Column) -> DataFrame:
 def availability_rows(raw: DataFrame, now: Column) -> DataFrame:
     """One row per product and warehouse, from maps of maps."""
     products = P.shaped(P.parse(raw), ("",)).select(F.explode(P.members("")).alias("product_id", "a"))
-    stock = P.shaped(products, ("", "warehouses"), of="a").select(
+    stock = P.shaped(products, ("warehouses", "warehouses."), of="a").select(
         "product_id", F.explode(P.members("warehouses", "a")).alias("warehouse_id", "w"))
-    df = P.shaped(stock, ("",), of="w").select(
+    df = P.shaped(stock, ("onHand",), of="w").select(
         "product_id", "warehouse_id",
         P.text("onHand", "w").alias("on_hand"), P.text("allocated", "w").alias("allocated"),
         P.text("inStock", "w").alias("in_stock"), P.text("onOrder", "w").alias("on_order"),

@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tradelake.functions.json_text import is_array, is_object
-
 MEMBERS, ITEMS = "map<string,variant>", "array<variant>"
 
 # What stands for an absent object or list.
@@ -63,18 +61,28 @@ def present(path: str, of: str = "p") -> Column:
 
 
 def shaped(df: DataFrame, objects: tuple[str, ...] = (), lists: tuple[str, ...] = (), of: str = "p") -> DataFrame:
-    """df, checked: what stands at these paths is an object, or a list, or absent.
+    """df, checked: what stands at certain paths is an object, or a list, or absent.
 
-    Whether an empty value stands for an absent object is decided by its path:
-    the same value under a free key stays what it is.
+    An object is named by the path of one of its members, usually there, which
+    proves it cheaply: "a.b" for an object `a`, "id" for the record itself, "a."
+    if no member is known. Whether an empty value stands for an absent object is
+    so decided by its path: under a free key the same value stays what it is.
     """
-    problem = F.lit(None).cast("string")
-    for paths, fits, kind in ((objects, is_object, "object"), (lists, is_array, "list")):
-        for path in paths:
-            value = F.variant_get(of, _path(path), "variant")
-            odd = value.isNotNull() & ~fits(value) & present(path, of).isNotNull()
-            problem = F.when(odd, F.lit(f"{path or 'record'}: no {kind}")).otherwise(problem)
-    return df.filter(F.when(problem.isNotNull(), F.raise_error(problem).cast("boolean")).otherwise(F.lit(True)))
+
+    def problem(path: str, first: Column | None, whole: Column, kind: str) -> Column:
+        odd = whole.isNull() & present(path, of).isNotNull()
+        return F.when(odd if first is None else first.isNull() & odd, F.lit(f"{path or 'record'}: no {kind}"))
+
+    def at(path: str) -> Column:
+        return F.variant_get(of, _path(path), "variant")
+
+    found = []
+    for path in objects:
+        parent, _, member = path.rpartition(".")
+        found.append(problem(parent, at(path) if member else None, members(parent, of), "object"))
+    found += [problem(path, at(f"{path}[0]"), items(path, of), "list") for path in lists]
+    first = F.coalesce(*found)
+    return df.filter(F.when(first.isNotNull(), F.raise_error(first).cast("boolean")).otherwise(F.lit(True)))
 
 
 def _path(path: str) -> str:

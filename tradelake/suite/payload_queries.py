@@ -6,7 +6,7 @@ gathered into one payload; each is a small group whatever the size of the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tradelake.operators import projections
 from tradelake.session import work_folder
@@ -23,7 +23,7 @@ def now() -> Column:
     return F.lit(NOW).cast("timestamp")
 
 
-def iso(ts: str) -> Column:
+def iso(ts: str | Column) -> Column:
     """Noon of a day, five hours west of UTC, as ISO text."""
     return F.concat(F.date_format(ts, "yyyy-MM-dd"), F.lit("T12:00:00.000-05:00"))
 
@@ -87,8 +87,9 @@ def order_payloads(t: ErpTables) -> DataFrame:
 
 
 def _gathered(key: Column, value: Column) -> Column:
-    """The (key, value) pairs of a group as one map."""
-    return F.map_from_entries(F.collect_list(F.struct(key.alias("key"), value.alias("value"))))
+    """The members of a group as the text of one JSON object."""
+    member = F.concat(F.lit('"'), key, F.lit('":'), F.to_json(value))
+    return F.concat(F.lit("{"), F.array_join(F.collect_list(member), ","), F.lit("}"))
 
 
 def line_payloads(t: ErpTables) -> DataFrame:
@@ -115,11 +116,13 @@ def line_payloads(t: ErpTables) -> DataFrame:
             (F.col("row_sequence") - 1).alias("parentOrderRowId"),
         ).alias("composition"),
     )
-    orders = t["order_rows"].groupBy("order_id").agg(
-        F.max("when_upserted").alias("changed"), _gathered(_text("order_row_id"), line).alias("orderRows"),
-    )
-    payload = F.struct(F.col("order_id").alias("id"), iso("changed").alias("updatedOn"), "orderRows")
-    return orders.select(F.to_json(payload).alias("raw_payload"))
+    # a line id that repeats in an order goes to a further payload of it
+    nth = F.row_number().over(Window.partitionBy("order_id", "order_row_id").orderBy("product_id"))
+    orders = t["order_rows"].withColumn("nth", nth).groupBy("order_id", "nth").agg(
+        _gathered(_text("order_row_id"), line).alias("orderRows"))
+    changed = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("order_id") % 1000).cast("int"))
+    head = F.concat(F.lit('{"id":'), _text("order_id"), F.lit(',"updatedOn":"'), iso(changed), F.lit('","orderRows":'))
+    return orders.select(F.concat(head, "orderRows", F.lit("}")).alias("raw_payload"))
 
 
 def product_payloads(t: ErpTables) -> DataFrame:
@@ -185,8 +188,8 @@ def availability_payloads(t: ErpTables) -> DataFrame:
     )
     products = t["product_availability"].groupBy("product_id").agg(
         _gathered(_text("warehouse_id"), amounts).alias("warehouses"))
-    payload = F.create_map(_text("product_id"), F.struct("warehouses"))
-    return products.select("product_id", F.to_json(payload).alias("raw_payload"))
+    payload = F.concat(F.lit('{"'), _text("product_id"), F.lit('":{"warehouses":'), "warehouses", F.lit("}}"))
+    return products.select("product_id", payload.alias("raw_payload"))
 
 
 def supplier_payloads(t: ErpTables) -> DataFrame:
@@ -357,7 +360,7 @@ SELECT order_row_id, order_id, nullif(row_sequence, 1) AS row_sequence, product_
   row_sequence = 2 AS bundle_parent, CAST(NULL AS BOOLEAN) AS bundle_child,
   nullif(row_sequence - 1, 0) AS parent_order_row_id,
   CASE WHEN row_sequence > 3 THEN '{{"Color":"' || nominal_code || '","quantity":""}}' END AS product_options,
-  {sql_time("max(when_upserted) OVER (PARTITION BY order_id) + INTERVAL 17 HOUR")} AS order_updated_on
+  {sql_time("DATE '1995-01-01' + CAST(order_id % 1000 AS INTEGER) + INTERVAL 17 HOUR")} AS order_updated_on
 FROM erp_order_rows"""),
     "payload_product": with_adapters("erp_products", select="""
 SELECT product_id, sku, '' AS barcode, CASE WHEN status = 'LIVE' THEN 'New ' || name END AS name, status,
