@@ -1,6 +1,8 @@
 import json
 from datetime import datetime, timedelta
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,3 +277,35 @@ def test_limited_runs_get_past_rows_without_a_time(spark, sync, limit):
             counts.append(sync.by_updated("rows", rows, limit=limit))
             assert len(counts) < 9
         assert sum(counts) == 9 and names(sync.store) == dict.fromkeys(range(9), name)
+
+
+def test_rows_without_a_time_are_found_later(spark, sync):
+    def source(*rows):
+        return spark.createDataFrame([(i, t, NOW) for i, t in rows], "order_id BIGINT, updated_on TIMESTAMP, when_upserted TIMESTAMP")
+
+    sync.by_updated("orders", source((1, NOW), (2, None)))
+    assert sync.by_updated("orders", source((1, NOW), (2, None), (3, None), (4, NOW))) == 3  # 2 is known
+    assert sorted(r["order_id"] for r in sync.store.read("orders").collect()) == [1, 2, 3, 4]
+
+
+def test_id_sets_equal_python_sets(spark):
+    from tradelake.operators import id_sets
+
+    rng = random.Random(5)
+    spread = [0, 1, -1, 32767, 32768, 32769, 65536, -32768, -32769, 2**40, -(2**40), *(rng.randrange(-10**5, 10**5) for _ in range(300))]
+    ours, theirs = set(spread), {i for i in spread if rng.random() < 0.7} | {5, 2**41}
+    frames = [spark.createDataFrame([(i,) for s in ((*ids, None, *list(ids)[:9]),) for i in s], "id BIGINT") for ids in (ours, theirs)]
+    pages = id_sets.compared(*frames)
+    n = pages.agg(*[F.sum(c).alias(c) for c in ("ours", "theirs", "missing")]).first()
+    assert (n["ours"], n["theirs"], n["missing"]) == (len(ours), len(theirs), len(ours - theirs))
+    assert {r["id"] for r in id_sets.missing(*frames, pages).collect()} == ours - theirs
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_a_refused_reconcile_joins_nothing(spark, sync, monkeypatch):
+    from tradelake.operators import id_sets
+
+    monkeypatch.setattr(id_sets, "missing", lambda *a: pytest.fail("joined"))
+    sync.store.truncate_load("contacts", contacts(spark, 10))
+    assert sync.reconcile("contacts", contacts(spark, 5).select("contact_id")) is None

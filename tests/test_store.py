@@ -5,10 +5,9 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tradelake.operators import keyed
-from tradelake.operators.store import (
-    MalformedPayload, TableStore, VersionTaken, append_log, read_log, replace_snapshot, short_log, usable_payloads,
-)
 from tradelake.operators import projections
+from tradelake.operators.question_log import append_log, read_log, short_log
+from tradelake.operators.snapshots import MalformedPayload, replace_snapshot, usable_payloads
 from tradelake.schemas import TableSpec, table_schema
 from tradelake.session import work_folder
 
@@ -33,6 +32,14 @@ def content(store, name="things"):
     return sorted(((r["thing_id"], r["name"]) for r in store.read(name).collect()), key=lambda r: (r[0] is None, r))
 
 
+def files_of(store, name="things"):
+    """Data files of each bucket folder."""
+    out = {}
+    for path in store.read(name).inputFiles():
+        out.setdefault(path.rsplit("/", 2)[1], set()).add(path)
+    return out
+
+
 def test_new_table_is_empty(things):
     assert not things.exists("things")
     assert content(things) == []
@@ -56,9 +63,9 @@ def test_upsert_twice_is_once(spark, things):
 
 def test_empty_upsert_changes_nothing(spark, things):
     things.upsert("things", frame(spark, (1, "a", 1)))
-    before = things._manifest("things")
+    before = files_of(things)
     assert things.upsert("things", frame(spark)) == 0
-    assert things._manifest("things") == before
+    assert files_of(things) == before
 
 
 def test_null_keys_are_added_each_time(spark, things):
@@ -69,10 +76,10 @@ def test_null_keys_are_added_each_time(spark, things):
 
 def test_small_upsert_leaves_other_buckets_alone(spark, things):
     things.truncate_load("things", frame(spark, *[(i, "a", 1) for i in range(200)]))
-    before = things._manifest("things")[1]["folders"]
+    before = files_of(things)
     assert len(before) == 8
     things.upsert("things", frame(spark, (7, "b", 2)))
-    after = things._manifest("things")[1]["folders"]
+    after = files_of(things)
     assert sum(before[b] != after[b] for b in before) == 1
     assert things.read("things").count() == 200
     assert things.read("things").filter("name = 'b'").count() == 1
@@ -101,18 +108,21 @@ def test_failed_load_keeps_table(spark, things):
     assert content(things) == [(1, "a")]
 
 
-def test_readers_keep_their_version(spark, things):
-    things.truncate_load("things", frame(spark, (1, "a", 1)))
-    old = things.read("things")
-    things.upsert("things", frame(spark, (1, "b", 2)))
-    assert old.collect()[0]["name"] == "a"
+def test_a_change_that_fails_keeps_the_table(spark, things):
+    things.truncate_load("things", frame(spark, *[(i, "a", 1) for i in range(20)]))
+    before = files_of(things)
+    failing = frame(spark, (2, "b", 1)).withColumn("name", F.raise_error(F.lit("source broke")).cast("string"))
+    with pytest.raises(Exception, match="source broke"):
+        things.upsert("things", failing)
+    assert files_of(things) == before and len(content(things)) == 20
 
 
-def test_two_writers_cannot_publish_one_version(spark, things):
-    things.truncate_load("things", frame(spark, (1, "a", 1)))
-    with pytest.raises(VersionTaken):
-        things._commit(things.spec("things"), 1, {})
-    assert content(things) == [(1, "a")]
+def test_a_batch_is_measured_while_it_is_written(spark, things):
+    with things.staged("things", frame(spark, (1, "a", 1), (7, "b", 3)), high=F.max("thing_id"), time=F.max("when_upserted")) as batch:
+        assert batch.measures == {"rows": 2, "high": 7, "time": at(3)}
+        assert batch.rows.count() == 2
+    with things.staged("things", frame(spark), high=F.max("thing_id")) as batch:
+        assert batch.measures == {"rows": 0, "high": None}
 
 
 def test_new_column_reads_null_in_old_rows(spark, things):
@@ -131,10 +141,11 @@ def test_string_keys(spark, things):
     assert sorted(r["name"] for r in things.read("codes").collect()) == ["two", "two"]
 
 
-def test_old_versions_can_be_dropped(spark, things):
-    things.truncate_load("things", frame(spark, *[(i, "a", 1) for i in range(50)]))
-    things.upsert("things", frame(spark, (1, "b", 2)))
-    assert things.drop_old_versions("things") == 1
+def test_whole_loads_leave_one_folder(spark, things):
+    for name in ("a", "b"):
+        things.truncate_load("things", frame(spark, *[(i, name, 1) for i in range(50)]))
+        things.upsert("things", frame(spark, (1, "c", 2)))
+    assert len([f for f in things._fs.listStatus(things._path(f"{things.root}/things")) if f.isDirectory()]) == 1
     assert things.read("things").count() == 50
 
 
@@ -311,31 +322,15 @@ def test_other_bucket_counts_do_not_double_keys(spark, things):
     assert things.spec("things").buckets == 16 and len(content(things)) == 50
 
 
-def test_a_publish_cut_short_leaves_the_old_table(spark, things):
+def test_a_load_cut_short_leaves_the_old_table(spark, things):
     things.truncate_load("things", frame(spark, (1, "a", 1)))
-    draft = f"{things.root}/things/_manifest/_cut.draft"
-    things._fs.create(things._path(draft), False).close()
+    frame(spark, (9, "z", 1)).write.parquet(f"{things.root}/things/d-cut")
+    things._fs.create(things._path(f"{things.root}/things/_cut.draft"), False).close()
     assert content(things) == [(1, "a")]
     things.upsert("things", frame(spark, (2, "b", 1)))
     assert content(things) == [(1, "a"), (2, "b")]
 
 
-def test_a_second_writer_starts_anew(spark, things):
-    things.truncate_load("things", frame(spark, (1, "a", 1)))
-    write, once = things._write, []
-
-    def slow(spec, version, rows):
-        out = write(spec, version, rows)
-        if not once:
-            once.append(1)
-            TableStore(spark, things.root, things.specs).upsert("things", frame(spark, (2, "b", 1)))
-        return out
-
-    things._write = slow
-    things.upsert("things", frame(spark, (3, "c", 1)))
-    assert content(things) == [(1, "a"), (2, "b"), (3, "c")]
-
-
 def test_keys_that_repeat_are_not_upserted(spark, store):
     prices = store.read("product_prices")
     with pytest.raises(ValueError, match="does not tell rows apart"):

@@ -6,12 +6,14 @@ from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tradelake.functions.coerce import snake_case
 from tradelake.functions.predicates import live
+from tradelake.operators import id_sets
 from tradelake.operators.state import STATE, after_runs, run_records, save_runs
-from tradelake.operators.store import TableStore, replace_snapshot
+from tradelake.operators.snapshots import replace_snapshot
+from tradelake.operators.store import Batch, TableStore
 from tradelake.schemas import RESOURCES, Resource, TableSpec
 from tradelake.sources.pages import page_columns, page_rows, table_schema_for
 from tradelake.sources.reference_items import reference_rows
@@ -53,12 +55,19 @@ def next_changes(df: DataFrame, column: str, key: str, limit: int, after: tuple
     return df.orderBy(F.col(column).asc_nulls_first(), key).limit(limit)
 
 
-def watermarks(df: DataFrame, key: str | None, column: str | None) -> Row:
-    """The highest id and change time of a batch."""
-    return df.agg(
-        (F.max(key) if key else F.lit(None).cast("bigint")).alias("id"),
-        (F.max(column) if column else F.lit(None).cast("timestamp")).alias("time"),
-    ).first()
+def watermarks(key: str | None, column: str | None) -> dict[str, Column]:
+    """The highest id and change time of a batch, measured while it is written."""
+    return {
+        "id": F.max(key if key else F.lit(None).cast("bigint")),
+        "time": F.max(column if column else F.lit(None).cast("timestamp")),
+    }
+
+
+def reached(key: str, column: str) -> dict[str, Column]:
+    """The last (time, id) of a batch in the order of `next_changes`, measured while it is written."""
+    known = F.col(column).isNotNull()
+    last = F.max(F.struct(known, column, key))
+    return {"last_time": last[column], "last_id": last[key], "time": F.max(column)}
 
 
 def _higher(old, new):
@@ -100,50 +109,53 @@ class Sync:
         self, name: str, rows: DataFrame, kind: str, key: str | None, column: str | None
     ) -> int:
         old = self.state(name)
-        with self.store.staged(name, rows) as batch:
-            high = watermarks(batch, key, column)
+        with self.store.staged(name, rows, **watermarks(key, column)) as batch:
             count = self.store.upsert_staged(name, batch)
         return self._record(
             name, kind, count,
-            watermark_id=_higher(old.get("watermark_id"), high["id"]),
-            watermark_updated_on=_higher(old.get("watermark_updated_on"), high["time"]),
+            watermark_id=_higher(old.get("watermark_id"), batch.measures["id"]),
+            watermark_updated_on=_higher(old.get("watermark_updated_on"), batch.measures["time"]),
         )
 
-    def _changes(self, name: str, source: DataFrame, column: str, key: str, full: bool, limit: int | None) -> tuple[DataFrame, str]:
+    def _changes(
+        self, name: str, source: DataFrame, column: str, key: str, old: dict, limit: int | None
+    ) -> tuple[DataFrame, str]:
         """The changes a run takes, and its kind.
 
         A run that its limit cut short leaves the last (time, id) it loaded,
         and the next one goes on behind it. Only a run that has caught up
-        reaches back by the overlap again.
+        reaches back by the overlap again. Rows without a time are taken by every
+        run that finds them new: no watermark can tell that they are.
         """
-        old = {} if full else self.state(name)
         cut = old.get("last_run_kind") in (PARTIAL, PARTIAL_UNTIMED)
         mark = None if old.get("last_run_kind") == PARTIAL_UNTIMED else old.get("watermark_updated_on")
         if limit is not None and cut:
             return next_changes(source, column, key, limit, (mark, old["watermark_id"])), "sweep"
         rows = source.filter(F.col(column) >= F.lit(mark)) if cut and mark else changed_since(source, column, mark)
+        if mark:
+            untimed, known = source.filter(F.col(column).isNull()), self.store.read(name).select(key)
+            rows = rows.unionByName(untimed.join(known, key, "left_anti").select(*source.columns))
         kind = "sweep" if mark else "backfill"
         return (rows if limit is None else next_changes(rows, column, key, limit, None)), kind
 
-    def _reached(self, name: str, batch: DataFrame, column: str, key: str, count: int, kind: str, limit: int | None) -> int:
+    def _reached(self, name: str, batch: Batch, old: dict, kind: str, limit: int | None) -> int:
         """Record a run by time: at its limit where it stopped, else the highest time."""
+        seen, count = batch.measures, batch.measures["rows"]
         if limit is not None and count >= limit:
-            last = batch.agg(F.max_by(F.struct(column, key), F.struct(F.col(column).isNotNull(), column, key)).alias("at")).first()["at"]
-            kind = PARTIAL_UNTIMED if last[0] is None else PARTIAL
-            return self._record(name, kind, count, watermark_updated_on=last[0], watermark_id=last[1])
-        high = watermarks(batch, None, column)["time"]
-        return self._record(name, kind, count, watermark_updated_on=_higher(self.state(name).get("watermark_updated_on"), high))
+            kind = PARTIAL_UNTIMED if seen["last_time"] is None else PARTIAL
+            return self._record(name, kind, count, watermark_updated_on=seen["last_time"], watermark_id=seen["last_id"])
+        return self._record(name, kind, count, watermark_updated_on=_higher(old.get("watermark_updated_on"), seen["time"]))
 
     def by_updated(
         self, name: str, source: DataFrame, column: str = "updated_on", full: bool = False,
         limit: int | None = None,
     ) -> int:
         """Upsert the rows changed since the last run, at most `limit` of them."""
-        key = self.store.specs[name].key
-        rows, kind = self._changes(name, source, column, key, full, limit)
-        with self.store.staged(name, rows) as batch:
-            count = self.store.upsert_staged(name, batch)
-            return self._reached(name, batch, column, key, count, kind, limit)
+        key, old = self.store.specs[name].key, self.state(name)
+        rows, kind = self._changes(name, source, column, key, {} if full else old, limit)
+        with self.store.staged(name, rows, **reached(key, column)) as batch:
+            self.store.upsert_staged(name, batch)
+        return self._reached(name, batch, old, kind, limit)
 
     def by_id(self, name: str, source: DataFrame, full: bool = False) -> int:
         """Upsert the rows with ids above the last one seen."""
@@ -161,14 +173,15 @@ class Sync:
 
     def orders(self, headers: DataFrame, lines: DataFrame, full: bool = False, limit: int | None = None) -> int:
         """Changed order headers, at most `limit` of them, and the lines of exactly those orders."""
-        changed, kind = self._changes("orders", headers, "updated_on", "order_id", full, limit)
-        with self.store.staged("orders", changed) as batch:
-            count = self.store.upsert_staged("orders", batch)
-            parents = batch.select("order_id").distinct()
+        old = self.state("orders")
+        changed, kind = self._changes("orders", headers, "updated_on", "order_id", {} if full else old, limit)
+        with self.store.staged("orders", changed, **reached("order_id", "updated_on")) as batch:
+            self.store.upsert_staged("orders", batch)
+            parents = batch.rows.select("order_id").distinct()
             self.store.replace_children(
                 "order_rows", parents, lines.join(parents, "order_id", "left_semi")
             )
-            return self._reached("orders", batch, "updated_on", "order_id", count, kind, limit)
+        return self._reached("orders", batch, old, kind, limit)
 
     def pages(self, resource: str | Resource, pages: DataFrame, full: bool = False) -> int:
         """Load the result pages of a searchable resource by its mode.
@@ -202,12 +215,14 @@ class Sync:
         as refused and the result is None.
         """
         key = self.store.specs[name].key
-        alive = self.store.read(name).filter(live()).select(key)
-        with self.store.scratch(alive.join(source_ids.select(key), key, "left_anti")) as gone:
-            missing, rows = gone.count(), alive.count()
-            if missing > rows * MAX_MISSING_SHARE or (rows and source_ids.isEmpty()):
-                self._record(name, "reconcile refused", missing)
+        alive, there = self.store.read(name).filter(live()).select(key), source_ids.select(key)
+        totals = {n: F.coalesce(F.sum(n), F.lit(0)) for n in ("ours", "theirs", "missing")}
+        with self.store.scratch(id_sets.compared(alive, there), **totals) as pages:
+            n = pages.measures
+            if n["missing"] > n["ours"] * MAX_MISSING_SHARE or (n["ours"] and not n["theirs"]):
+                self._record(name, "reconcile refused", n["missing"])
                 return None
+            gone = id_sets.missing(alive, there, pages.rows)
             return self._record(name, "reconcile", self.store.mark_deleted(name, gone, F.lit(self.now).cast("timestamp")))
 
     def derived(self, name: str, fetched: DataFrame, to_rows: Callable[[DataFrame], DataFrame]) -> int:

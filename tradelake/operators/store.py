@@ -1,34 +1,42 @@
-"""Keyed tables on plain Parquet.
-
-A table is a set of bucket folders, a bucket being a hash of the clustering
-column. Every change writes new folders for the buckets it touches and then
-publishes one small pointer file: written under another name, closed, and
-renamed without overwriting. So readers see the old or the new table, also after
-a job that was cut short, and of two writers one starts anew from the other's
-version. The pointer keeps the bucket count and the columns of the table, which
-a later declaration can add to but not take from.
+"""Keyed tables on plain Parquet, changed by dynamic partition overwrite.
+
+A table is a folder partitioned by a hash bucket of its clustering column. A
+change reads the buckets it touches and writes them again with Spark's
+`partitionOverwriteMode=dynamic`, which replaces exactly the partitions that the
+new rows lie in; a touched bucket that ends up empty is removed after that.
+Whole loads go to a new folder. One small file per table names its folder, its
+bucket count and its columns, which a later declaration can add to but not take
+from.
+
+A table has one writer at a time. Every change replaces rows by key, so one that
+was cut short is simply run again. A frame read before a change must not be
+evaluated after it: `scratch` keeps rows that have to outlive one.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import replace
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import replace
+from typing import NamedTuple
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tradelake.operators.keyed import (
     children_replaced, latest_per_key, marked_deleted, upserted,
 )
-from tradelake.schemas import QUESTION_LOG, TABLES, TableSpec, conform
+from tradelake.schemas import TABLES, TableSpec, conform
 
 BUCKET = "kb"
-#: How often a change starts anew after another writer's.
-TRIES = 5
-NOTHING = {"buckets": None, "schema": None, "folders": {}}
+
+
+class Batch(NamedTuple):
+    """Written rows, and what was measured while they were written."""
+
+    rows: DataFrame
+    measures: dict
 
 
 class TableStore:
@@ -38,48 +46,37 @@ class TableStore:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    # -- files
+    # -- what is stored
 
-    def _names(self, folder: str) -> list[str]:
-        path = self._path(folder)
+    def _stored(self, name: str) -> dict:
+        """Folder, bucket count and columns of a table; {} if there is none."""
+        path = self._path(f"{self.root}/{name}/_table.json")
         if not self._fs.exists(path):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(path))
-
-    def _manifest(self, name: str) -> tuple[int, dict]:
-        """The current version and what it holds; (0, NOTHING) for a new table."""
-        files = [n for n in self._names(f"{self.root}/{name}/_manifest") if n.endswith(".json")]
-        if not files:
-            return 0, NOTHING
-        stream = self._fs.open(self._path(f"{self.root}/{name}/_manifest/{files[-1]}"))
+            return {}
+        stream = self._fs.open(path)
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return int(files[-1].split(".")[0]), json.loads(text)
 
-    def _commit(self, spec: TableSpec, version: int, folders: dict[str, str]) -> None:
-        """Publish a version; VersionTaken if another writer published it first."""
-        folder = f"{self.root}/{spec.name}/_manifest"
-        draft = self._path(f"{folder}/_{uuid.uuid4().hex}.draft")
+    def _point(self, name: str, folder: str, spec: TableSpec | None = None) -> None:
+        """Make a folder the table's current one, in one rename; the one before is deleted."""
+        holds = {"folder": folder}
+        if spec:
+            holds |= {"buckets": spec.buckets, "schema": spec.schema.jsonValue()}
+        old, base, jvm = self._stored(name).get("folder"), f"{self.root}/{name}", self.spark._jvm
+        self._fs.mkdirs(self._path(f"{base}/{folder}"))
+        draft = self._fs.makeQualified(self._path(f"{base}/_{uuid.uuid4().hex}.draft"))
         stream = self._fs.create(draft, False)
-        try:
-            holds = {"buckets": spec.buckets, "schema": spec.schema.jsonValue(), "folders": folders}
-            stream.write(bytearray(json.dumps(holds).encode()))
-        finally:
-            stream.close()
-        jvm = self.spark._jvm
+        stream.write(bytearray(json.dumps(holds).encode()))
+        stream.close()
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
         files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration())
-        no_options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        try:
-            files.rename(self._fs.makeQualified(draft), self._fs.makeQualified(self._path(f"{folder}/{version:010d}.json")), no_options)
-        except Py4JJavaError as e:
-            self._fs.delete(draft, False)
-            if "FileAlreadyExistsException" in str(e.java_exception):
-                raise VersionTaken(f"{spec.name} version {version}") from e
-            raise
-
-    # -- tables
+        files.rename(draft, self._fs.makeQualified(self._path(f"{base}/_table.json")), options)
+        if old and old != folder:
+            self._fs.delete(self._path(f"{base}/{old}"), True)
 
     def register(self, spec: TableSpec) -> TableSpec:
         """Declare a table, or a wider schema for one; old rows read NULL there."""
@@ -88,8 +85,8 @@ class TableStore:
 
     def spec(self, name: str) -> TableSpec:
         """A declared table with the stored columns it leaves out and the stored bucket count."""
-        spec, (_, stored) = self.specs[name], self._manifest(name)
-        if stored["schema"] is None:
+        spec, stored = self.specs[name], self._stored(name)
+        if "schema" not in stored:
             return spec
         declared = {f.name: f.dataType for f in spec.schema.fields}
         old = T.StructType.fromJson(stored["schema"]).fields
@@ -99,53 +96,35 @@ class TableStore:
         return replace(spec, schema=T.StructType([*spec.schema.fields, *kept]), buckets=stored["buckets"])
 
     def exists(self, name: str) -> bool:
-        return self._manifest(name)[0] > 0
+        return bool(self._stored(name))
 
     def read(self, name: str) -> DataFrame:
-        """The current version of a table."""
-        return self._scan(self.spec(name), list(self._manifest(name)[1]["folders"].values()))
-
-    def _scan(self, spec: TableSpec, folders: list[str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], spec.schema)
-        paths = [f"{self.root}/{spec.name}/{f}" for f in folders]
-        return self.spark.read.schema(spec.schema).parquet(*paths)
-
-    def _bucket(self, spec: TableSpec) -> Column:
-        return F.pmod(F.xxhash64(spec.cluster_column), F.lit(spec.buckets)).cast("int")
+        """The current rows of a table."""
+        return self._scan(self.spec(name)).drop(BUCKET)
 
-    def _write(self, spec: TableSpec, version: int, rows: DataFrame) -> dict[str, str]:
-        """Write rows as new bucket folders and return them.
+    def _scan(self, spec: TableSpec) -> DataFrame:
+        schema = T.StructType([*spec.schema.fields, T.StructField(BUCKET, T.IntegerType())])
+        folder = self._stored(spec.name).get("folder")
+        if not folder:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{spec.name}/{folder}")
 
-        The rebalance hint gathers each bucket in as few tasks as its size asks
-        for and splits large ones; sorting inside files makes row groups
-        skippable by the clustering column.
-        """
-        folder = f"v{version}-{uuid.uuid4().hex[:8]}"
-        path = f"{self.root}/{spec.name}/{folder}"
-        (
-            rows.withColumn(BUCKET, self._bucket(spec))
-            .hint("rebalance", BUCKET)
-            .sortWithinPartitions(BUCKET, spec.cluster_column)
-            .write.partitionBy(BUCKET)
-            .parquet(path)
-        )
-        prefix = f"{BUCKET}="
-        return {
-            n.removeprefix(prefix): f"{folder}/{n}"
-            for n in self._names(path) if n.startswith(prefix)
-        }
+    # -- batches
 
     @contextmanager
-    def scratch(self, rows: DataFrame) -> Iterator[DataFrame]:
-        """Rows as a written table, dropped afterwards.
+    def scratch(self, rows: DataFrame, **measures: Column) -> Iterator[Batch]:
+        """Rows as a written table, dropped afterwards, and aggregates of them.
 
-        What made them runs once, and lost executors only re-read files.
+        What made the rows runs once, and lost executors only re-read files. The
+        aggregates come from the pass that writes, in its last stage, where a
+        task that is run twice counts once.
         """
         path = f"{self.root}/_staging/{uuid.uuid4().hex}"
-        rows.write.parquet(path)
+        seen = Observation()
+        aggregates = {"rows": F.count(F.lit(1)), **measures}
+        rows.observe(seen, *[c.alias(name) for name, c in aggregates.items()]).write.parquet(path)
         try:
-            yield self.spark.read.schema(rows.schema).parquet(path)
+            yield Batch(self.spark.read.schema(rows.schema).parquet(path), seen.get)
         finally:
             self._fs.delete(self._path(path), True)
 
@@ -163,58 +142,87 @@ class TableStore:
         return typed.select(*[checked(f.name, f.dataType) for f in spec.schema.fields])
 
     @contextmanager
-    def staged(self, name: str, rows: DataFrame) -> Iterator[DataFrame]:
+    def staged(self, name: str, rows: DataFrame, **measures: Column) -> Iterator[Batch]:
         """A batch for a table as scratch, typed and checked."""
-        with self.scratch(self._typed(self.spec(name), rows)) as batch:
+        with self.scratch(self._typed(self.spec(name), rows), **measures) as batch:
             yield batch
 
-    def _change(
-        self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame]
-    ) -> None:
+    # -- buckets
+
+    def _bucket(self, spec: TableSpec) -> Column:
+        return F.pmod(F.xxhash64(spec.cluster_column), F.lit(spec.buckets)).cast("int")
+
+    def _write(self, spec: TableSpec, folder: str, rows: DataFrame) -> int:
+        """Write rows into their buckets, in place of what these held, and count them.
+
+        The rebalance hint gathers each bucket in as few tasks as its size asks
+        for and splits large ones; sorting inside files makes row groups
+        skippable by the clustering column.
+        """
+        seen = Observation()
+        (
+            rows.withColumn(BUCKET, self._bucket(spec))
+            .hint("rebalance", BUCKET)
+            .sortWithinPartitions(BUCKET, spec.cluster_column)
+            .observe(seen, F.count(F.lit(1)).alias("rows"))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy(BUCKET).parquet(f"{self.root}/{spec.name}/{folder}")
+        )
+        return seen.get["rows"]
+
+    def _files(self, spec: TableSpec, folder: str, buckets: list[int]) -> dict[str, set[str]]:
+        """Names of the files of some buckets, by bucket folder."""
+        out = {}
+        for path in (f"{self.root}/{spec.name}/{folder}/{BUCKET}={b}" for b in buckets):
+            if self._fs.exists(self._path(path)):
+                out[path] = {s.getPath().getName() for s in self._fs.listStatus(self._path(path))}
+        return out
+
+    def _change(self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
         """Apply a change to the buckets that hold `keys`, and to no others."""
-        for left in reversed(range(TRIES)):
-            spec, (version, stored) = self.spec(name), self._manifest(name)
-            # At most spec.buckets numbers reach the driver.
-            touched = {str(r[0]) for r in keys.select(self._bucket(spec)).distinct().collect()}
-            if not touched:
-                return
-            old = self._scan(spec, [f for b, f in stored["folders"].items() if b in touched])
-            new = self._write(spec, version + 1, change(old))
-            kept = {b: f for b, f in stored["folders"].items() if b not in touched}
-            try:
-                return self._commit(spec, version + 1, {**kept, **new})
-            except VersionTaken:
-                if not left:
-                    raise
+        spec, stored = self.spec(name), self._stored(name)
+        # At most spec.buckets numbers reach the driver.
+        touched = [r[0] for r in keys.select(self._bucket(spec)).distinct().collect()]
+        if not touched:
+            return
+        folder = stored.get("folder") or f"d-{uuid.uuid4().hex[:8]}"
+        before = self._files(spec, folder, touched)
+        old = self._scan(spec).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
+        self._write(spec, folder, change(old))
+        for path, files in self._files(spec, folder, touched).items():
+            if files & before.get(path, set()):  # not written again: its rows are gone
+                self._fs.delete(self._path(path), True)
+        if stored.get("schema") != spec.schema.jsonValue():
+            self._point(name, folder, spec)
 
     # -- writes
 
     def truncate_load(self, name: str, rows: DataFrame) -> int:
         """Replace the whole table, in as many buckets as declared; an empty frame empties it."""
         spec = replace(self.spec(name), buckets=self.specs[name].buckets)
-        version = self._manifest(name)[0] + 1
-        self._commit(spec, version, self._write(spec, version, self._typed(spec, rows)))
-        return self.read(name).count()
+        folder = f"d-{uuid.uuid4().hex[:8]}"
+        count = self._write(spec, folder, self._typed(spec, rows))
+        self._point(name, folder, spec)
+        return count
 
     def upsert(self, name: str, rows: DataFrame, tie_break: tuple[str, ...] = ()) -> int:
         """Newest row per key replaces or joins the table; returns the rows given."""
         with self.staged(name, rows) as batch:
             return self.upsert_staged(name, batch, tie_break)
 
-    def upsert_staged(self, name: str, batch: DataFrame, tie_break: tuple[str, ...] = ()) -> int:
-        spec = self.spec(name)
+    def upsert_staged(self, name: str, batch: Batch, tie_break: tuple[str, ...] = ()) -> int:
+        spec, count = self.spec(name), batch.measures["rows"]
         if not spec.unique:
             raise ValueError(f"{name}.{spec.key} does not tell rows apart: replace the rows of a parent instead")
-        count = batch.count()
         if count:
-            newest = latest_per_key(batch, spec.key, spec.order_col, tie_break)
+            newest = latest_per_key(batch.rows, spec.key, spec.order_col, tie_break)
             # A child table is clustered by its parent, so the old row of a key
             # may lie in a bucket the new one does not: those buckets change too.
-            keys = batch.select(spec.cluster_column)
+            keys = batch.rows.select(spec.cluster_column)
             if spec.cluster_column != spec.key:
-                old = self.read(name).join(batch.select(spec.key), spec.key, "left_semi")
+                old = self.read(name).join(batch.rows.select(spec.key), spec.key, "left_semi")
                 keys = keys.unionAll(old.select(spec.cluster_column))
-            self._change(name, keys, lambda old: upserted(old, batch, newest, spec.key))
+            self._change(name, keys, lambda old: upserted(old, batch.rows, newest, spec.key))
         return count
 
     def replace_children(self, name: str, parents: DataFrame, rows: DataFrame) -> int:
@@ -224,113 +232,30 @@ class TableStore:
             self.staged(name, rows) as batch,
             self.scratch(parents.select(parent_field).distinct()) as replaced,
         ):
-            count = batch.count()
             self._change(
                 name,
-                replaced.unionByName(batch.select(parent_field)),
-                lambda old: children_replaced(old, replaced, batch, parent_field),
+                replaced.rows.unionByName(batch.rows.select(parent_field)),
+                lambda old: children_replaced(old, replaced.rows, batch.rows, parent_field),
             )
-        return count
+        return batch.measures["rows"]
 
     def mark_deleted(self, name: str, ids: DataFrame, now: Column) -> int:
         """Soft-delete the given ids; returns how many were given."""
         key = self.specs[name].key
         with self.scratch(ids.select(key)) as given:
-            count = given.count()
-            if count:
-                self._change(name, given, lambda old: marked_deleted(old, given, key, now))
-        return count
+            if given.measures["rows"]:
+                self._change(name, given.rows, lambda old: marked_deleted(old, given.rows, key, now))
+        return given.measures["rows"]
 
-    # -- whole-folder tables
+    # -- tables in folders of another make
 
-    def publish(self, name: str, write: Callable[[str], None]) -> None:
-        """Write a table as one folder by `write(path)` and make it current."""
-        version = self._manifest(name)[0] + 1
-        folder = f"v{version}-{uuid.uuid4().hex[:8]}"
-        write(f"{self.root}/{name}/{folder}")
-        self._commit(TableSpec(name, T.StructType(), ""), version, {"all": folder})
+    def publish(self, name: str, write: Callable[[str], object]) -> object:
+        """Write a table as one folder by `write(path)` and make it current; returns what `write` does."""
+        folder = f"d-{uuid.uuid4().hex[:8]}"
+        result = write(f"{self.root}/{name}/{folder}")
+        self._point(name, folder)
+        return result
 
     def published(self, name: str) -> str:
         """The current folder of a table made by `publish`."""
-        return f"{self.root}/{name}/{self._manifest(name)[1]["folders"]["all"]}"
-
-    def drop_old_versions(self, name: str) -> int:
-        """Delete bucket folders the current version does not use. Only for quiet
-        tables: a running reader or writer of an older version would lose files."""
-        used = set(self._manifest(name)[1]["folders"].values())
-        dropped = 0
-        for folder in self._names(f"{self.root}/{name}"):
-            for bucket in self._names(f"{self.root}/{name}/{folder}"):
-                if bucket.startswith(f"{BUCKET}=") and f"{folder}/{bucket}" not in used:
-                    self._fs.delete(self._path(f"{self.root}/{name}/{folder}/{bucket}"), True)
-                    dropped += 1
-        return dropped
-
-
-# How much of its texts the short view of a log shows.
-ARGUMENT_CHARS = 2000
-DETAIL_CHARS = 500
-
-
-def append_log(entries: DataFrame, path: str) -> None:
-    """Append entries to the question log, texts in full."""
-    conform(entries, QUESTION_LOG).write.mode("append").parquet(path)
-
-
-def short_log(log: DataFrame) -> DataFrame:
-    """A log for display: long texts are cut, and two columns give their full lengths."""
-    return log.withColumns({
-        "arguments": F.substring("arguments", 1, ARGUMENT_CHARS), "argument_chars": F.length("arguments"),
-        "detail": F.substring("detail", 1, DETAIL_CHARS), "detail_chars": F.length("detail"),
-    })
-
-
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(QUESTION_LOG).parquet(path)
-
-
-class VersionTaken(RuntimeError):
-    """Another writer published this version of a table first."""
-
-
-class MalformedPayload(ValueError):
-    """A payload has a shape that must not be taken for an empty one."""
-
-
-def usable_payloads(
-    fetched: DataFrame, payload: str = "raw_payload", status: str = "status"
-) -> tuple[DataFrame, DataFrame]:
-    """Split fetched payloads into (usable, rejects), or raise.
-
-    One pass over the input decides before anything is replaced. A request the
-    source refused for a bad id (status 400) is a reject. Any other failure, or
-    a payload that is neither an object nor null, aborts.
-    """
-    from tradelake.functions.json_text import is_object
-
-    refused = F.coalesce(F.col(status) == 400, F.lit(False))
-    failed = ~refused & F.coalesce(F.col(status) != 200, F.lit(False))
-    value = F.try_parse_json(payload)
-    # text that is no JSON at all parses to NULL
-    empty = F.col(payload).isNull() | F.coalesce(F.is_variant_null(value), F.lit(False))
-    odd = ~refused & ~failed & ~empty & ~is_object(value)
-    problems = fetched.agg(F.count_if(failed).alias("failed"), F.count_if(odd).alias("odd")).first()
-    if problems["failed"] or problems["odd"]:
-        raise MalformedPayload(
-            f"{problems['failed']} failed requests, {problems['odd']} malformed payloads"
-        )
-    return fetched.filter(~refused & ~empty), fetched.filter(refused)
-
-
-def replace_snapshot(
-    store: TableStore, name: str, fetched: DataFrame, to_rows: Callable[[DataFrame], DataFrame]
-) -> tuple[int, DataFrame]:
-    """Load a snapshot table from fetched payloads; the old one stays on failure.
-
-    The payloads are written first, so what was checked is what is loaded. The
-    rejects are rows of that copy, which stays in the work folder.
-    """
-    folder = f"{store.root}/_fetched/{name}-{uuid.uuid4().hex}"
-    fetched.write.parquet(folder)
-    usable, rejects = usable_payloads(store.spark.read.schema(fetched.schema).parquet(folder))
-    return store.truncate_load(name, to_rows(usable)), rejects
+        return f"{self.root}/{name}/{self._stored(name)['folder']}"

@@ -98,7 +98,8 @@ class ApplyChanges:
         self.refresh_movements, self.availability = refresh_movements, availability
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        with self.store.scratch(coalesced(batch)) as changes:
+        with self.store.scratch(coalesced(batch)) as written:
+            changes = written.rows
             seen = {
                 (r["table_name"], r["destroyed"])
                 for r in changes.select("table_name", "destroyed").distinct().collect()
@@ -121,7 +122,8 @@ class ApplyChanges:
 
     def _refresh(self, table: str, ids: DataFrame) -> None:
         found = self.payloads[table]().join(ids, "id", "left_semi")
-        with self.store.scratch(found) as raw:
+        with self.store.scratch(found) as written:
+            raw = written.rows
             if table == "orders":
                 self.store.upsert("orders", order_headers(raw, self.now))
                 self.store.replace_children(

@@ -197,7 +197,8 @@ def supplier_payloads(t: ErpTables) -> DataFrame:
     products = t["product_suppliers"].groupBy("product_id").agg(F.sort_array(F.collect_list(others)).alias("ids"))
     # Products without any are JSON null, or an empty text: they give no rows.
     ids = F.when(F.size("ids") > 0, F.to_json("ids")).when(F.col("product_id") % 2 == 0, "null").otherwise('""')
-    return products.select(F.concat(F.lit('{"'), _text("product_id"), F.lit('":'), ids, F.lit("}")).alias("raw_payload"))
+    payload = F.concat(F.lit('{"'), _text("product_id"), F.lit('":'), ids, F.lit("}"))
+    return products.select("product_id", payload.alias("raw_payload"))
 
 
 def _projection(payloads, rows, *columns: str):

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tradelake.operators import keyed, projections
 from tradelake.operators.incremental import Sync
 from tradelake.operators.state import freshness_report, staleness, state_from_runs, status_listing
-from tradelake.operators.store import TableStore, append_log, read_log, replace_snapshot
+from tradelake.operators.question_log import append_log, read_log
+from tradelake.operators.snapshots import replace_snapshot
+from tradelake.operators.store import TableStore
 from tradelake.plans.views import sales_flat
 from tradelake.schemas import Resource, TableSpec, table_schema
 from tradelake.session import work_folder
@@ -229,7 +231,7 @@ def _incremental_by_updated(spark: SparkSession, d: str) -> DataFrame:
 def _supplier_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """A guarded snapshot load: refused requests are skipped, the rest replaces."""
     store, t = _store(spark, "snapshot"), ErpTables(spark, d)
-    refused = F.col("raw_payload").contains('"3"')
+    refused = F.col("product_id") % 5 == 3
     fetched = payloads.supplier_payloads(t).withColumn("status", F.when(refused, 400).otherwise(200))
     replace_snapshot(
         store, "product_suppliers", fetched,
