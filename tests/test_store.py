@@ -145,7 +145,7 @@ def test_whole_loads_leave_one_folder(spark, things):
     for name in ("a", "b"):
         things.truncate_load("things", frame(spark, *[(i, name, 1) for i in range(50)]))
         things.upsert("things", frame(spark, (1, "c", 2)))
-    assert len([f for f in things._fs.listStatus(things._path(f"{things.root}/things")) if f.isDirectory()]) == 1
+    assert len([f for f in things._fs.listStatus(things.path(f"{things.root}/things")) if f.isDirectory()]) == 1
     assert things.read("things").count() == 50
 
 
@@ -325,7 +325,7 @@ def test_other_bucket_counts_do_not_double_keys(spark, things):
 def test_a_load_cut_short_leaves_the_old_table(spark, things):
     things.truncate_load("things", frame(spark, (1, "a", 1)))
     frame(spark, (9, "z", 1)).write.parquet(f"{things.root}/things/d-cut")
-    things._fs.create(things._path(f"{things.root}/things/_cut.draft"), False).close()
+    things._fs.create(things.path(f"{things.root}/things/_cut.draft"), False).close()
     assert content(things) == [(1, "a")]
     things.upsert("things", frame(spark, (2, "b", 1)))
     assert content(things) == [(1, "a"), (2, "b")]

@@ -66,11 +66,16 @@ def any_column_like(term: str, *columns: str) -> Column:
     return result
 
 
-def joined_text_like(term: str, *columns: str) -> Column:
-    """The same over the columns joined by single blanks, NULL counting as empty."""
+def joined_text(*columns: str) -> Column:
+    """The columns joined by single blanks, NULL counting as empty."""
     parts: list[Column] = []
     for i, c in enumerate(columns):
         if i:
             parts.append(F.lit(" "))
         parts.append(F.coalesce(F.col(c), F.lit("")))
-    return _like(F.concat(*parts), term)
+    return F.concat(*parts)
+
+
+def joined_text_like(term: str, *columns: str) -> Column:
+    """The same over the columns' joined text."""
+    return _like(joined_text(*columns), term)

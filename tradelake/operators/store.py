@@ -43,14 +43,14 @@ class TableStore:
     def __init__(self, spark: SparkSession, root: str, specs: dict[str, TableSpec] | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         self.specs = dict(TABLES if specs is None else specs)
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self.path(root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     # -- what is stored
 
     def _stored(self, name: str) -> dict:
         """Folder, bucket count and columns of a table; {} if there is none."""
-        path = self._path(f"{self.root}/{name}/_table.json")
+        path = self.path(f"{self.root}/{name}/_table.json")
         if not self._fs.exists(path):
             return {}
         stream = self._fs.open(path)
@@ -65,8 +65,8 @@ class TableStore:
         if spec:
             holds |= {"buckets": spec.buckets, "schema": spec.schema.jsonValue()}
         old, base, jvm = self._stored(name).get("folder"), f"{self.root}/{name}", self.spark._jvm
-        self._fs.mkdirs(self._path(f"{base}/{folder}"))
-        draft = self._fs.makeQualified(self._path(f"{base}/_{uuid.uuid4().hex}.draft"))
+        self._fs.mkdirs(self.path(f"{base}/{folder}"))
+        draft = self._fs.makeQualified(self.path(f"{base}/_{uuid.uuid4().hex}.draft"))
         stream = self._fs.create(draft, False)
         stream.write(bytearray(json.dumps(holds).encode()))
         stream.close()
@@ -74,9 +74,9 @@ class TableStore:
         options = self.spark.sparkContext._gateway.new_array(rename, 1)
         options[0] = rename.OVERWRITE
         files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration())
-        files.rename(draft, self._fs.makeQualified(self._path(f"{base}/_table.json")), options)
+        files.rename(draft, self._fs.makeQualified(self.path(f"{base}/_table.json")), options)
         if old and old != folder:
-            self._fs.delete(self._path(f"{base}/{old}"), True)
+            self._fs.delete(self.path(f"{base}/{old}"), True)
 
     def register(self, spec: TableSpec) -> TableSpec:
         """Declare a table, or a wider schema for one; old rows read NULL there."""
@@ -126,7 +126,7 @@ class TableStore:
         try:
             yield Batch(self.spark.read.schema(rows.schema).parquet(path), seen.get)
         finally:
-            self._fs.delete(self._path(path), True)
+            self._fs.delete(self.path(path), True)
 
     def _typed(self, spec: TableSpec, rows: DataFrame) -> DataFrame:
         """Rows of the table's schema; a NULL in a required column is an error."""
@@ -174,8 +174,8 @@ class TableStore:
         """Names of the files of some buckets, by bucket folder."""
         out = {}
         for path in (f"{self.root}/{spec.name}/{folder}/{BUCKET}={b}" for b in buckets):
-            if self._fs.exists(self._path(path)):
-                out[path] = {s.getPath().getName() for s in self._fs.listStatus(self._path(path))}
+            if self._fs.exists(self.path(path)):
+                out[path] = {s.getPath().getName() for s in self._fs.listStatus(self.path(path))}
         return out
 
     def _change(self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
@@ -191,7 +191,7 @@ class TableStore:
         self._write(spec, folder, change(old))
         for path, files in self._files(spec, folder, touched).items():
             if files & before.get(path, set()):  # not written again: its rows are gone
-                self._fs.delete(self._path(path), True)
+                self._fs.delete(self.path(path), True)
         if stored.get("schema") != spec.schema.jsonValue():
             self._point(name, folder, spec)
 

@@ -7,10 +7,11 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from tradelake.functions.predicates import (
-    any_column_like, joined_text_like, live, still_open,
+    any_column_like, joined_text, joined_text_like, live, still_open,
 )
 from tradelake.functions.times import utc_text
-from tradelake.plans.views import inventory_position, po_pipeline, sales_unified
+from tradelake.plans.search_index import TextIndex
+from tradelake.plans.views import inventory_position, po_pipeline, sales_unified, stock_products
 
 Tables = Mapping[str, DataFrame]
 
@@ -76,13 +77,34 @@ def query_sales(
     )
 
 
+# The columns that are searched.
+STOCK_TEXTS = ("sku", "name", "collection", "pattern")
+CUSTOMER_TEXTS = ("first_name", "last_name", "email", "organisation_name")
+
+
+def stock_index(tables: Tables, path: str) -> TextIndex:
+    """Products indexed for `get_stock_levels`."""
+    index = TextIndex(tables["products"].sparkSession, path, "product_id")
+    index.build(tables["products"], stock_products(tables).select("product_id", *STOCK_TEXTS))
+    return index
+
+
+def customer_index(tables: Tables, path: str) -> TextIndex:
+    """Contacts indexed for `search_customers`."""
+    contacts = tables["contacts"]
+    index = TextIndex(contacts.sparkSession, path, "contact_id")
+    index.build(contacts, contacts.select("contact_id", joined_text(*CUSTOMER_TEXTS).alias("text")))
+    return index
+
+
 def get_stock_levels(
-    tables: Tables, search: str, warehouse_id: int | None = None, max_rows: int = STOCK_ROWS
+    tables: Tables, search: str, warehouse_id: int | None = None, max_rows: int = STOCK_ROWS,
+    index: TextIndex | None = None,
 ) -> DataFrame:
     """Stock of products whose SKU, name, collection or pattern holds a term."""
-    stock = inventory_position(tables).filter(
-        any_column_like(search, "sku", "name", "collection", "pattern")
-    )
+    if index:
+        tables = {**tables, "products": index.candidates(search)}
+    stock = inventory_position(tables).filter(any_column_like(search, *STOCK_TEXTS))
     if warehouse_id is not None:
         stock = stock.filter(F.col("warehouse_id") == warehouse_id)
     return (
@@ -97,7 +119,8 @@ def get_stock_levels(
 
 
 def search_customers(
-    tables: Tables, query: str, as_of: Column | None = None, max_rows: int = CUSTOMER_ROWS
+    tables: Tables, query: str, as_of: Column | None = None, max_rows: int = CUSTOMER_ROWS,
+    index: TextIndex | None = None,
 ) -> DataFrame:
     """Customers matching a text, with lifetime figures over both eras.
 
@@ -106,10 +129,10 @@ def search_customers(
     """
     today = F.current_date() if as_of is None else F.to_date(as_of)
     matched = (
-        tables["contacts"]
+        (index.candidates(query) if index else tables["contacts"])
         .filter(live())
-        .filter(joined_text_like(query, "first_name", "last_name", "email", "organisation_name"))
-        .select("contact_id", "first_name", "last_name", "email", "organisation_name")
+        .filter(joined_text_like(query, *CUSTOMER_TEXTS))
+        .select("contact_id", *CUSTOMER_TEXTS)
     )
 
     def of_matched(name: str, customer: str) -> DataFrame:

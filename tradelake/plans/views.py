@@ -75,18 +75,23 @@ def sales_flat(tables: Tables) -> DataFrame:
     return orders.join(lines, "order_id")
 
 
-def inventory_position(tables: Tables) -> DataFrame:
-    """Live products by warehouse, with names and custom fields."""
+def stock_products(tables: Tables) -> DataFrame:
+    """Live products with their custom fields."""
     fields = ", ".join(f"{f}: VARIANT" for f in STOCK_FIELDS.values())
     live_products = (
         tables["products"]
         .filter((F.col("status") == "LIVE") & live())
         .select("product_id", "sku", "name", "status", "brand_id", "raw_payload")
     )
-    products = with_parsed(live_products, f"STRUCT<{fields}>", "customFields").select(
+    return with_parsed(live_products, f"STRUCT<{fields}>", "customFields").select(
         "product_id", "sku", "name", "status", "brand_id",
         *[scalar_text(F.col(f"customFields.{f}")).alias(n) for n, f in STOCK_FIELDS.items()],
     )
+
+
+def inventory_position(tables: Tables) -> DataFrame:
+    """Live products by warehouse, with names and custom fields."""
+    products = stock_products(tables)
     brands = tables["brands"].select("brand_id", "brand_name")
     warehouses = tables["warehouses"].select(
         F.col("id").alias("warehouse_id"), F.col("name").alias("warehouse_name")

@@ -26,6 +26,32 @@ def read_payloads(spark: SparkSession, path: str, envelope: str = "response") ->
     return docs.select(F.explode(F.coalesce(many, F.array("doc"))).alias("payload"))
 
 
+class PayloadArchive:
+    """Payloads of one kind by id, parsed, in folders by a bucket of the id.
+
+    Looking up ids reads the folders of their buckets only. Buckets should hold
+    up to about a gigabyte.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col("id").cast("bigint")), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def add(self, payloads: DataFrame) -> None:
+        """Append (id, raw_payload) texts; ids must not repeat."""
+        parsed = payloads.select("id", "raw_payload", F.parse_json("raw_payload").alias("payload"), self._bucket())
+        parsed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "id").write.mode("append").partitionBy(
+            "bucket").parquet(self.path)
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """(id, raw_payload, payload) of those ids that are there."""
+        found = [r[0] for r in ids.select(self._bucket()).distinct().collect()]  # at most `buckets` numbers
+        rows = self.spark.read.schema("id BIGINT, raw_payload STRING, payload VARIANT, bucket INT").parquet(self.path)
+        return rows.filter(F.col("bucket").isin(found)).drop("bucket").join(ids, "id", "left_semi")
+
+
 def parse(df: DataFrame, *keep: str) -> DataFrame:
     """The kept columns and the payload as a VARIANT `p`, parsed once per row.
 

@@ -29,29 +29,40 @@ MOVEMENTS = "goods_movements"
 COALESCE_WINDOW = "10 seconds"
 
 
-def read_events(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """A folder of JSON notices as a stream."""
-    reader = spark.readStream.schema(EVENT)
+def read_events(
+    spark: SparkSession, folder: str, files_per_batch: int | None = None, more: str = ""
+) -> DataFrame:
+    """A folder of JSON notices as a stream; `more` names further fields they carry."""
+    reader = spark.readStream.schema(", ".join(filter(None, (EVENT, more))))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.json(folder)
 
 
+def once(notices: DataFrame, notice: str, sent_at: str, within: str) -> DataFrame:
+    """A stream without the notices that are delivered again, also in a later batch.
+
+    `notice` tells notices apart; `within` bounds how long after `sent_at` one
+    may come, or come again. State is kept for that long and no longer.
+    """
+    return notices.withWatermark(sent_at, within).dropDuplicatesWithinWatermark([notice])
+
+
 def event_ids(events: DataFrame) -> DataFrame:
-    """One row per id of a notice; tokens that are no ids are dropped (see `rejected_ids`)."""
+    """One row per id of a notice; tokens that are no ids are not among them (see `rejected_ids`)."""
     return _tokens(events).filter(F.col("id").isNotNull()).drop("token")
 
 
 def rejected_ids(events: DataFrame) -> DataFrame:
-    """Tokens made of digits that no id can be, as (resource, event, token)."""
+    """Tokens that no id can be, as (resource, event, token)."""
     return _tokens(events).filter(F.col("id").isNull()).drop("id")
 
 
 def _tokens(events: DataFrame) -> DataFrame:
-    tokens = F.transform(F.split("id", ","), trimmed)
-    digits = F.filter(tokens, lambda t: t.rlike("^[0-9]+$"))
-    return events.select("resource", "event", F.explode(digits).alias("token")).withColumn(
-        "id", F.col("token").try_cast("bigint"))
+    tokens = F.filter(F.transform(F.split("id", ","), trimmed), lambda t: t != "")
+    digits = F.when(F.col("token").rlike("^[0-9]+$"), F.col("token"))
+    return events.select("resource", "event", F.explode(tokens).alias("token")).withColumn(
+        "id", digits.try_cast("bigint"))
 
 
 def target_table(resource: Column) -> Column:
@@ -76,37 +87,76 @@ def coalesced(events: DataFrame) -> DataFrame:
     )
 
 
+class AppliedBatches:
+    """The batches of a stream that are in the tables, and the tokens they rejected.
+
+    A batch is entered last, so one that was cut short is not there and runs
+    again; what it appends lies in a folder of its own number, so running again
+    replaces it.
+    """
+
+    def __init__(self, store: TableStore, stream: str):
+        self.store, self.folder = store, f"{store.root}/_streams/{stream}"
+
+    def __contains__(self, batch_id: int) -> bool:
+        path = self.store.path(f"{self.folder}/applied/batch={batch_id}/_SUCCESS")
+        return path.getFileSystem(self.store.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def reject(self, batch_id: int, tokens: DataFrame) -> None:
+        tokens.write.mode("overwrite").parquet(f"{self.folder}/rejected/batch={batch_id}")
+
+    def enter(self, batch_id: int, notices: int, now: Column) -> None:
+        row = self.store.spark.range(1).select(F.lit(notices).cast("bigint").alias("notices"), now.alias("applied_at"))
+        row.write.mode("overwrite").parquet(f"{self.folder}/applied/batch={batch_id}")
+
+    def read(self) -> DataFrame:
+        """(batch, notices, applied_at)"""
+        return self.store.spark.read.schema("notices BIGINT, applied_at TIMESTAMP, batch BIGINT").parquet(f"{self.folder}/applied")
+
+    def rejected(self) -> DataFrame:
+        """(batch, resource, event, token)"""
+        return self.store.spark.read.schema("resource STRING, event STRING, token STRING, batch BIGINT").parquet(f"{self.folder}/rejected")
+
+
 class ApplyChanges:
-    """Applies each micro-batch to the store.
+    """Applies each micro-batch to the store, once.
 
-    `payloads` gives, per table, a frame of (id, raw_payload) of the current
-    records. Deletions come first, so a record that still exists wins over its
-    own notice of destruction. All writes replace rows by key: a batch that is
-    delivered again leaves the same tables.
+    `payloads` gives, per table, the current records (id, raw_payload, and the
+    parsed `payload` if there is one) of a frame of ids; `PayloadArchive.of`
+    reads no more than those ids ask for. Deletions come first, so a record that
+    still exists wins over its own notice of destruction. A batch that is
+    delivered again is skipped.
     """
 
     def __init__(
         self,
         store: TableStore,
-        payloads: dict[str, Callable[[], DataFrame]],
+        payloads: dict[str, Callable[[DataFrame], DataFrame]],
         now: Column | None = None,
         refresh_movements: Callable[[], object] | None = None,
         availability: Callable[[DataFrame], DataFrame] | None = None,
+        stream: str = "changes",
     ):
         self.store, self.payloads = store, payloads
         self.now = F.current_timestamp() if now is None else now
         self.refresh_movements, self.availability = refresh_movements, availability
+        self.applied = AppliedBatches(store, stream)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        with self.store.scratch(coalesced(batch)) as written:
-            changes = written.rows
-            seen = {
-                (r["table_name"], r["destroyed"])
-                for r in changes.select("table_name", "destroyed").distinct().collect()
-            }
+        if batch_id in self.applied:
+            return
+        with self.store.scratch(batch) as notices:
+            self.applied.reject(batch_id, rejected_ids(notices.rows))
+            self._apply(notices.rows)
+            self.applied.enter(batch_id, notices.measures["rows"], self.now)
+
+    def _apply(self, notices: DataFrame) -> None:
+        kinds = F.collect_set(F.struct("table_name", "destroyed"))
+        with self.store.scratch(coalesced(notices), kinds=kinds) as written:
+            seen = {(k["table_name"], k["destroyed"]) for k in written.measures["kinds"]}
 
             def ids(table: str, destroyed: bool, name: str) -> DataFrame:
-                return changes.filter(
+                return written.rows.filter(
                     (F.col("table_name") == table) & (F.col("destroyed") == destroyed)
                 ).select(F.col("id").alias(name))
 
@@ -121,8 +171,10 @@ class ApplyChanges:
                     self._refresh(table, ids(table, False, "id"))
 
     def _refresh(self, table: str, ids: DataFrame) -> None:
-        found = self.payloads[table]().join(ids, "id", "left_semi")
-        with self.store.scratch(found) as written:
+        found = self.payloads[table](ids)
+        if "payload" not in found.columns:
+            found = found.withColumn("payload", F.parse_json("raw_payload"))
+        with self.store.scratch(found) as written:  # parsed once for all tables made of it
             raw = written.rows
             if table == "orders":
                 self.store.upsert("orders", order_headers(raw, self.now))

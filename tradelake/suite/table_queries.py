@@ -20,6 +20,7 @@ from tradelake.operators.store import TableStore
 from tradelake.plans.views import sales_flat
 from tradelake.schemas import Resource, TableSpec, table_schema
 from tradelake.session import work_folder
+from tradelake.sources.payloads import PayloadArchive
 from tradelake.sources.testdata import ErpTables
 from tradelake.streaming import change_events
 from tradelake.suite import payload_queries as payloads, view_queries
@@ -307,13 +308,13 @@ def _change_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     store.truncate_load("order_rows", t["order_rows"])
     notices = change_events.read_events(spark, _notice_folder(spark, d, store.root))
     current_stock = payloads.availability_payloads(t)
+    sources = {"orders": payloads.order_payloads, "products": payloads.product_payloads, "contacts": payloads.contact_payloads}
+    archives = {name: PayloadArchive(spark, f"{store.root}/_payloads/{name}") for name in sources}
+    for name, archive in archives.items():
+        archive.add(sources[name](t))
     apply = change_events.ApplyChanges(
         store,
-        payloads={
-            "orders": lambda: payloads.order_payloads(t),
-            "products": lambda: payloads.product_payloads(t),
-            "contacts": lambda: payloads.contact_payloads(t),
-        },
+        payloads={name: archive.of for name, archive in archives.items()},
         now=_now(),
         availability=lambda ids: projections.availability_rows(
             current_stock.join(ids, "product_id", "left_semi"), _now()
@@ -337,6 +338,71 @@ def _change_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     return plain(orders.unionByName(products).unionByName(contacts))
 
 
+def _batch_delivered_twice(spark: SparkSession, d: str) -> DataFrame:
+    """Each batch of notices is delivered twice; what it appends is there once."""
+    store, t = _store(spark, "delivered-twice"), ErpTables(spark, d)
+    store.truncate_load("contacts", _contacts(t))
+    long = F.concat("id", F.lit(","), F.repeat(F.lit("9"), 25))
+    broken = t["change_events"].select("resource", F.when(F.col("event_id") % 10 == 0, long).otherwise(F.col("id")).alias("id"), "event")
+    broken.repartition(3).write.json(f"{store.root}/notices")
+    apply = change_events.ApplyChanges(store, payloads={}, now=_now())
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        apply(batch, batch_id)
+        apply(batch, batch_id)
+
+    notices = change_events.read_events(spark, f"{store.root}/notices", files_per_batch=1)
+    change_events.start(notices, twice, f"{store.root}/_checkpoint", available_now=True).awaitTermination()
+    tokens = apply.applied.rejected().groupBy("resource", "event", "token").agg(F.count(F.lit(1)).alias("n"))
+    applied = apply.applied.read().agg(F.sum("notices").alias("n")).select(
+        F.lit("all").alias("resource"), F.lit("applied").alias("event"), F.lit("notices").alias("token"), "n")
+    return plain(tokens.unionByName(applied))
+
+
+def _notices_once(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries that repeat some notices of the one before: each notice is taken once."""
+    folder, events = work_folder(spark, "notices-once"), ErpTables(spark, d)["change_events"]
+    sent = events.select("event_id", F.col("ts").cast("timestamp").alias("sent_at"), "resource", "id", "event")
+    decade = F.floor(F.date_diff(F.to_date("sent_at"), F.lit("2024-01-01").cast("date")) / 10)
+    again = F.when(F.col("event_id") % 3 == 0, F.array(decade, decade + 1)).otherwise(F.array(decade))
+    delivered = sent.select("*", F.explode(again).alias("delivery"))
+    delivered.write.partitionBy("delivery").json(f"{folder}/deliveries")
+    more, taken = "event_id BIGINT, sent_at TIMESTAMP", f"{folder}/taken"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{taken}/batch={batch_id}")
+
+    for number in sorted(r[0] for r in delivered.select("delivery").distinct().collect()):  # a few
+        arrived = spark.read.schema(f"{change_events.EVENT}, {more}").json(f"{folder}/deliveries/delivery={number}")
+        arrived.write.mode("append").json(f"{folder}/inbox")
+        inbox = change_events.read_events(spark, f"{folder}/inbox", more=more)
+        stream = change_events.once(inbox, "event_id", "sent_at", "30 days")
+        change_events.start(stream, write, f"{folder}/checkpoint", available_now=True).awaitTermination()
+    rows = spark.read.parquet(taken)
+    return plain(rows.groupBy("event_id", "resource").agg(F.count(F.lit(1)).alias("taken")))
+
+
+def _movements_refreshed(spark: SparkSession, d: str) -> DataFrame:
+    """Goods notes among the notices have the movements loaded from their result pages."""
+    store, t = _store(spark, "movements"), ErpTables(spark, d)
+    sync = Sync(store, RUN_TIME)
+    columns = '[{"name":"goodsMovementId","reportDataType":"INTEGER"},{"name":"productId","reportDataType":"INTEGER"},' \
+        '{"name":"updatedOn","reportDataType":"DATETIME"}]'
+    cells = F.concat(F.lit("["), F.concat_ws(",", "journal_row_id", F.col("journal_row_id") % 1000,
+                     F.date_format("journal_date", "'\"'yyyy-MM-dd'T00:00:00Z\"'")), F.lit("]"))
+    rows = t["journal_rows"].dropDuplicates(["journal_row_id"])
+    pages = rows.groupBy((F.col("journal_row_id") % 997).alias("n")).agg(F.array_join(F.collect_list(cells), ",").alias("r")).select(
+        F.concat(F.lit(f'{{"metaData":{{"columns":{columns}}},"results":['), "r", F.lit("]}")).alias("page"))
+    notices = change_events.read_events(spark, _notice_folder(spark, d, store.root))
+    apply = change_events.ApplyChanges(
+        store, payloads={}, now=_now(), refresh_movements=lambda: sync.pages("goods_movements", pages))
+    store.truncate_load("orders", t["orders"].limit(0))
+    store.truncate_load("products", t["products"].withColumn("when_upserted", _now()).limit(0))
+    store.truncate_load("contacts", _contacts(t).limit(0))
+    change_events.start(notices, apply, f"{store.root}/_checkpoint", available_now=True).awaitTermination()
+    return plain(store.read("goods_movements").select("goods_movement_id", "product_id"))
+
+
 # -- state
 
 AS_OF = "2024-01-31 00:10:30"
@@ -408,6 +474,9 @@ QUERIES = {
     "event_routing": _event_routing,
     "destroyed_soft_delete": _destroyed_soft_delete,
     "change_stream_upsert": _change_stream_upsert,
+    "batch_delivered_twice": _batch_delivered_twice,
+    "notices_once": _notices_once,
+    "movements_refreshed": _movements_refreshed,
     "run_state_latest": _run_state_latest,
     "staleness_check": _staleness_check,
     "freshness_report": _freshness_report,
@@ -517,7 +586,7 @@ SELECT o.order_id, CASE WHEN o.updated_on >= m - INTERVAL 10 MINUTE THEN 'second
   CASE WHEN o.updated_on >= m - INTERVAL 10 MINUTE THEN 0 ELSE coalesce(n, 0) END AS old_lines
 FROM erp_orders o CROSS JOIN mark LEFT JOIN counts c ON c.order_id = o.order_id"""),
     "supplier_snapshot": payloads.ORACLES["supplier_fanout"]
-    + " AND s.supplier_contact_id <> 3 AND s.product_id <> 3",
+    + " AND s.product_id % 5 <> 3",
     "product_id_lists": with_adapters("erp_products", select="""
 SELECT product_id, 'all' AS list FROM erp_products
 UNION ALL SELECT product_id, 'stock_tracked' FROM erp_products WHERE stock_tracked
@@ -554,6 +623,16 @@ SELECT r.table_name, r.id, CASE WHEN n.changed THEN new_label ELSE old_label END
   CASE WHEN n.changed THEN FALSE WHEN n.gone THEN TRUE ELSE is_deleted END AS is_deleted,
   CASE WHEN n.changed THEN new_amount ELSE old_amount END AS amount
 FROM records r LEFT JOIN notices n ON n.table_name = r.table_name AND n.id = r.id"""),
+    "batch_delivered_twice": with_adapters("erp_change_events", """broken AS (
+  SELECT resource, event, CASE WHEN event_id % 10 = 0 THEN id || ',' || repeat('9', 25) ELSE id END AS id FROM erp_change_events),
+parts AS (SELECT resource, event, trim(t.token) AS token FROM broken, unnest(string_split(id, ',')) AS t(token))""", select="""
+SELECT resource, event, token, count(*) AS n FROM parts
+WHERE token <> '' AND (NOT regexp_full_match(token, '[0-9]+') OR TRY_CAST(token AS BIGINT) IS NULL) GROUP BY 1, 2, 3
+UNION ALL SELECT 'all', 'applied', 'notices', count(*) FROM erp_change_events"""),
+    "notices_once": with_adapters("erp_change_events", select="""
+SELECT event_id, resource, count(DISTINCT event_id) AS taken FROM erp_change_events GROUP BY 1, 2"""),
+    "movements_refreshed": with_adapters("erp_journal_rows", select="""
+SELECT DISTINCT journal_row_id AS goods_movement_id, journal_row_id % 1000 AS product_id FROM erp_journal_rows"""),
     "run_state_latest": _STATE_SQL,
     "status_listing": _STATE_SQL,
     "staleness_check": with_adapters("erp_run_log", _STATE, _BUDGETS, f"""lags AS (
