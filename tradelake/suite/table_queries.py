@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tradelake.operators import keyed, projections
+from tradelake.operators.bucketed import BucketedTable
 from tradelake.operators.incremental import Sync
 from tradelake.operators.state import freshness_report, staleness, state_from_runs, status_listing
 from tradelake.operators.question_log import append_log, read_log
@@ -78,6 +79,20 @@ def _upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     return plain(store.read("lines"))
 
 
+def _bucketed_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The same upsert into a table bucketed by its key."""
+    lines = _lines(spark, d)
+    folder = work_folder(spark, "bucketed")
+    table = BucketedTable(spark, f"lines_{folder[-12:]}", folder, "order_row_id")
+    old = keyed.latest_per_key(
+        lines.filter(F.col("when_upserted") < F.lit(BASE_TO).cast("timestamp")),
+        "order_row_id", "when_upserted", TIES,
+    )
+    table.load(old)
+    table.upsert(lines.filter(F.col("when_upserted") >= F.lit(BATCH_FROM).cast("timestamp")), TIES)
+    return plain(table.read())
+
+
 def _upsert_small_batch(spark: SparkSession, d: str) -> DataFrame:
     store, lines = _store(spark, "upsert-small"), _lines(spark, d)
     store.truncate_load("lines", keyed.latest_per_key(lines, "order_row_id", "when_upserted", TIES))
@@ -454,6 +469,7 @@ QUERIES = {
     "latest_per_key": _latest_per_key,
     "order_line_sequence": _order_line_sequence,
     "upsert_merge": _upsert_merge,
+    "bucketed_merge": _bucketed_merge,
     "upsert_small_batch": _upsert_small_batch,
     "replace_children": _replace_children,
     "soft_delete": _soft_delete,
@@ -529,6 +545,12 @@ SELECT c.contact_id, CASE WHEN {condition} THEN TRUE ELSE c.is_deleted END AS is
 FROM erp_contacts c JOIN customer ON c_custkey = c.contact_id""")
 
 
+_MERGE_SQL = _lines_sql(
+        f"base AS (SELECT * FROM lines WHERE when_upserted < DATE '{BASE_TO}' {_NEWEST})",
+        f"batch AS (SELECT * FROM lines WHERE when_upserted >= DATE '{BATCH_FROM}' {_NEWEST})", select=f"""
+SELECT {_PLAIN_LINES} FROM (SELECT * FROM batch UNION ALL
+  SELECT * FROM base WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE b.order_row_id = base.order_row_id))""")
+
 ORACLES = {
     "latest_per_key": _lines_sql(select=f"SELECT {_PLAIN_LINES} FROM (SELECT * FROM lines {_NEWEST})"),
     "order_line_sequence": _lines_sql(select=f"""
@@ -536,11 +558,8 @@ SELECT order_id, order_row_id, {sql_time("when_upserted")} AS when_upserted, pro
   CAST(quantity AS DOUBLE) AS quantity, CAST(row_net AS DOUBLE) AS row_net, seq, order_id || '-' || seq AS line_uid
 FROM (SELECT *, row_number() OVER (PARTITION BY order_id
   ORDER BY when_upserted, order_row_id, product_id, quantity, row_net) AS seq FROM lines)"""),
-    "upsert_merge": _lines_sql(
-        f"base AS (SELECT * FROM lines WHERE when_upserted < DATE '{BASE_TO}' {_NEWEST})",
-        f"batch AS (SELECT * FROM lines WHERE when_upserted >= DATE '{BATCH_FROM}' {_NEWEST})", select=f"""
-SELECT {_PLAIN_LINES} FROM (SELECT * FROM batch UNION ALL
-  SELECT * FROM base WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE b.order_row_id = base.order_row_id))"""),
+    "upsert_merge": _MERGE_SQL,
+    "bucketed_merge": _MERGE_SQL,
     "upsert_small_batch": _lines_sql(
         f"base AS (SELECT * FROM lines {_NEWEST})",
         "batch AS (SELECT * FROM (SELECT * REPLACE (-row_net AS row_net) FROM lines "
