@@ -7,7 +7,10 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 # Settings every job here relies on. All of them can be set on a live session.
@@ -53,6 +56,16 @@ def local_session(cores: str = "*", memory: str = "8g", **settings: str) -> Spar
     return configure(spark)
 
 
+def side_by_side(spark: SparkSession, *tasks: Callable[[], object]) -> list:
+    """Results of independent tasks, whose jobs run at the same time; the first failure is raised.
+
+    For work on different tables: short jobs leave most executors idle.
+    """
+    with ThreadPoolExecutor(max(1, len(tasks))) as pool:
+        runs = [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]
+        return [run.result() for run in runs]
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for written intermediate tables.
 

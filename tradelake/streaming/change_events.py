@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tradelake.functions.coerce import trimmed
 from tradelake.operators.projections import contact_rows, order_headers, order_lines, product_rows
 from tradelake.operators.store import TableStore
+from tradelake.session import side_by_side
 
 EVENT = "resource STRING, id STRING, event STRING"
 DESTROYED = "destroyed"
@@ -123,9 +125,9 @@ class ApplyChanges:
 
     `payloads` gives, per table, the current records (id, raw_payload, and the
     parsed `payload` if there is one) of a frame of ids; `PayloadArchive.of`
-    reads no more than those ids ask for. Deletions come first, so a record that
-    still exists wins over its own notice of destruction. A batch that is
-    delivered again is skipped.
+    reads no more than those ids ask for. Tables are changed side by side. In
+    each, deletions come first, so a record that still exists wins over its own
+    notice of destruction. A batch that is delivered again is skipped.
     """
 
     def __init__(
@@ -160,16 +162,20 @@ class ApplyChanges:
                     (F.col("table_name") == table) & (F.col("destroyed") == destroyed)
                 ).select(F.col("id").alias(name))
 
-            for table in sorted({t for t, gone in seen if gone and t != MOVEMENTS}):
-                key = self.store.specs[table].key
-                self.store.mark_deleted(table, ids(table, True, key), self.now)
-            for table in sorted({t for t, gone in seen if not gone}):
+            def apply(table: str) -> None:
                 if table == MOVEMENTS:
-                    if self.refresh_movements:
+                    if self.refresh_movements and (table, False) in seen:
                         self.refresh_movements()
-                elif table in self.payloads:
+                    return
+                if (table, True) in seen:
+                    key = self.store.specs[table].key
+                    self.store.mark_deleted(table, ids(table, True, key), self.now)
+                if (table, False) in seen and table in self.payloads:
                     self._refresh(table, ids(table, False, "id"))
 
+            tables = sorted({t for t, _ in seen})
+            side_by_side(self.store.spark, *[partial(apply, t) for t in tables])
+
     def _refresh(self, table: str, ids: DataFrame) -> None:
         found = self.payloads[table](ids)
         if "payload" not in found.columns:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -20,7 +21,7 @@ from tradelake.operators.snapshots import replace_snapshot
 from tradelake.operators.store import TableStore
 from tradelake.plans.views import sales_flat
 from tradelake.schemas import Resource, TableSpec, table_schema
-from tradelake.session import work_folder
+from tradelake.session import side_by_side, work_folder
 from tradelake.sources.payloads import PayloadArchive
 from tradelake.sources.testdata import ErpTables
 from tradelake.streaming import change_events
@@ -317,16 +318,18 @@ def _destroyed_soft_delete(spark: SparkSession, d: str) -> DataFrame:
 def _change_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Notices turned into current rows of orders, lines, products, stock and contacts."""
     store, t = _store(spark, "changes"), ErpTables(spark, d)
-    store.truncate_load("products", t["products"].withColumn("when_upserted", _now()))
-    store.truncate_load("contacts", _contacts(t))
-    store.truncate_load("orders", t["orders"])
-    store.truncate_load("order_rows", t["order_rows"])
+    old = {
+        "products": t["products"].withColumn("when_upserted", _now()), "contacts": _contacts(t),
+        "orders": t["orders"], "order_rows": t["order_rows"],
+    }
     notices = change_events.read_events(spark, _notice_folder(spark, d, store.root))
     current_stock = payloads.availability_payloads(t)
     sources = {"orders": payloads.order_payloads, "products": payloads.product_payloads, "contacts": payloads.contact_payloads}
     archives = {name: PayloadArchive(spark, f"{store.root}/_payloads/{name}") for name in sources}
-    for name, archive in archives.items():
-        archive.add(sources[name](t))
+    side_by_side(
+        spark, *[partial(store.truncate_load, name, rows) for name, rows in old.items()],
+        *[partial(archive.add, sources[name](t)) for name, archive in archives.items()],
+    )
     apply = change_events.ApplyChanges(
         store,
         payloads={name: archive.of for name, archive in archives.items()},
