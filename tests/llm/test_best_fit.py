@@ -24,15 +24,16 @@ def best_fit_decreasing(lengths, capacity):
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(3)
-    odd = ["don't I'LL\tsay 1234", "É ñ  Ünïcodé ΣΑΣ Σ", "<|endoftext|> x<|startoftext|>", "a" * 3000, "\n\n", "!!...?? ''s", "中文 텍스트 🙂🙂"]
+    odd = ["don't I'LL\tsay 1234", "É ñ  Ünïcodé ΣΑΣ Σ", "<|endoftext|> x<|startoftext|>", "a" * 3000, "x<|endoftext|>y <|startoftext|><|endoftext|> z", "\n\n", "!!...?? ''s", "中文 텍스트 🙂🙂"]
     texts = odd + [" ".join(rng.choice("the of and Thtion, eronou. 12 é'l".split()) for _ in range(rng.choice([1, 20, 90, 300]))) for _ in range(120)]
     return [(k, t) for k, t in enumerate(texts)] + [(500, None), (501, ""), (7, texts[8]), (7, texts[8])]
 
 
-def test_ids_pieces_and_places(spark, rows):
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_ids_pieces_and_places(spark, rows, special_as_text):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    got = best_fit.report(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, length string"), capacity=256).collect()
+    t.encode_special_tokens = special_as_text
+    got = best_fit.report(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, length string"), capacity=256, special_as_text=special_as_text).collect()
     want = []
     for doc, text in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids + [1]

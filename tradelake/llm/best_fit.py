@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tradelake.llm.staging import staged
+from tradelake.llm.staging import discard, staged
 from tradelake.llm.tokens import chunks, words
 
 CAPACITY, END_ID = 4096, 1
@@ -42,7 +42,7 @@ CHUNK_BYTES, CACHED_WORDS = 1_000_000, 1_500_000
 class WordIds:
     """Token ids of words, by the fingerprint of the word."""
 
-    def __init__(self, path: str | None):
+    def __init__(self, path: str | None, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,7 +51,7 @@ class WordIds:
 
             path = public_tokenizers.path(VOCABULARY)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         self.forget()
 
     def forget(self) -> None:
@@ -83,8 +83,8 @@ class WordIds:
         return self.ids[place], np.r_[0, ends][w.first]
 
 
-def _cutting(path: str | None, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    coder = WordIds(path)
+def _cutting(path: str | None, special_as_text: bool, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    coder = WordIds(path, special_as_text)
     for batch in chunks(batches, "text", CHUNK_BYTES):
         ids, first = coder.ids_of(batch.column("text"))
         row, piece, start, length, crc = [], [], [], [], []
@@ -99,11 +99,15 @@ def _cutting(path: str | None, capacity: int, batches: Iterator[pa.RecordBatch])
              *(pa.array(v, pa.int64()) for v in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
-def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """(pid, doc_id, piece, start, length, ids_crc32) of all documents, written to the shared folder."""
+def pieces(docs: DataFrame, *, tokenizer: str | None = None, special_as_text: bool = False, capacity: int = CAPACITY) -> DataFrame:
+    """(pid, doc_id, piece, start, length, ids_crc32) of all documents, written to the shared folder.
+
+    Strings of special tokens in a text become these tokens, as the tokenizer
+    has it; with `special_as_text` they are ordinary text.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     cut = docs.select("doc_id", "text").mapInArrow(
-        partial(_cutting, tokenizer, capacity), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+        partial(_cutting, tokenizer, special_as_text, capacity), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
     return staged(cut.select(F.monotonically_increasing_id().alias("pid"), "*"), "pieces")
 
 
@@ -161,28 +165,37 @@ def _flows(left: list) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-FLOW = "piece_part int, piece_rank bigint, gap_part int, gap_rank bigint, n bigint, number bigint"
+def _numbering(part: np.ndarray, rank: np.ndarray, n: np.ndarray, number: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        p, r = batch.column("part").to_numpy().astype(np.int64), batch.column("rank").to_numpy()
+        own = np.searchsorted(part << 40 | rank, p << 40 | r, "right") - 1
+        at = np.maximum(own, 0)
+        hit = (own >= 0) & (part[at] == p) & (r < rank[at] + n[at]) if len(part) else np.zeros(len(p), bool)
+        value = number[at] + r - rank[at] if len(part) else np.zeros(len(p), np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("value"), pa.array(value, mask=~hit)], ["id", "value", "number"])
+
 
+def _numbered(left: DataFrame, flows: list[tuple], side: int) -> DataFrame:
+    """What a round leaves over, with the number of its match across ranges, null if it has none.
 
-def _numbered(left: DataFrame, flows: DataFrame, side: str) -> DataFrame:
-    """What a round leaves over, with the number of its match across ranges, null if it has none."""
-    hit = (F.col("part") == F.col(f"{side}_part")) & (F.col("rank") >= F.col(f"{side}_rank")) & (F.col("rank") < F.col(f"{side}_rank") + F.col("n"))
-    return left.join(F.broadcast(flows), hit, "left").select(
-        "id", "value", (F.col("number") + F.col("rank") - F.col(f"{side}_rank")).alias("number"))
+    Flows are no more than twice the ranges. Each row finds its own by binary
+    search as it is read; `side` is 0 for pieces and 2 for gaps.
+    """
+    f = np.array(sorted((f[side], f[side + 1], f[4], f[5]) for f in flows), np.int64).reshape(-1, 4)
+    return left.select("part", "rank", "id", "value").mapInArrow(partial(_numbering, *f.T), "id bigint, value bigint, number bigint")
 
 
-def _round(docs: DataFrame, bins: DataFrame, capacity: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+def _round(docs: DataFrame, bins: DataFrame, capacity: int, turn: int, made: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """What this round places (pid, seq, gap), the rest, the new gaps, and how many pieces are left.
 
     One shuffle sorts, another brings matches across ranges together; the rest
     is read from the sweep's rows as they lie.
     """
-    spark = docs.sparkSession
     both = docs.select(F.lit(False).alias("gap"), F.col("pid").alias("id"), F.col("length").alias("value")).unionAll(
         bins.select(F.lit(True), "seq", "room"))
     order = ("value", "gap", F.xxhash64("id"), "id")
     swept = both.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "*")
-    swept = staged(swept.mapInArrow(partial(_sweep, turn >= SEVERAL), SWEPT), "pack-sweep")
+    swept = staged(swept.mapInArrow(partial(_sweep, turn >= SEVERAL), SWEPT), "pack-sweep", made)
     left = swept.where("gap IS NULL").select("part", F.col("id").alias("pieces"), F.col("value").alias("gaps"), F.col("mate").alias("met"),
                                              F.col("room").alias("tokens")).collect()  # one row for each range
     left.sort(key=lambda r: r.part)
@@ -194,17 +207,16 @@ def _round(docs: DataFrame, bins: DataFrame, capacity: int, turn: int) -> tuple[
         for r in reversed(left):
             flows.append((r.part, 0, r.part, 0, max(0, min(r.pieces, need - before)), 0))
             before += r.pieces
-    table = spark.createDataFrame(flows, FLOW)
-    pieces_left = _numbered(swept.where("NOT gap AND rank IS NOT NULL"), table, "piece")
+    pieces_left = _numbered(swept.where("NOT gap AND rank IS NOT NULL"), flows, 0)
     gaps_left = swept.where("gap AND rank IS NOT NULL")
     crossing = pieces_left.where("number IS NOT NULL").select(F.col("id").alias("pid"), F.col("value").alias("length"), "number")
     if opening:
         crossing = crossing.select("pid", F.col("pid").alias("seq"), F.lit(capacity).cast("bigint").alias("gap"), "length")
         gaps_left = gaps_left.select("id", "value")
     else:
-        gaps_left = _numbered(gaps_left, table, "gap")
+        gaps_left = _numbered(gaps_left, flows, 2)
         taken = gaps_left.where("number IS NOT NULL").select("number", F.col("id").alias("seq"), F.col("value").alias("gap"))
-        crossing = staged(crossing.join(taken, "number").select("pid", "seq", "gap", "length"), "pack-crossing") if flows else crossing.select(
+        crossing = staged(crossing.join(taken, "number").select("pid", "seq", "gap", "length"), "pack-crossing", made) if flows else crossing.select(
             "pid", F.col("pid").alias("seq"), F.col("length").alias("gap"), "length")
         gaps_left = gaps_left.where("number IS NULL").select("id", "value")
     placed = swept.where("NOT gap AND mate IS NOT NULL").select(F.col("id").alias("pid"), F.col("mate").alias("seq"), F.col("room").alias("gap"))
@@ -216,20 +228,29 @@ def _round(docs: DataFrame, bins: DataFrame, capacity: int, turn: int) -> tuple[
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(pid, sequence_id, offset) of every row of cut (pid, length)."""
+    """(pid, sequence_id, offset) of every row of cut (pid, length).
+
+    Of each round only the places it gave are kept; its other tables go once the
+    next round has read them.
+    """
+    spark, last = cut.sparkSession, []
     full = cut.where(F.col("length") >= capacity).select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     docs = cut.where(F.col("length") < capacity).select("pid", "length")
     bins = docs.limit(0).select(F.col("pid").alias("seq"), F.col("length").alias("room"))
     out, count, turn = full, docs.count(), 1
     while count:
-        placed, docs, bins, count = _round(docs, bins, capacity, turn)
+        made: list[str] = []
+        placed, docs, bins, count = _round(docs, bins, capacity, turn, made)
         turn += 1
-        out = out.unionAll(placed.select("pid", "seq", capacity - F.col("gap")))
+        out = out.unionAll(staged(placed.select("pid", "seq", (capacity - F.col("gap")).alias("offset")), "pack-placed"))
+        discard(spark, last)
+        last = made
+    discard(spark, last)
     return out
 
 
-def report(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def report(docs: DataFrame, *, capacity: int = CAPACITY, **options) -> DataFrame:
     """One row per piece: where it comes from and where it is packed."""
-    cut = pieces(docs, tokenizer=tokenizer, capacity=capacity)
+    cut = pieces(docs, capacity=capacity, **options)
     return cut.join(pack(cut, capacity), "pid").select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tradelake.llm.staging import staged
+from tradelake.llm.staging import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,13 +16,18 @@ def components(edges: DataFrame) -> DataFrame:
     grouped but by minimum, which is taken inside the tasks first.
     """
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = staged(both.where("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), "labels")
+    spark, kept, last = edges.sparkSession, [], []
+    both = staged(both.where("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges", kept)
+    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), "labels", last)
     while True:
+        made: list[str] = []
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         least = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("next"))
         up = labels.select(F.col("node").alias("at"), F.col("label").alias("up"))
-        moved = staged(least.join(up, F.col("next") == F.col("at")).select("node", "up", (F.col("label") != F.col("up")).alias("moved")), "labels")
+        moved = staged(least.join(up, F.col("next") == F.col("at")).select("node", "up", (F.col("label") != F.col("up")).alias("moved")), "labels", made)
         labels = moved.select("node", F.col("up").alias("label"))
+        discard(spark, last)
+        last = made
         if not moved.where("moved").take(1):
+            discard(spark, kept)
             return labels

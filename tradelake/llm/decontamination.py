@@ -5,8 +5,9 @@ binary-searches every suffix of the test texts in them. No document is
 shuffled. Test texts travel to the tasks in blocks of bounded size, one block
 after another; a block is a broadcast with a proven bound.
 
-Null or word-free documents and test texts match nothing. A text longer than a
-shard is a shard of its own. Repeated rows, repeated ids and further columns
+Null or word-free documents and test texts match nothing. A test text without
+an id hits words like any other and is left out of the items. A text longer than
+a shard, or than a block, is one of its own. Repeated rows, repeated ids and further columns
 (of any name) stay as they are; an empty table gives an empty result.
 """
 
@@ -45,7 +46,7 @@ _SPANS, _ITEMS, _MATCHES = (pa.list_(pa.struct([("start", pa.int64()), ("end", p
 class _Tests:
     """A block of test texts: words of all items in a row, and what surrounds each word."""
 
-    def __init__(self, ids: list[str], texts: list[str | None], window: int):
+    def __init__(self, ids: list[str | None], texts: list[str | None], window: int):
         w = words(pa.array(texts, pa.string()), NOT_ALNUM)
         self.ids, self.hash, self.left = ids, w.hash, w.left()
         self.item = w.text_of_word()
@@ -99,7 +100,7 @@ def _found(tests: _Tests, texts: pa.Array) -> list[dict]:
         cut = np.flatnonzero(start[1:] > end[:-1]) + 1
         out[d]["spans"] = [{"start": int(a), "end": int(b)} for a, b in
                            zip(start[np.r_[0, cut]], end[np.r_[cut - 1, len(rows) - 1]])]
-        out[d]["items"] = sorted({tests.ids[i] for i in np.unique(tests.item[suffix[rows]])})
+        out[d]["items"] = sorted({tests.ids[i] for i in np.unique(tests.item[suffix[rows]])} - {None})
         out[d]["matches"] = [
             {"item_id": tests.ids[tests.item[s]], "item_start": int(tests.place[s]), "start": int(p), "length": int(n)}
             for s, p, n in zip(suffix[rows], start, length[rows]) if n]
@@ -140,14 +141,11 @@ def find_matches(docs: DataFrame, tests: DataFrame, *, text: str = "text", item:
     """(row: the kept columns of docs, found: see FOUND) for every row of docs."""
     tests = tests.select(F.col(item).cast("string").alias("id"), F.col(test_text).alias("text"))
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    longest = tests.agg(F.max(F.octet_length("text"))).first()[0] or 0
-    if longest > block_bytes:
-        raise ValueError(f"a test text has {longest} bytes; raise block_bytes ({block_bytes})")
     blocks = 1 + 2 * total // block_bytes  # filled by half on average
     out = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("text"))
     for k in range(blocks):
         part = tests.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k) if blocks > 1 else tests
-        rows = part.where("id IS NOT NULL").collect()
+        rows = part.collect()
         schema = T.StructType([*out.schema.fields[:2], T.StructField("found", FOUND)])
         out = out.mapInArrow(_searching([r.id for r in rows], [r.text for r in rows], window), schema)
     return out.select("row", "found")

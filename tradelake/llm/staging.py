@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tradelake.session import work_folder
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Whatever is staged inside goes at the end, when its reader has been written."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        discard(spark, made)
+
+
 def staged(df: DataFrame, purpose: str, made: list[str] | None = None) -> DataFrame:
     """df written as Parquet and read again: lineage ends here, and a lost executor costs no recomputation.
 
@@ -15,8 +33,8 @@ def staged(df: DataFrame, purpose: str, made: list[str] | None = None) -> DataFr
     """
     folder = work_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
-    if made is not None:
-        made.append(folder)
+    for holder in (*_scopes, *([] if made is None else [made])):
+        holder.append(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
