@@ -62,6 +62,65 @@ def test_chain(tables):
     assert scored.where("doc_id IN (2000, 2001) AND predicted = 1").count() == 0
 
 
+def test_the_chain_changes_scores(tables):
+    docs, labels = tables
+    chain = toxicity_chain.train(docs, labels)
+    n = len(chain.inputs.features)
+    assert [len(w) for w in chain.weights] == [n + 1, n + 2, n + 3]
+    alone = [np.r_[w[:n], np.zeros(len(w) - n - 1), w[-1]] for w in chain.weights]  # blind to earlier categories
+    on = {r.doc_id: r.p_toxic for r in toxicity_chain.score(docs, chain).where("doc_id < 900").collect()}
+    off = {r.doc_id: r.p_toxic for r in toxicity_chain.score(docs, toxicity_chain.Chain(chain.inputs, alone)).where("doc_id < 900").collect()}
+    assert max(abs(on[k] - off[k]) for k in on) > 0.005  # the inputs alone part these classes almost
+
+
+def test_chain_equals_plain_numpy():
+    """Against the same chain over dense matrices, one row and one fold at a time."""
+    rng = np.random.default_rng(2)
+    n, d = 120, 6
+    there = rng.random((n, d)) < 0.4
+    y = (there[:, 0] | (there[:, 1] & there[:, 2])).astype(float)
+    size, fold = rng.integers(1, 400, n), rng.integers(0, 3, n)
+    views = [toxicity_chain.Inputs(np.sort(rng.choice(d, m, replace=False)).astype(np.uint64), rng.normal(size=m), rng.random(m) < 0.5) for m in (5, 4, 6, 3)]
+    row, feature = np.nonzero(there)
+    chain = toxicity_chain.fit_chain(row, feature.astype(np.uint64), y, size, fold, views[0], views[1:])
+
+    def dense(view, extra):
+        return np.c_[there[:, view.features.astype(int)] * view.scale, extra, np.ones(n)]
+
+    def target(view, category):
+        marks = there[:, view.features.astype(int)][:, view.marked].sum(1)
+        return y * {"dense": marks * 50 >= size, "repeated": marks >= 8, "toxic": y == y}[category]
+
+    def fit(x, t, steps=150, l2=1e-4):
+        w = np.zeros(x.shape[1])
+        if t.min() == t.max():
+            w[-1] = np.log((t.sum() + 0.5) / (len(t) - t.sum() + 0.5))
+            return w
+        k = x.shape[1] - 1
+        rate = 4 * len(t) / (len(t) * (k - scaled + 1) + (x[:, :scaled] ** 2).sum())
+        v, s = w, 1.0
+        for _ in range(steps):
+            new, u = v - rate * (x.T @ (toxicity_chain.sigmoid(x @ v) - t) / len(t) + l2 * v), (1 + np.sqrt(1 + 4 * s * s)) / 2
+            v, w, s = new + (s - 1) / u * (new - w), new, u
+        return w
+
+    extra, weights = np.zeros((n, 0)), []
+    for category in toxicity_chain.CATEGORIES:
+        scaled = len(views[0].features)
+        weights.append(fit(dense(views[0], extra), target(views[0], category)))
+        apart = np.zeros(n)
+        for k, view in enumerate(views[1:]):
+            scaled = len(view.features)
+            x, rest = dense(view, extra), fold != k
+            apart[~rest] = toxicity_chain.sigmoid(x[~rest] @ fit(x[rest], target(view, category)[rest]))
+        extra = np.c_[extra, apart]
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(chain.weights, weights))
+    p = np.zeros((n, 0))
+    for w in weights:
+        p = np.c_[p, toxicity_chain.sigmoid(dense(views[0], p) @ w)]
+    assert np.allclose(chain.probabilities(row, feature.astype(np.uint64), n), p, atol=1e-6)
+
+
 @pytest.mark.parametrize("module, label", [(rule_ensemble, "quality"), (toxicity_chain, "toxic")])
 def test_without_labels_or_documents(tables, module, label):
     docs, labels = tables

@@ -1,17 +1,18 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after another by linear models. Each later model
-also sees the probabilities of the earlier ones; in training these are
-out-of-fold predictions, so that it learns from what it will get.
+Categories are predicted one after another by linear models, the label itself
+last. Each later model also sees the probabilities of the earlier ones; in
+training these are out-of-fold predictions, so that it learns from what it will
+get. For a fold, inputs are chosen, scaled and marked on the other folds alone.
 
 Inputs of the models are the words of a text and their first four and five
 bytes, as 64-bit fingerprints. A bounded sample of labelled rows (`sample_rows`)
 chooses `n_features` of them by how unevenly they fall on the classes, and fits
 the weights. Every document is then scored whole in one narrow pass.
 
-The labels name one category. Two more are derived from it: `repeated` (toxic,
-with several marked inputs) and `dense` (toxic, with many marked inputs for its
-length); an input is marked if it stands mostly in toxic rows.
+The labels name one category, `toxic`. Two easier ones come before it: `dense`
+(toxic, with many marked inputs for its length) and `repeated` (toxic, with
+several marked inputs); an input is marked if it stands mostly in toxic rows.
 
 A null or word-free text gets the score of no words. Without both classes in
 the sample every score is the share of the positive class. Repeated rows and
@@ -28,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tradelake.llm.labelled import held_out, sample
-from tradelake.llm.staging import staged
+from tradelake.llm.staging import discard, staged
 from tradelake.llm.tokens import NOT_ALNUM, chunks, mix, words
 
-CATEGORIES = ("toxic", "repeated", "dense")
+CATEGORIES = ("dense", "repeated", "toxic")
 SAMPLE_ROWS, N_FEATURES, FOLDS = 20_000, 768, 4
 CHUNK_BYTES = 2_000_000
 
@@ -65,7 +66,7 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, feature = once(text, feature)
         offsets = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("y"), lists, pa.array(n)], ["y", "features", "n_words"])
+        yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("fold"), lists, pa.array(n)], ["y", "fold", "features", "n_words"])
 
 
 @dataclass
@@ -111,83 +112,116 @@ def fit_linear(x: Matrix, y: np.ndarray, steps: int = 150, l2: float = 1e-4) ->
 
 
 @dataclass
-class Chain:
-    features: np.ndarray  # sorted fingerprints
+class Inputs:
+    """Chosen inputs, as sorted fingerprints, with their scale and whether they are marked."""
+
+    features: np.ndarray
     scale: np.ndarray
+    marked: np.ndarray
+
+    def columns(self, row: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, number of the input) of the pairs whose input is chosen."""
+        at = np.searchsorted(self.features, feature)
+        here = at < len(self.features)
+        here[here] = self.features[at[here]] == feature[here]
+        return row[here], at[here]
+
+    def matrix(self, row: np.ndarray, feature: np.ndarray, extra: np.ndarray) -> Matrix:
+        return Matrix(*self.columns(row, feature), extra, self.scale)
+
+    def target(self, category: str, row: np.ndarray, feature: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+        r, c = self.columns(row, feature)
+        n = np.bincount(r, self.marked[c], len(y)) if len(r) else np.zeros(len(y))
+        return y * {"dense": n * 50 >= size, "repeated": n >= 8, "toxic": np.ones(len(y), bool)}[category]
+
+
+@dataclass
+class Chain:
+    inputs: Inputs
     weights: list[np.ndarray]
 
-    def probabilities(self, row: np.ndarray, column: np.ndarray, n: int) -> np.ndarray:
+    def probabilities(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+        """One column per category; (row, feature) pairs must differ."""
         out = np.zeros((n, 0))
         for w in self.weights:
-            out = np.c_[out, sigmoid(Matrix(row, column, out, self.scale).dot(w))]
+            out = np.c_[out, sigmoid(self.inputs.matrix(row, feature, out).dot(w))]
         return out
 
 
-def fit_chain(row: np.ndarray, column: np.ndarray, targets: np.ndarray, chosen: np.ndarray, scale: np.ndarray,
-              folds: int = FOLDS) -> Chain:
-    """targets: one 0/1 column per category."""
-    n = len(targets)
-    fold, extra, weights = np.arange(n) % folds, np.zeros((n, 0)), []
-    for y in targets.T:
-        x = Matrix(row, column, extra, scale)
-        weights.append(fit_linear(x, y))
-        apart = np.zeros(n)
-        for k in range(folds):
+def fit_chain(row: np.ndarray, feature: np.ndarray, y: np.ndarray, size: np.ndarray, fold: np.ndarray,
+              whole: Inputs, without: list[Inputs]) -> Chain:
+    """`without[k]` are the inputs as the rows outside fold k choose them."""
+    extra, weights = np.zeros((len(y), 0)), []
+    for category in CATEGORIES:
+        weights.append(fit_linear(whole.matrix(row, feature, extra), whole.target(category, row, feature, y, size)))
+        apart = np.zeros(len(y))
+        for k, inputs in enumerate(without):
+            x, t = inputs.matrix(row, feature, extra), inputs.target(category, row, feature, y, size)
             rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            apart[own] = sigmoid(x.take(own).dot(fit_linear(x.take(rest), y[rest])))
+            apart[own] = sigmoid(x.take(own).dot(fit_linear(x.take(rest), t[rest])))
         extra = np.c_[extra, apart]
-    return Chain(chosen, scale, weights)
+    return Chain(whole, weights)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_rows: int = SAMPLE_ROWS,
-          n_features: int = N_FEATURES) -> Chain:
-    """Fits on at most sample_rows labelled documents; only chosen inputs come to the driver."""
-    chosen_ids = sample(labels, label, sample_rows)
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen_ids), "doc_id").select("text", "y")
-    rows = staged(known.mapInArrow(_listed, "y int, features array<bigint>, n_words bigint"), "toxicity")
-    n, positive = rows.agg(F.count("*"), F.sum("y")).first()
-    share = (positive or 0) / max(n, 1)
+def _choose(counts: DataFrame, totals: dict, without: int | None, n_features: int) -> Inputs:
+    """The most uneven inputs over all rows but those of one fold."""
+    folds = [k for k in totals if k != without]
+    n, positive = (sum(totals[k][i] for k in folds) for i in (0, 1))
+    share = positive / max(n, 1)
+    best = []
     if 0 < share < 1:
-        counts = rows.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
+        one = [F.sum(F.when(F.col("fold").isin(folds), F.col(c))).alias(c) for c in ("n", "p")]
         uneven = (F.col("p") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-        best = counts.where("n >= 3").withColumn("z", uneven).orderBy(F.abs("z").desc(), "f").limit(n_features).collect()
-    else:
-        best = []
+        best = counts.groupBy("f").agg(*one).where("n >= 3").withColumn("z", uneven).orderBy(F.abs("z").desc(), "f").limit(n_features).collect()
     best.sort(key=lambda r: np.uint64(r.f & (1 << 64) - 1))
-    chosen = np.array([r.f for r in best], np.int64).view(np.uint64)
-    marked = np.array([r.z > 4 for r in best], bool)
-    positive, negative = max(share * n, 1), max((1 - share) * n, 1)
+    positive, negative = max(positive, 1), max(n - positive, 1)
     # an input counts by the log ratio of its rates in both classes
     scale = np.array([np.log((r.p + 0.5) / positive) - np.log((r.n - r.p + 0.5) / negative) for r in best])
-    some = F.array(*(F.lit(r.f) for r in best)) if best else F.array().cast("array<bigint>")
-    got = rows.select("y", "n_words", F.array_intersect("features", some).alias("f")).toArrow()
+    return Inputs(np.array([r.f for r in best], np.int64).view(np.uint64), scale, np.array([r.z > 4 for r in best], bool))
+
+
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_rows: int = SAMPLE_ROWS,
+          n_features: int = N_FEATURES) -> Chain:
+    """Fits on at most sample_rows labelled documents; only chosen inputs come to the driver."""
+    chosen_ids = sample(labels, label, sample_rows)
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen_ids), "doc_id").select("text", "y", fold)
+    made: list[str] = []
+    rows = staged(known.mapInArrow(_listed, "y int, fold int, features array<bigint>, n_words bigint"), "toxicity", made)
+    totals = {r.fold: (r.n, r.p) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("p")).collect()}
+    counts = rows.select("y", "fold", F.explode("features").alias("f")).groupBy("f", "fold").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
+    counts = staged(counts, "toxicity-counts", made)
+    whole = _choose(counts, totals, None, n_features)
+    without = [_choose(counts, totals, k, n_features) for k in range(FOLDS)]
+    every = np.unique(np.concatenate([i.features for i in (whole, *without)])).view(np.int64)
+    some = F.array(*(F.lit(int(f)) for f in every)) if len(every) else F.array().cast("array<bigint>")
+    got = rows.select("y", "fold", "n_words", F.array_intersect("features", some).alias("f")).toArrow()
+    discard(rows.sparkSession, made)
     if not len(got):
-        return Chain(chosen, scale, [np.zeros(len(chosen) + k + 1) for k in range(len(CATEGORIES))])
-    y, size, f = got["y"].to_numpy(), got["n_words"].to_numpy(), got["f"].combine_chunks()
-    row = np.repeat(np.arange(len(y)), f.value_lengths().to_numpy())
-    column = np.searchsorted(chosen, f.flatten().to_numpy().view(np.uint64))
-    n_marked = np.bincount(row, marked[column], len(y)) if len(row) else np.zeros(len(y))
-    targets = np.c_[y, (y == 1) & (n_marked >= 8), (y == 1) & (n_marked * 50 >= size)].astype(float)
-    order = np.lexsort((n_marked, size, y))  # rows come in any order; folds must not
-    place = np.empty(len(y), int)
-    place[order] = np.arange(len(y))
-    return fit_chain(place[row], column, targets[order], chosen, scale)
+        return Chain(whole, [np.zeros(len(whole.features) + k + 1) for k in range(len(CATEGORIES))])
+    f = got["f"].combine_chunks()
+    row, feature = np.repeat(np.arange(len(got)), f.value_lengths().to_numpy()), f.flatten().to_numpy().view(np.uint64)
+    return fit_chain(row, feature, got["y"].to_numpy().astype(float), got["n_words"].to_numpy(), got["fold"].to_numpy(), whole, without)
 
 
 def _scoring(chain: Chain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK_BYTES):
             text, feature, _ = features(batch.column("text"))
-            at = np.searchsorted(chain.features, feature)
-            here = at < len(chain.features)
-            here[here] = chain.features[at[here]] == feature[here]
-            p = chain.probabilities(*once(text[here], at[here]), batch.num_rows)
+            p = chain.probabilities(*_once_chosen(chain.inputs, text, feature), batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in p.T)],
                                              ["doc_id", *(f"p_{c}" for c in CATEGORIES)])
 
     return run
 
 
+def _once_chosen(inputs: Inputs, text: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs of a text and a chosen input."""
+    row, at = inputs.columns(text, feature)
+    row, at = once(row, at)
+    return row, inputs.features[at]
+
+
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """(doc_id, a probability per category) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -196,7 +230,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Per document: probabilities, the score of the first category and the verdict at one half."""
+    """Per document: probabilities, the score of the last category and the verdict at one half."""
     s = score(docs, train(docs, labels, **options))
     return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *(f"p_{c}" for c in CATEGORIES),
                     F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"))
