@@ -36,7 +36,7 @@ CAPACITY, END_ID = 4096, 1
 #: The first opening is for this part of all tokens, so that later ones can mend; the round from which gaps take several pieces.
 OPENING, SEVERAL = 0.99, 6
 VOCABULARY = "word_bpe_49k.json"
-CHUNK_BYTES, CACHED_WORDS = 1_000_000, 1_500_000
+CHUNK_BYTES, CACHED_WORDS = 2_000_000, 1_500_000
 
 
 class WordIds:
@@ -64,19 +64,22 @@ class WordIds:
         different, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
         if len(self.hash) > CACHED_WORDS:
             self.forget()
-        new = np.flatnonzero(~np.isin(different, self.hash, assume_unique=True))
+        known = np.searchsorted(self.hash, different)
+        there = known < len(self.hash)
+        there[there] = self.hash[known[there]] == different[there]
+        new = np.flatnonzero(~there)
         if len(new):
             data = w.data.tobytes()
             texts_ = [data[w.start[k] : w.end[k]].decode() for k in first[new]]
             lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
             size = np.fromiter(map(len, lists), np.int64, len(lists))
-            self.at = np.r_[self.at, len(self.ids) + np.cumsum(size) - size]
-            self.size = np.r_[self.size, size]
+            place = known[new]  # both are sorted: merged, not sorted again
+            self.at = np.insert(self.at, place, len(self.ids) + np.cumsum(size) - size)
+            self.size = np.insert(self.size, place, size)
             self.ids = np.r_[self.ids, np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))]
-            self.hash = np.r_[self.hash, different[new]]
-            by = np.argsort(self.hash)
-            self.hash, self.at, self.size = self.hash[by], self.at[by], self.size[by]
-        known = np.searchsorted(self.hash, different)[back]
+            self.hash = np.insert(self.hash, place, different[new])
+            known = np.searchsorted(self.hash, different)
+        known = known[back]
         size = self.size[known]
         ends = np.cumsum(size)
         place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size - self.at[known], size)

@@ -38,6 +38,12 @@ class Mapping:
     each: str | None = None
     roles: tuple[tuple[str, str], ...] = ()
 
+    @property
+    def no_turns(self) -> str:
+        """The field paths of a record whose list of turns is empty."""
+        before = self.paths[: self.paths.index("ARRAY<")]
+        return f"{before}ARRAY<>" + ">" * before.count("<")
+
 
 MAPPINGS = (
     Mapping("messages", "OBJECT<messages: ARRAY<OBJECT<content: T, role: T>>>", (("$.role", "$.content"),), "$.messages"),
@@ -52,8 +58,12 @@ MAPPINGS = (
 
 
 def field_paths(record: Column) -> Column:
-    """Nested field names of a variant, keys in order, every scalar type written as T."""
-    return F.regexp_replace(F.schema_of_variant(record), r"(?<=[:<] ?)(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DECIMAL\([0-9,]*\))(?=[,>])", "T")
+    """Nested field names of a variant, keys in order; scalars of any type, and of several types in one place, are T.
+
+    A list without elements, or of nulls only, is ARRAY<>.
+    """
+    kinds = F.replace(F.schema_of_variant(record), F.lit("ARRAY<VOID>"), F.lit("ARRAY<>"))
+    return F.regexp_replace(kinds, r"(?<=[:<] ?)(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|DECIMAL\([0-9,]*\))(?=[,>])", "T")
 
 
 def fingerprint(record: Column) -> Column:
@@ -94,6 +104,9 @@ def canonical(records: DataFrame, record: str = "record", mappings: tuple[Mappin
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<struct<{TURN}>>")
     for m in mappings:
         same = F.col("_f") == F.sha2(F.lit(m.paths), 256)
+        if m.each:  # no turns at all
+            none = F.size(F.try_variant_get("_v", m.each, "array<variant>")) == 0
+            same = same | (F.col("_f") == F.sha2(F.lit(m.no_turns), 256)) & none
         layout = F.when(same, F.lit(m.name)).otherwise(layout)
         turns = F.when(same, _turns(F.col("_v"), m)).otherwise(turns)
     return read.select(*(F.col(f"`{c}`") for c in names), F.col("_f").alias("fingerprint"), layout.alias("layout"), turns.alias("turns"))

@@ -14,15 +14,13 @@ _scopes: list[list[str]] = []
 
 
 @contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
-    """Whatever is staged inside goes at the end, when its reader has been written."""
-    made: list[str] = []
+def noted(made: list[str]) -> Iterator[None]:
+    """`made` gets the folder of whatever is staged inside."""
     _scopes.append(made)
     try:
         yield
     finally:
-        _scopes.remove(made)
-        discard(spark, made)
+        del _scopes[next(k for k, s in enumerate(_scopes) if s is made)]
 
 
 def staged(df: DataFrame, purpose: str, made: list[str] | None = None) -> DataFrame:
