@@ -15,15 +15,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tradelake.operators import keyed, projections
 from tradelake.operators.bucketed import BucketedTable
 from tradelake.operators.incremental import Sync
-from tradelake.operators.state import freshness_report, staleness, state_from_runs, status_listing
 from tradelake.operators.question_log import append_log, read_log
 from tradelake.operators.snapshots import replace_snapshot
+from tradelake.operators.state import freshness_report, staleness, state_from_runs, status_listing
 from tradelake.operators.store import TableStore
+from tradelake.plans import questions
 from tradelake.plans.views import sales_flat
-from tradelake.schemas import Resource, TableSpec, table_schema
+from tradelake.schemas import LEGACY_SALES, Resource, TableSpec, conform, table_schema
 from tradelake.session import side_by_side, work_folder
+from tradelake.sources import history_csv
 from tradelake.sources.payloads import PayloadArchive
-from tradelake.sources.testdata import ErpTables
+from tradelake.sources.testdata import ErpTables, both_eras
 from tradelake.streaming import change_events
 from tradelake.suite import payload_queries as payloads, view_queries
 from tradelake.suite.common import TIME_TEXT, plain, sql_time, with_adapters
@@ -182,13 +184,35 @@ def _pages_come_and_go(spark: SparkSession, d: str) -> DataFrame:
 def _reference_to_channels(spark: SparkSession, d: str) -> DataFrame:
     """Channels loaded from a reference payload, and the sales view over the loaded table."""
     store, t = _store(spark, "reference"), ErpTables(spark, d)
-    items = t["channels"].select(F.to_json(F.struct(F.col("id").alias("id"), F.col("name").alias("name"))).alias("item"))
-    payload = items.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("item")), ","), F.lit("]")).alias("payload"))
-    Sync(store, RUN_TIME).reference("channels", payload)
+    Sync(store, RUN_TIME).reference("channels", _channel_payload(t))
     sales = sales_flat({**t, "channels": store.read("channels")})
     return plain(sales)
 
 
+def _channel_payload(t: ErpTables) -> DataFrame:
+    """The channels as one collection payload."""
+    items = t["channels"].select(F.to_json(F.struct(F.col("id").alias("id"), F.col("name").alias("name"))).alias("item"))
+    return items.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("item")), ","), F.lit("]")).alias("payload"))
+
+
+def _stored_sales(group_by: str):
+    """A question over loaded tables: orders by two runs, their lines, channels from a payload, the history by month."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        store, t = _store(spark, "stored-sales"), both_eras(spark, d)
+        sync = Sync(store, RUN_TIME)
+        early = t["orders"].filter(F.col("updated_on") < F.lit("1999-01-01").cast("timestamp"))
+        sync.orders(early, t["order_rows"])
+        sync.orders(t["orders"], t["order_rows"])
+        sync.reference("channels", _channel_payload(t))
+        store.publish("legacy_sales", lambda path: history_csv.write_by_month(conform(t["legacy_sales"], LEGACY_SALES), path))
+        tables = {name: store.read(name) for name in ("orders", "order_rows", "channels")}
+        tables["legacy_sales"] = history_csv.read_by_month(store)
+        return plain(questions.query_sales(tables, view_queries.FROM, view_queries.TO, group_by))
+
+    return query
+
+
 def _reconcile(at_least: int):
     def query(spark: SparkSession, d: str) -> DataFrame:
         store, t = _store(spark, "reconcile"), ErpTables(spark, d)
@@ -482,6 +506,8 @@ QUERIES = {
     "limited_runs_to_the_end": _limited_runs,
     "pages_column_comes_and_goes": _pages_come_and_go,
     "reference_to_channels": _reference_to_channels,
+    "stored_sales_month": _stored_sales("month"),
+    "stored_sales_channel": _stored_sales("channel"),
     "reconcile_missing": _reconcile(0),
     "reconcile_refused": _reconcile(5000),
     "incremental_by_id": _incremental_by_id,
@@ -645,6 +671,8 @@ SELECT r.table_name, r.id, CASE WHEN n.changed THEN new_label ELSE old_label END
   CASE WHEN n.changed THEN FALSE WHEN n.gone THEN TRUE ELSE is_deleted END AS is_deleted,
   CASE WHEN n.changed THEN new_amount ELSE old_amount END AS amount
 FROM records r LEFT JOIN notices n ON n.table_name = r.table_name AND n.id = r.id"""),
+    "stored_sales_month": view_queries.ORACLES["query_sales_month"],
+    "stored_sales_channel": view_queries.ORACLES["query_sales_channel"],
     "batch_delivered_twice": with_adapters("erp_change_events", """broken AS (
   SELECT resource, event, CASE WHEN event_id % 10 = 0 THEN id || ',' || repeat('9', 25) ELSE id END AS id FROM erp_change_events),
 parts AS (SELECT resource, event, trim(t.token) AS token FROM broken, unnest(string_split(id, ',')) AS t(token))""", select="""
