@@ -3,8 +3,7 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
-from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import types as T
 
 from tradelake.functions.coerce import snake_case
 from tradelake.sources.pages import page_columns, page_rows, table_schema_for
