@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tradelake.operators import incremental
 from tradelake.operators.incremental import Sync, changed_since, newer_than, next_changes
 from tradelake.operators.state import freshness_report, run_records, save_runs, staleness, state_from_runs
 from tradelake.schemas import RESOURCES, SYNC_STATE, TIER_BUDGET_MINUTES, TableSpec, table_schema
@@ -309,3 +310,20 @@ def test_a_refused_reconcile_joins_nothing(spark, sync, monkeypatch):
     monkeypatch.setattr(id_sets, "missing", lambda *a: pytest.fail("joined"))
     sync.store.truncate_load("contacts", contacts(spark, 10))
     assert sync.reconcile("contacts", contacts(spark, 5).select("contact_id")) is None
+
+
+def test_a_large_limited_run_is_found_by_counting(spark, monkeypatch):
+    """The oldest changes without a sort that gathers them: no task holds all of them."""
+    rng = random.Random(5)
+    times = [None, datetime(1960, 1, 1), NOW, NOW + timedelta(microseconds=1), NOW + timedelta(days=4000)]
+    rows = [(rng.choice([None, -(2**63), -5, 0, 3, 4, 2**40, 2**63 - 1]), n, rng.choice(times)) for n in range(90)]
+    df = spark.createDataFrame(rows, "row_id BIGINT, n INT, updated_on TIMESTAMP").repartition(3)
+    place = lambda r: (r[1] is not None, r[1] or NOW, r[0] is not None, r[0] or 0)
+    for after in (None, (None, 0), (NOW, 3)):
+        whole = sorted(((r["row_id"], r["updated_on"]) for r in next_changes(df, "updated_on", "row_id", 90, after).collect()), key=place)
+        monkeypatch.setattr(incremental, "SORTED", 0)
+        for limit in (1, 2, 17, len(whole) - 1, len(whole), len(whole) + 1):
+            found = next_changes(df, "updated_on", "row_id", limit, after)
+            assert sorted(((r["row_id"], r["updated_on"]) for r in found.collect()), key=place) == whole[:limit]
+            assert "TakeOrdered" not in found._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.undo()

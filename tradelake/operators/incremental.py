@@ -22,6 +22,8 @@ from tradelake.sources.reference_items import reference_rows
 # the share of live rows a reconcile may delete.
 OVERLAP = "INTERVAL 10 MINUTES"
 MAX_MISSING_SHARE = 0.2
+#: Changes that a limited run sorts in one task at most; the last of more is found by counting.
+SORTED = 10_000
 
 _BY_NAME = {r.name: r for r in RESOURCES}
 
@@ -45,14 +47,56 @@ def newer_than(df: DataFrame, key: str, watermark: Column | int | None) -> DataF
 def next_changes(df: DataFrame, column: str, key: str, limit: int, after: tuple | None) -> DataFrame:
     """The `limit` oldest changes, beyond a (time, id) already loaded if there is one.
 
-    Changes without a time come first, by id; a mark without a time lies among them.
+    Changes without a time come first, by id; a mark without a time lies among
+    them. A few are sorted; of more, the last one is looked for, and no task
+    holds more than its share of them.
     """
     if after is not None:
         time, number = (F.lit(v) for v in after)
         same = F.col(column).isNull() if after[0] is None else F.col(column) == time
         later = F.col(column).isNotNull() if after[0] is None else F.col(column) > time
         df = df.filter(later | (same & (F.col(key) > number)))
-    return df.orderBy(F.col(column).asc_nulls_first(), key).limit(limit)
+    if limit <= SORTED:
+        return df.orderBy(F.col(column).asc_nulls_first(), key).limit(limit)
+    found = _nth(df, F.unix_micros(column), limit)
+    if found is None:
+        return df
+    time, before = found
+    at = F.col(column).isNull() if time is None else F.unix_micros(column) == time
+    earlier = F.lit(False) if time is None else F.col(column).isNull() | (F.unix_micros(column) < time)
+    number, less = _nth(df.filter(at), F.col(key), limit - before)
+    if number is None:
+        inside, last = F.lit(False), F.col(key).isNull()
+    else:
+        inside, last = F.col(key).isNull() | (F.col(key) < number), F.col(key) == number
+    # rows that agree in time and id: as many as fit
+    return df.filter(earlier | (at & inside)).unionAll(df.filter(at & last).limit(limit - before - less))
+
+
+def _nth(df: DataFrame, number: Column, n: int) -> tuple[int | None, int] | None:
+    """The n-th smallest of whole numbers, NULL first, and how many are less; None if there are fewer.
+
+    Numbers are counted by their first bits and then, of the part that holds the
+    n-th, by further ones. At most 65,536 counts reach the driver at a time.
+    """
+    numbers = df.select(number.cast("bigint").alias("v"))
+    low, high, known, rows = numbers.agg(F.min("v"), F.max("v"), F.count("v"), F.count(F.lit(1))).first()
+    if n > rows:
+        return None
+    less = rows - known
+    if n <= less:
+        return None, 0
+    while low < high:
+        bits = max(0, (high - low).bit_length() - 16)
+        part = F.shiftright("v", bits)
+        counts = numbers.filter(F.col("v").between(low, high)).groupBy(part.alias("part")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        for r in sorted(counts.collect(), key=lambda r: r["part"]):
+            if less + r["n"] >= n:
+                low, high = r["low"], r["high"]
+                break
+            less += r["n"]
+    return low, less
 
 
 def watermarks(key: str | None, column: str | None) -> dict[str, Column]:
