@@ -32,11 +32,6 @@ def _text(column: str) -> Column:
     return F.col(column).cast("string")
 
 
-#: Tasks that payloads of one row each are spread over. The test tables are one
-#: row group each, hence one task; sources of more splits need no such step.
-SPREAD = 16
-
-
 def order_payloads(t: ErpTables) -> DataFrame:
     """(id, raw_payload): one order header with one line each."""
     order_id = F.col("order_id")
@@ -83,7 +78,8 @@ def order_payloads(t: ErpTables) -> DataFrame:
         paid.alias("historicalOrder"),
         F.create_map((order_id * 10).cast("string"), line).alias("orderRows"),
     )
-    return t["orders"].repartition(SPREAD).select(order_id.alias("id"), F.to_json(payload).alias("raw_payload"))
+    # the test tables are one row group each, hence one task
+    return t["orders"].hint("repartition").select(order_id.alias("id"), F.to_json(payload).alias("raw_payload"))
 
 
 def _gathered(key: Column, value: Column) -> Column:
