@@ -3,6 +3,7 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tradelake import schemas
 from tradelake.operators import projections
@@ -185,3 +186,21 @@ def test_id_lists(spark):
     assert ids(projections.stock_tracked_ids(products)) == {1, 3}
     assert ids(projections.live_product_ids(products)) == {1, 2}
     assert ids(projections.all_product_ids(products)) == {1, 2, 3}
+
+
+def test_members_are_read_in_one_pass_like_their_paths(spark):
+    """Every path gives what a look-up of its own gives, also where a step is no object or no list."""
+    texts = ['{"a":{"b":1.50,"c":{"d":"x"}},"l":[{"e":7},{"e":8}],"r":{"1":{"q":2}}}', '{"a":{"c":{}},"l":[],"r":{}}', '{"a":null,"l":null}',
+             '{"a":{"b":{"z":[1,true]},"c":""},"l":[3]}', '{"a":"","l":"","r":""}', "{}", "null"]
+    df = P.parse(spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n INT, raw_payload STRING"), "n")
+    m = P.Members()
+    paths = ["a.b", "a.c.d", "l[0].e"]
+    columns = [m.text(p).alias(f"c{k}") for k, p in enumerate(paths)]
+    rows = m.members("r")
+    read = m.over(df, ("a.b", "a.c.d"), ("l",))
+    found = read.select("n", *columns, F.to_json(rows).alias("r")).orderBy("n").collect()
+    looked = df.select("n", *[P.text(p).alias(f"c{k}") for k, p in enumerate(paths)], F.to_json(P.members("r")).alias("r"))
+    assert found == looked.orderBy("n").collect()
+    for bad in ('{"a":5}', '{"a":{"c":[1]}}', '{"l":{"0":1}}', '{"r":[1]}'):
+        with pytest.raises(Exception, match="no (object|list)"):
+            m.over(P.parse(spark.createDataFrame([(bad,)], "raw_payload STRING")), ("a.b", "a.c.d"), ("l",)).select(*columns).collect()

@@ -31,10 +31,9 @@ def _payload_text(raw: DataFrame) -> Column:
     return F.col("raw_payload") if "raw_payload" in raw.columns else F.to_json("p")
 
 
-def _records(raw: DataFrame, objects: tuple[str, ...], lists: tuple[str, ...] = ()) -> DataFrame:
-    """Parsed and checked payloads, beside their own text where there is one."""
-    keep = [c for c in ("raw_payload",) if c in raw.columns]
-    return P.shaped(P.parse(raw, *keep), objects, lists)
+def _parsed(raw: DataFrame) -> DataFrame:
+    """Parsed payloads, beside their own text where there is one."""
+    return P.parse(raw, *[c for c in ("raw_payload",) if c in raw.columns])
 
 
 def _named(columns: dict[str, str | Column]) -> list[Column]:
@@ -53,45 +52,47 @@ ORDER_OBJECTS = (
 
 def order_headers(raw: DataFrame, now: Column) -> DataFrame:
     """Payloads to rows of `orders`."""
-    df = _records(raw, ORDER_OBJECTS, ("invoices",)).select(*_named({
-        "order_id": P.text("id"),
-        "parent_order_id": _nonzero(P.text("parentOrderId")),
-        "order_type_code": P.text("orderTypeCode"),
-        "reference": P.text("reference"),
-        "order_status_id": P.text("orderStatus.orderStatusId"),
-        "order_status_name": P.text("orderStatus.name"),
-        "order_payment_status": P.text("orderPaymentStatus"),
-        "stock_status_code": P.text("stockStatusCode"),
-        "allocation_status_code": P.text("allocationStatusCode"),
-        "shipping_status_code": P.text("shippingStatusCode"),
-        "placed_on": P.text("placedOn"),
-        "created_on": P.text("createdOn"),
-        "updated_on": P.text("updatedOn"),
-        "closed_on": P.text("closedOn"),
-        "customer_contact_id": P.text("parties.customer.contactId"),
-        "customer_company_name": P.text("parties.customer.companyName"),
-        "customer_email": P.text("parties.customer.email"),
-        "delivery_state": P.text("parties.delivery.addressLine4"),
-        "delivery_postal_code": P.text("parties.delivery.postalCode"),
-        "delivery_country_iso": P.text("parties.delivery.countryIsoCode"),
-        "warehouse_id": P.text("warehouseId"),
-        "channel_id": P.text("assignment.current.channelId"),
-        "lead_source_id": P.text("assignment.current.leadSourceId"),
-        "staff_owner_contact_id": P.text("assignment.current.staffOwnerContactId"),
-        "currency_code": P.text("currency.orderCurrencyCode"),
-        "exchange_rate": _filled(P.text("currency.exchangeRate")),
-        "total_net": _filled(P.text("totalValue.net")),
-        "total_tax": _filled(P.text("totalValue.taxAmount")),
-        "total": _filled(P.text("totalValue.total")),
-        "base_total_net": _filled(P.text("totalValue.baseNet")),
-        "base_total": _filled(P.text("totalValue.baseTotal")),
-        "invoice_reference": P.text("invoices[0].invoiceReference"),
-        "price_list_id": P.text("priceListId"),
-        "historical_order": P.text("historicalOrder"),
+    m = P.Members()
+    columns = {
+        "order_id": m.text("id"),
+        "parent_order_id": _nonzero(m.text("parentOrderId")),
+        "order_type_code": m.text("orderTypeCode"),
+        "reference": m.text("reference"),
+        "order_status_id": m.text("orderStatus.orderStatusId"),
+        "order_status_name": m.text("orderStatus.name"),
+        "order_payment_status": m.text("orderPaymentStatus"),
+        "stock_status_code": m.text("stockStatusCode"),
+        "allocation_status_code": m.text("allocationStatusCode"),
+        "shipping_status_code": m.text("shippingStatusCode"),
+        "placed_on": m.text("placedOn"),
+        "created_on": m.text("createdOn"),
+        "updated_on": m.text("updatedOn"),
+        "closed_on": m.text("closedOn"),
+        "customer_contact_id": m.text("parties.customer.contactId"),
+        "customer_company_name": m.text("parties.customer.companyName"),
+        "customer_email": m.text("parties.customer.email"),
+        "delivery_state": m.text("parties.delivery.addressLine4"),
+        "delivery_postal_code": m.text("parties.delivery.postalCode"),
+        "delivery_country_iso": m.text("parties.delivery.countryIsoCode"),
+        "warehouse_id": m.text("warehouseId"),
+        "channel_id": m.text("assignment.current.channelId"),
+        "lead_source_id": m.text("assignment.current.leadSourceId"),
+        "staff_owner_contact_id": m.text("assignment.current.staffOwnerContactId"),
+        "currency_code": m.text("currency.orderCurrencyCode"),
+        "exchange_rate": _filled(m.text("currency.exchangeRate")),
+        "total_net": _filled(m.text("totalValue.net")),
+        "total_tax": _filled(m.text("totalValue.taxAmount")),
+        "total": _filled(m.text("totalValue.total")),
+        "base_total_net": _filled(m.text("totalValue.baseNet")),
+        "base_total": _filled(m.text("totalValue.baseTotal")),
+        "invoice_reference": m.text("invoices[0].invoiceReference"),
+        "price_list_id": m.text("priceListId"),
+        "historical_order": m.text("historicalOrder"),
         "is_deleted": F.lit(False),
         "raw_payload": _payload_text(raw),
         "when_upserted": now,
-    }))
+    }
+    df = m.over(_parsed(raw), ORDER_OBJECTS, ("invoices",)).select(*_named(columns))
     return conform(df, ORDERS)
 
 
@@ -103,64 +104,62 @@ LINE_OBJECTS = (
 
 def order_lines(raw: DataFrame, now: Column) -> DataFrame:
     """Payloads to rows of `order_rows`; orders without lines give none."""
-    orders = P.shaped(P.parse(raw), ("id", "orderRows."))
-    lines = orders.select(
-        P.text("id").alias("id"), P.text("updatedOn").alias("updatedOn"),
-        F.explode(P.members("orderRows")).alias("row_key", "line"),
-    )
-
-    def value(path: str) -> Column:
-        return P.text(path, "line")
-
-    df = P.shaped(lines, LINE_OBJECTS, of="line").select(*_named({
+    order, m = P.Members(), P.Members("line")
+    heads = [order.text("id").alias("id"), order.text("updatedOn").alias("updatedOn")]
+    rows = F.explode(order.members("orderRows")).alias("row_key", "line")
+    lines = order.over(P.parse(raw), ("id",)).select(*heads, rows)
+    columns = {
         "order_row_id": "row_key",
         "order_id": "id",
-        "row_sequence": _filled(value("orderRowSequence")),
-        "product_id": value("productId"),
-        "product_name": value("productName"),
-        "product_sku": value("productSku"),
-        "quantity": _filled(value("quantity.magnitude")),
-        "item_cost": _filled(value("itemCost.value")),
-        "product_price": _filled(value("productPrice.value")),
-        "discount_percentage": _filled(value("discountPercentage")),
-        "row_net": _filled(value("rowValue.rowNet.value")),
-        "row_tax": _filled(value("rowValue.rowTax.value")),
-        "tax_rate": _filled(value("rowValue.taxRate")),
-        "tax_code": value("rowValue.taxCode"),
-        "nominal_code": value("nominalCode"),
-        "bundle_parent": value("composition.bundleParent"),
-        "bundle_child": value("composition.bundleChild"),
-        "parent_order_row_id": _nonzero(value("composition.parentOrderRowId")),
+        "row_sequence": _filled(m.text("orderRowSequence")),
+        "product_id": m.text("productId"),
+        "product_name": m.text("productName"),
+        "product_sku": m.text("productSku"),
+        "quantity": _filled(m.text("quantity.magnitude")),
+        "item_cost": _filled(m.text("itemCost.value")),
+        "product_price": _filled(m.text("productPrice.value")),
+        "discount_percentage": _filled(m.text("discountPercentage")),
+        "row_net": _filled(m.text("rowValue.rowNet.value")),
+        "row_tax": _filled(m.text("rowValue.rowTax.value")),
+        "tax_rate": _filled(m.text("rowValue.taxRate")),
+        "tax_code": m.text("rowValue.taxCode"),
+        "nominal_code": m.text("nominalCode"),
+        "bundle_parent": m.text("composition.bundleParent"),
+        "bundle_child": m.text("composition.bundleChild"),
+        "parent_order_row_id": _nonzero(m.text("composition.parentOrderRowId")),
         "product_options": P.present("productOptions", "line"),
         "order_updated_on": "updatedOn",
         "when_upserted": now,
-    }))
+    }
+    df = m.over(lines, LINE_OBJECTS).select(*_named(columns))
     return conform(df, ORDER_ROWS)
 
 
 def product_rows(raw: DataFrame, now: Column) -> DataFrame:
     objects = ("id", "identity.sku", "stock.stockTracked", "stock.weight.magnitude", "composition.bundle")
-    df = _records(raw, objects, ("salesChannels",)).select(*_named({
-        "product_id": P.text("id"),
-        "sku": P.text("identity.sku"),
-        "barcode": P.text("identity.barcode"),
-        "name": P.text("salesChannels[0].productName"),
-        "status": P.text("status"),
-        "brand_id": P.text("brandId"),
-        "product_type_id": P.text("productTypeId"),
-        "product_group_id": P.text("productGroupId"),
-        "stock_tracked": P.text("stock.stockTracked"),
-        "weight": _filled(P.text("stock.weight.magnitude")),
-        "is_bundle": P.text("composition.bundle"),
-        "nominal_code_sales": P.text("nominalCodeSales"),
-        "nominal_code_purchases": P.text("nominalCodePurchases"),
-        "nominal_code_stock": P.text("nominalCodeStock"),
-        "created_on": P.text("createdOn"),
-        "updated_on": P.text("updatedOn"),
+    m = P.Members()
+    columns = {
+        "product_id": m.text("id"),
+        "sku": m.text("identity.sku"),
+        "barcode": m.text("identity.barcode"),
+        "name": m.text("salesChannels[0].productName"),
+        "status": m.text("status"),
+        "brand_id": m.text("brandId"),
+        "product_type_id": m.text("productTypeId"),
+        "product_group_id": m.text("productGroupId"),
+        "stock_tracked": m.text("stock.stockTracked"),
+        "weight": _filled(m.text("stock.weight.magnitude")),
+        "is_bundle": m.text("composition.bundle"),
+        "nominal_code_sales": m.text("nominalCodeSales"),
+        "nominal_code_purchases": m.text("nominalCodePurchases"),
+        "nominal_code_stock": m.text("nominalCodeStock"),
+        "created_on": m.text("createdOn"),
+        "updated_on": m.text("updatedOn"),
         "is_deleted": F.lit(False),
         "raw_payload": _payload_text(raw),
         "when_upserted": now,
-    }))
+    }
+    df = m.over(_parsed(raw), objects, ("salesChannels",)).select(*_named(columns))
     return conform(df, PRODUCTS)
 
 
@@ -172,27 +171,29 @@ CONTACT_OBJECTS = (
 
 
 def contact_rows(raw: DataFrame, now: Column) -> DataFrame:
-    df = _records(raw, CONTACT_OBJECTS).select(*_named({
-        "contact_id": P.text("contactId"),
-        "first_name": P.text("firstName"),
-        "last_name": P.text("lastName"),
-        "email": P.text("communication.emails.PRI.email"),
-        "telephone": P.text("communication.telephones.PRI"),
-        "company_id": P.text("companyId"),
-        "organisation_name": P.text("organisation.name"),
-        "is_supplier": P.text("relationshipToAccount.isSupplier"),
-        "is_staff": P.text("relationshipToAccount.isStaff"),
-        "price_list_id": P.text("financialDetails.priceListId"),
-        "credit_term_days": P.text("financialDetails.creditTermDays"),
-        "currency_id": P.text("financialDetails.currencyId"),
-        "contact_tags": P.text("contactTags"),
-        "created_on": P.text("createdOn"),
-        "updated_on": P.text("updatedOn"),
-        "last_contacted_on": P.text("lastContactedOn"),
+    m = P.Members()
+    columns = {
+        "contact_id": m.text("contactId"),
+        "first_name": m.text("firstName"),
+        "last_name": m.text("lastName"),
+        "email": m.text("communication.emails.PRI.email"),
+        "telephone": m.text("communication.telephones.PRI"),
+        "company_id": m.text("companyId"),
+        "organisation_name": m.text("organisation.name"),
+        "is_supplier": m.text("relationshipToAccount.isSupplier"),
+        "is_staff": m.text("relationshipToAccount.isStaff"),
+        "price_list_id": m.text("financialDetails.priceListId"),
+        "credit_term_days": m.text("financialDetails.creditTermDays"),
+        "currency_id": m.text("financialDetails.currencyId"),
+        "contact_tags": m.text("contactTags"),
+        "created_on": m.text("createdOn"),
+        "updated_on": m.text("updatedOn"),
+        "last_contacted_on": m.text("lastContactedOn"),
         "is_deleted": F.lit(False),
         "raw_payload": _payload_text(raw),
         "when_upserted": now,
-    }))
+    }
+    df = m.over(_parsed(raw), CONTACT_OBJECTS).select(*_named(columns))
     return conform(df, CONTACTS)
 
 

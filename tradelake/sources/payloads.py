@@ -107,9 +107,69 @@ def shaped(df: DataFrame, objects: tuple[str, ...] = (), lists: tuple[str, ...]
         parent, _, member = path.rpartition(".")
         found.append(problem(parent, at(path) if member else None, members(parent, of), "object"))
     found += [problem(path, at(f"{path}[0]"), items(path, of), "list") for path in lists]
-    first = F.coalesce(*found)
+    return _refused(df, found)
+
+
+def _refused(df: DataFrame, problems: list[Column]) -> DataFrame:
+    """df; a record with a problem is an error."""
+    first = F.coalesce(*problems)
     return df.filter(F.when(first.isNotNull(), F.raise_error(first).cast("boolean")).otherwise(F.lit(True)))
 
 
+class Members:
+    """Texts of a record by path, all read in one pass over it.
+
+    Columns are made by `text`; `over` then adds what they are made of to the
+    record's frame. Looking up one path after another would compare the names
+    of a record's members anew for each.
+    """
+
+    def __init__(self, of: str = "p"):
+        self.of, self.column, self._kinds = of, f"{of}_members", {}
+
+    def _at(self, path: str) -> Column:
+        found = F.col(self.column)
+        for name in filter(None, path.split(".")):
+            found = found.getField(name.removesuffix("[0]"))
+            found = F.get(found, F.lit(0)) if name.endswith("[0]") else found
+        return found
+
+    def text(self, path: str) -> Column:
+        """The value at a path as text; steps are names, or names and [0]."""
+        self._kinds[path] = "string"
+        return self._at(path)
+
+    def members(self, path: str) -> Column:
+        """The object at a path as a map of VARIANTs."""
+        self._kinds[path] = MEMBERS
+        return self._at(path)
+
+    def over(self, df: DataFrame, objects: tuple[str, ...] = (), lists: tuple[str, ...] = ()) -> DataFrame:
+        """df with the members, checked like `shaped`: an object is named by the path of a member that is read."""
+        read = F.try_variant_get(self.of, "$", _members_type(dict.fromkeys(objects, "string") | self._kinds))
+        df = df.select("*", F.explode(F.array(read)).alias(self.column))
+
+        def problem(path: str, kind: str) -> Column:
+            odd = self._at(path).isNull() & present(path, self.of).isNotNull()
+            return F.when(odd, F.lit(f"{path or 'record'}: no {kind}"))
+
+        parents = dict.fromkeys([*(o.rpartition(".")[0] for o in objects), *(p for p, k in self._kinds.items() if k == MEMBERS)])
+        return _refused(df, [*(problem(p, "object") for p in parents), *(problem(p, "list") for p in lists)])
+
+
+def _members_type(kinds: dict[str, str]) -> str:
+    """The type that reads some paths of a record, each as its kind."""
+    below: dict[str, dict[str, str]] = {}
+    for path, kind in kinds.items():
+        name, _, rest = path.partition(".")
+        below.setdefault(name, {})[rest] = kind
+    fields = []
+    for name, rests in below.items():
+        inner = {rest: kind for rest, kind in rests.items() if rest}
+        kind = _members_type(inner) if inner else rests[""]
+        fields.append(f"`{name.removesuffix('[0]')}`: " + (f"array<{kind}>" if name.endswith("[0]") else kind))
+    return f"struct<{', '.join(fields)}>"
+
+
 def _path(path: str) -> str:
     return f"$.{path}" if path and path[0] != "[" else f"${path}"
