@@ -41,13 +41,13 @@ def snake_case(name: str) -> str:
     return "".join(out)
 
 
-#: White space as a pattern for both ends of a text; \\s with all of Unicode.
-_ENDS = r"(?U)^\s+|\s+$"
+#: White space of all of Unicode: what \\s means with it.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def trimmed(text: Column) -> Column:
     """Text without white space of any kind at its ends."""
-    return F.regexp_replace(text, _ENDS, "")
+    return F.btrim(text, F.lit(_WHITE))
 
 
 def _filled(value: Column) -> Column:
