@@ -204,3 +204,11 @@ def test_members_are_read_in_one_pass_like_their_paths(spark):
     for bad in ('{"a":5}', '{"a":{"c":[1]}}', '{"l":{"0":1}}', '{"r":[1]}'):
         with pytest.raises(Exception, match="no (object|list)"):
             m.over(P.parse(spark.createDataFrame([(bad,)], "raw_payload STRING")), ("a.b", "a.c.d"), ("l",)).select(*columns).collect()
+
+
+def test_order_payloads_are_not_spread_over_a_fixed_number_of_tasks(spark):
+    from tradelake.suite.payload_queries import order_payloads
+
+    made = order_payloads({"orders": spark.createDataFrame([], schemas.ORDERS)})
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert "RepartitionByExpression" in plan and "Repartition 16" not in plan
