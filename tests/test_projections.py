@@ -211,4 +211,4 @@ def test_order_payloads_are_not_spread_over_a_fixed_number_of_tasks(spark):
 
     made = order_payloads({"orders": spark.createDataFrame([], schemas.ORDERS)})
     plan = made._jdf.queryExecution().analyzed().toString()
-    assert "RepartitionByExpression" in plan and "Repartition 16" not in plan
+    assert f"Repartition {spark.conf.get('spark.sql.shuffle.partitions')}, true" in plan
