@@ -173,6 +173,46 @@ def test_replace_children(spark, store):
     assert rows_of(store) == [(10, 5)]
 
 
+def shuffled(frame):
+    """Nodes of a frame's plan that move rows between tasks."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") + plan.count("rebalance")
+
+
+def test_kept_rows_are_not_shuffled(spark, store, monkeypatch):
+    """Also beyond the size up to which the planner broadcasts by itself."""
+    written, write = [], store._write
+    monkeypatch.setattr(store, "_write", lambda spec, folder, rows: written.append(rows) or write(spec, folder, rows))
+    store.truncate_load("order_rows", lines(spark, *[(i, i // 3) for i in range(90)]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store.replace_children("order_rows", parents(spark, *range(10)), lines(spark, (90, 3)))
+        assert shuffled(written[-1]) == 1  # the new rows, by bucket
+        assert "BroadcastHashJoin" in written[-1]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows_of(store) == [(3, 90), *[(i // 3, i) for i in range(30, 90)]]
+
+
+def test_many_keys_go_part_by_part(spark, store, monkeypatch):
+    monkeypatch.setattr("tradelake.operators.store.KEYS", 4)
+    store.truncate_load("order_rows", lines(spark, *[(i, i // 3) for i in range(90)]))
+    store.replace_children("order_rows", parents(spark, *range(20), None), lines(spark, (90, 3), (91, 40)))
+    kept = [(i // 3, i) for i in range(60, 90)]
+    assert rows_of(store) == [(3, 90), *kept, (40, 91)]
+    store.upsert("order_rows", lines(spark, *[(i, 50) for i in range(60, 90)]))
+    assert rows_of(store) == [(3, 90), (40, 91), *[(50, i) for i in range(60, 90)]]
+
+
+def test_files_of_many_changes_are_gathered_again(spark, store):
+    store.truncate_load("order_rows", lines(spark, (0, 7)))
+    for i in range(1, 20):
+        store.replace_children("order_rows", parents(spark), lines(spark, (i, 7)))
+    assert rows_of(store) == [(7, i) for i in range(20)]
+    assert len(store.read("order_rows").inputFiles()) <= 6
+
+
 def test_replaced_children_are_not_deduplicated(spark, store):
     store.replace_children("order_rows", parents(spark, 1), lines(spark, (5, 1), (5, 1)))
     assert rows_of(store) == [(1, 5), (1, 5)]

@@ -18,21 +18,18 @@ def latest_per_key(
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
+def without(target: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not among `keys`, which may hold one more than once; a NULL key equals nothing."""
+    return target.join(keys.select(key), key, "left_anti").select(*target.columns)
+
+
 def upserted(target: DataFrame, batch: DataFrame, newest: DataFrame, key: str) -> DataFrame:
     """Target with `newest`, the batch's latest row per key, in place of equal keys.
 
     The batch itself names the keys to drop, so ranking it runs once. A NULL
     key equals nothing: its row is added.
     """
-    return target.join(batch.select(key), key, "left_anti").unionByName(newest)
-
-
-def children_replaced(
-    target: DataFrame, parents: DataFrame, rows: DataFrame, parent_field: str
-) -> DataFrame:
-    """All rows of the given parents replaced by `rows`, which may be none."""
-    kept = target.join(parents.select(parent_field), parent_field, "left_anti")
-    return kept.unionByName(rows)
+    return without(target, batch, key).unionByName(newest)
 
 
 def marked_deleted(target: DataFrame, ids: DataFrame, key: str, now: Column) -> DataFrame:

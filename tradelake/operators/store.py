@@ -3,7 +3,9 @@
 A table is a folder partitioned by a hash bucket of its clustering column. A
 change reads the buckets it touches and writes them again with Spark's
 `partitionOverwriteMode=dynamic`, which replaces exactly the partitions that the
-new rows lie in; a touched bucket that ends up empty is removed after that.
+new rows lie in; a touched bucket that ends up empty is removed after that. Old
+rows meet the changed keys of their buckets where they are read and stay in their
+buckets, so only new rows are shuffled; keys beyond `KEYS` go bucket by bucket.
 Whole loads go to a new folder. One small file per table names its folder, its
 bucket count and its columns, which a later declaration can add to but not take
 from.
@@ -24,19 +26,26 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
-from tradelake.operators.keyed import (
-    children_replaced, latest_per_key, marked_deleted, upserted,
-)
-from tradelake.schemas import TABLES, TableSpec, conform
+from tradelake.operators.keyed import latest_per_key, marked_deleted, without
+from tradelake.schemas import TABLES, TableSpec, conform, typed
 
 BUCKET = "kb"
+#: Keys that are broadcast at a time to the buckets they change, at most; a
+#: bucket with more is joined as the planner likes.
+KEYS = 4_000_000
+#: A change leaves kept rows in files of their own while the buckets it touches
+#: have at most this many files each, and one more per so many bytes.
+FILES, FILE_BYTES = 4, 16 << 20
+#: Tables are written several times before they are read: smaller files are worth their time.
+CODEC = "zstd"
 
 
 class Batch(NamedTuple):
-    """Written rows, and what was measured while they were written."""
+    """Written rows, what was measured while they were written, and the columns that were given."""
 
     rows: DataFrame
     measures: dict
+    given: list[str]
 
 
 class TableStore:
@@ -122,9 +131,9 @@ class TableStore:
         path = f"{self.root}/_staging/{uuid.uuid4().hex}"
         seen = Observation()
         aggregates = {"rows": F.count(F.lit(1)), **measures}
-        rows.observe(seen, *[c.alias(name) for name, c in aggregates.items()]).write.parquet(path)
+        rows.observe(seen, *[c.alias(name) for name, c in aggregates.items()]).write.option("compression", CODEC).parquet(path)
         try:
-            yield Batch(self.spark.read.schema(rows.schema).parquet(path), seen.get)
+            yield Batch(self.spark.read.schema(rows.schema).parquet(path), seen.get, rows.columns)
         finally:
             self._fs.delete(self.path(path), True)
 
@@ -138,61 +147,104 @@ class TableStore:
             problem = F.raise_error(f"{spec.name}.{column} must not be NULL").cast(data_type)
             return F.when(F.col(column).isNull(), problem).otherwise(F.col(column)).alias(column)
 
-        typed = conform(rows, spec.schema)
-        return typed.select(*[checked(f.name, f.dataType) for f in spec.schema.fields])
+        further = [c for c in (BUCKET,) if c in rows.columns]
+        conformed = rows.select(*[typed(rows, f) for f in spec.schema.fields], *further)
+        return conformed.select(*[checked(f.name, f.dataType) for f in spec.schema.fields], *further)
 
     @contextmanager
     def staged(self, name: str, rows: DataFrame, **measures: Column) -> Iterator[Batch]:
         """A batch for a table as scratch, typed and checked."""
-        with self.scratch(self._typed(self.spec(name), rows), **measures) as batch:
-            yield batch
+        spec = self.spec(name)
+        with self.scratch(self._typed(spec, rows), **measures) as batch:
+            yield batch._replace(given=[c for c in spec.schema.fieldNames() if c in rows.columns])
 
     # -- buckets
 
-    def _bucket(self, spec: TableSpec) -> Column:
-        return F.pmod(F.xxhash64(spec.cluster_column), F.lit(spec.buckets)).cast("int")
+    def _bucket(self, spec: TableSpec, rows: DataFrame) -> Column:
+        field = spec.schema[spec.cluster_column]
+        return F.pmod(F.xxhash64(typed(rows, field)), F.lit(spec.buckets)).cast("int")
+
+    def _gathered(self, spec: TableSpec, rows: DataFrame) -> DataFrame:
+        """Rows of the table's schema and their bucket, gathered by bucket.
+
+        The rebalance hint gathers each bucket in as few tasks as its size asks
+        for and splits large ones. Only given columns are shuffled, as they are:
+        others join them behind the shuffle, where all get their types.
+        """
+        given = [c for c in spec.schema.fieldNames() if c in rows.columns]
+        moved = rows.select(*given, self._bucket(spec, rows).alias(BUCKET)).hint("rebalance", BUCKET)
+        return self._typed(spec, moved)
 
     def _write(self, spec: TableSpec, folder: str, rows: DataFrame) -> int:
         """Write rows into their buckets, in place of what these held, and count them.
 
-        The rebalance hint gathers each bucket in as few tasks as its size asks
-        for and splits large ones; sorting inside files makes row groups
-        skippable by the clustering column.
+        Sorting inside files makes row groups skippable by the clustering column.
         """
         seen = Observation()
         (
-            rows.withColumn(BUCKET, self._bucket(spec))
-            .hint("rebalance", BUCKET)
-            .sortWithinPartitions(BUCKET, spec.cluster_column)
+            rows.sortWithinPartitions(BUCKET, spec.cluster_column)
             .observe(seen, F.count(F.lit(1)).alias("rows"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", CODEC)
             .partitionBy(BUCKET).parquet(f"{self.root}/{spec.name}/{folder}")
         )
         return seen.get["rows"]
 
-    def _files(self, spec: TableSpec, folder: str, buckets: list[int]) -> dict[str, set[str]]:
-        """Names of the files of some buckets, by bucket folder."""
+    def _files(self, spec: TableSpec, folder: str, buckets: list[int]) -> dict[str, dict[str, int]]:
+        """Names and sizes of the files of some buckets, by bucket folder."""
         out = {}
         for path in (f"{self.root}/{spec.name}/{folder}/{BUCKET}={b}" for b in buckets):
             if self._fs.exists(self.path(path)):
-                out[path] = {s.getPath().getName() for s in self._fs.listStatus(self.path(path))}
+                out[path] = {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self.path(path))}
         return out
 
-    def _change(self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
-        """Apply a change to the buckets that hold `keys`, and to no others."""
-        spec, stored = self.spec(name), self._stored(name)
+    def _parts(self, spec: TableSpec, touching: DataFrame, keys: DataFrame) -> Iterator[tuple[list[int], DataFrame]]:
+        """The buckets that hold `touching` and `keys`, in parts of at most KEYS keys, and the keys of each part.
+
+        Keys that do not tell their bucket stay together.
+        """
+        touching, apart = touching.select(spec.cluster_column), spec.cluster_column in keys.columns
+        counted = touching.select(self._bucket(spec, touching).alias(BUCKET), F.lit(0).alias("n"))
+        if apart:
+            counted = counted.unionAll(keys.select(self._bucket(spec, keys), F.lit(1)))
         # At most spec.buckets numbers reach the driver.
-        touched = [r[0] for r in keys.select(self._bucket(spec)).distinct().collect()]
-        if not touched:
-            return
+        sizes = {r[0]: r[1] for r in counted.groupBy(BUCKET).agg(F.sum("n")).collect()}
+        parts: list[list[int]] = []
+        for bucket in sorted(sizes):
+            if parts and (not apart or sum(sizes[b] for b in [*parts[-1], bucket]) <= KEYS):
+                parts[-1].append(bucket)
+            else:
+                parts.append([bucket])
+        for part in parts:
+            own = keys.filter(self._bucket(spec, keys).isin(part)) if len(parts) > 1 else keys
+            yield part, F.broadcast(own) if apart and sum(sizes[b] for b in part) <= KEYS else own
+
+    def _change(
+        self, name: str, touching: DataFrame, keys: DataFrame,
+        change: Callable[[DataFrame, DataFrame], DataFrame], rows: DataFrame | None = None,
+    ) -> None:
+        """Apply change(old rows, keys) to the buckets that hold `touching` and `keys`; `rows` join them there.
+
+        What is kept stays in its bucket without a shuffle, in files of its own,
+        until these are many: then they are gathered again.
+        """
+        spec, stored = self.spec(name), self._stored(name)
         folder = stored.get("folder") or f"d-{uuid.uuid4().hex[:8]}"
-        before = self._files(spec, folder, touched)
-        old = self._scan(spec).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
-        self._write(spec, folder, change(old))
-        for path, files in self._files(spec, folder, touched).items():
-            if files & before.get(path, set()):  # not written again: its rows are gone
-                self._fs.delete(self.path(path), True)
-        if stored.get("schema") != spec.schema.jsonValue():
+        changed = False
+        for part, own in self._parts(spec, touching, keys):
+            before = self._files(spec, folder, part)
+            sizes = [size for files in before.values() for size in files.values()]
+            new = change(self._scan(spec).filter(F.col(BUCKET).isin(part)), own)
+            many = len(sizes) > FILES * len(part) + sum(sizes) // FILE_BYTES
+            if many:
+                new = new.hint("rebalance", BUCKET)
+            if rows is not None:
+                new = new.unionByName(self._gathered(spec, rows.filter(self._bucket(spec, rows).isin(part))))
+            self._write(spec, folder, new)
+            for path, files in self._files(spec, folder, part).items():
+                if files.keys() & before.get(path, {}).keys():  # not written again: its rows are gone
+                    self._fs.delete(self.path(path), True)
+            changed = True
+        if changed and stored.get("schema") != spec.schema.jsonValue():
             self._point(name, folder, spec)
 
     # -- writes
@@ -201,7 +253,7 @@ class TableStore:
         """Replace the whole table, in as many buckets as declared; an empty frame empties it."""
         spec = replace(self.spec(name), buckets=self.specs[name].buckets)
         folder = f"d-{uuid.uuid4().hex[:8]}"
-        count = self._write(spec, folder, self._typed(spec, rows))
+        count = self._write(spec, folder, self._gathered(spec, rows))
         self._point(name, folder, spec)
         return count
 
@@ -215,14 +267,19 @@ class TableStore:
         if not spec.unique:
             raise ValueError(f"{name}.{spec.key} does not tell rows apart: replace the rows of a parent instead")
         if count:
-            newest = latest_per_key(batch.rows, spec.key, spec.order_col, tie_break)
+            needed = {*batch.given, spec.key, spec.cluster_column, spec.order_col, *tie_break}
+            own = batch.rows.select(*[c for c in batch.rows.columns if c in needed])
+            newest = latest_per_key(own, spec.key, spec.order_col, tie_break)
             # A child table is clustered by its parent, so the old row of a key
             # may lie in a bucket the new one does not: those buckets change too.
-            keys = batch.rows.select(spec.cluster_column)
+            touching = batch.rows.select(spec.cluster_column)
             if spec.cluster_column != spec.key:
                 old = self.read(name).join(batch.rows.select(spec.key), spec.key, "left_semi")
-                keys = keys.unionAll(old.select(spec.cluster_column))
-            self._change(name, keys, lambda old: upserted(old, batch.rows, newest, spec.key))
+                touching = touching.unionAll(old.select(spec.cluster_column))
+            self._change(
+                name, touching, batch.rows.select(spec.key),
+                lambda old, keys: without(old, keys, spec.key), newest,
+            )
         return count
 
     def replace_children(self, name: str, parents: DataFrame, rows: DataFrame) -> int:
@@ -233,9 +290,8 @@ class TableStore:
             self.scratch(parents.select(parent_field).distinct()) as replaced,
         ):
             self._change(
-                name,
-                replaced.rows.unionByName(batch.rows.select(parent_field)),
-                lambda old: children_replaced(old, replaced.rows, batch.rows, parent_field),
+                name, batch.rows.select(parent_field), replaced.rows,
+                lambda old, gone: without(old, gone, parent_field), batch.rows.select(*batch.given),
             )
         return batch.measures["rows"]
 
@@ -244,7 +300,7 @@ class TableStore:
         key = self.specs[name].key
         with self.scratch(ids.select(key)) as given:
             if given.measures["rows"]:
-                self._change(name, given.rows, lambda old: marked_deleted(old, given.rows, key, now))
+                self._change(name, given.rows, given.rows, lambda old, ids: marked_deleted(old, ids, key, now))
         return given.measures["rows"]
 
     # -- tables in folders of another make

@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tradelake.functions.times import instant
 
@@ -314,22 +314,24 @@ def resource_frame(spark: SparkSession) -> DataFrame:
     )
 
 
+def typed(df: DataFrame, field: T.StructField) -> Column:
+    """A column of `df` with the type of `field`; NULL if it is absent."""
+    have = {f.name: f.dataType for f in df.schema.fields}
+    if field.name not in have:
+        value = F.lit(None).cast(field.dataType)
+    elif field.dataType == T.TimestampType() and have[field.name] == T.StringType():
+        value = instant(F.col(field.name))
+    else:
+        value = F.col(field.name).cast(field.dataType)
+    return value.alias(field.name)
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Order and type columns as `schema` says; absent ones become NULL.
 
     New columns are only ever added, so a frame made for an older schema still
     fits. Values cast strictly: text that is not of the type raises.
     """
-    have = {f.name: f.dataType for f in df.schema.fields}
-    columns = []
-    for field in schema.fields:
-        if field.name not in have:
-            value = F.lit(None).cast(field.dataType)
-        elif field.dataType == T.TimestampType() and have[field.name] == T.StringType():
-            value = instant(F.col(field.name))
-        else:
-            value = F.col(field.name).cast(field.dataType)
-        columns.append(value.alias(field.name))
-    return df.select(*columns)
+    return df.select(*[typed(df, field) for field in schema.fields])
 
 TABLES.update({r.name: TableSpec(r.name, REFERENCE_ITEMS, "id") for r in RESOURCES if r.kind == "reference"})
