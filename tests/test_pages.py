@@ -102,3 +102,11 @@ def test_shapes(spark, now):
     assert items(spark, now, {"1": {"id": 1}, "2": "text", "id": 7}) == [("7", None)]
     assert items(spark, now, None) == [] and items(spark, now, []) == [] and items(spark, now, 5) == []
     assert items(spark, now, {}) == [(None, None)]
+
+
+def test_columns_are_made_in_steps(spark, now):
+    """One projection of many typed cells is too long a method for the JVM to compile."""
+    rows = page_rows(frame(spark, page([1])), COLUMNS, now)
+    steps = str(rows._jdf.queryExecution().optimizedPlan()).count("Generate explode(")
+    assert steps >= 3  # rows, cells, texts
+    assert rows.first()["row_id"] == 1

@@ -50,37 +50,37 @@ def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(_WHITE))
 
 
-def _filled(value: Column) -> Column:
+def filled(value: Column) -> Column:
     """A cell as text: text as it is, anything else as JSON text, empty as NULL."""
     return F.nullif(value.cast("string"), F.lit(""))
 
 
-def _to_id(value: Column) -> Column:
-    text = _filled(value)
+def _to_id(value: Column, text: Column) -> Column:
     items = value.try_cast("array<string>")
     single = F.when(F.size(items) == 1, F.get(items, F.lit(0)))
     return F.when(F.startswith(text, F.lit("[")), single).otherwise(text).cast("bigint")
 
 
-def _to_flag(value: Column) -> Column:
-    text = trimmed(F.lower(_filled(value)))
+def _to_flag(value: Column, text: Column) -> Column:
+    text = trimmed(F.lower(text))
     # Not text: true unless zero, false or an empty array or object.
     truthy = ~text.isin("false", "0", "[]", "{}")
     return F.when(is_text(value), text.isin(*TRUE_TEXTS)).otherwise(truthy)
 
 
-def coerce(value: Column, metadata_type: str) -> Column:
-    """A VARIANT cell as a column of its metadata type.
+def coerce(value: Column, metadata_type: str, text: Column | None = None) -> Column:
+    """A VARIANT cell as a column of its metadata type; `text` is `filled(value)`, if that is at hand.
 
     Empty values are NULL. An id list of one element is that element, a longer
     one NULL. Money goes from text to decimal directly. Anything that does not
     fit its type is an error.
     """
     target = column_type(metadata_type)
+    text = filled(value) if text is None else text
     if target == "bigint":
-        return _to_id(value)
+        return _to_id(value, text)
     if target == "boolean":
-        return _to_flag(value)
+        return _to_flag(value, text)
     if target == "timestamp":
-        return instant(_filled(value))
-    return _filled(value).cast(target)
+        return instant(text)
+    return text.cast(target)

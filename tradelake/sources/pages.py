@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tradelake.functions.coerce import coerce, column_type, snake_case
+from tradelake.functions.coerce import coerce, column_type, filled, snake_case
 
 COLUMNS = "ARRAY<STRUCT<name: STRING, reportDataType: STRING>>"
 PAGE = f"metaData STRUCT<columns: {COLUMNS}>, results ARRAY<ARRAY<VARIANT>>"
@@ -56,9 +56,17 @@ def page_rows(
 
     def cell(k: int) -> Column:
         at = F.col(f"at._{k}")
-        return F.when(at > 0, F.get("r", at - 1))
+        return F.when(at > 0, F.get("r", at - 1)).alias(f"_{k}")
 
-    named = {snake_case(name): coerce(cell(k), kind) for k, (name, kind) in enumerate(columns)}
-    return cells.select(
+    # Cells, their texts and their typed values are made one after the other: generators
+    # keep Spark from making them in one method, too long for the JVM to compile.
+    numbers = range(len(columns))
+    found = cells.select(F.explode(F.array(F.struct(*[cell(k) for k in numbers]))).alias("c"))
+    texts = F.struct(*[filled(F.col(f"c._{k}")).alias(f"_{k}") for k in numbers])
+    read_out = found.select("c", F.explode(F.array(texts)).alias("t"))
+    named = {
+        snake_case(name): coerce(F.col(f"c._{k}"), kind, F.col(f"t._{k}")) for k, (name, kind) in enumerate(columns)
+    }
+    return read_out.select(
         *[c.alias(name) for name, c in named.items()], now.alias("when_upserted")
     )

@@ -252,7 +252,10 @@ def journal_pages(t: ErpTables) -> DataFrame:
 
 
 def _search_page_typed(spark: SparkSession, d: str) -> DataFrame:
-    pages = journal_pages(ErpTables(spark, d))
+    # Written once: names and types of columns are read before the rows are.
+    folder = work_folder(spark, "journal-pages")
+    journal_pages(ErpTables(spark, d)).write.parquet(folder)
+    pages = spark.read.parquet(folder)
     return plain(page_rows(pages, page_columns(pages), now()).drop("when_upserted"))
 
 
