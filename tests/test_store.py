@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tradelake.operators import keyed
-from tradelake.operators import projections
+from tradelake.operators import projections, store as store_module
 from tradelake.operators.question_log import append_log, read_log, short_log
 from tradelake.operators.snapshots import MalformedPayload, replace_snapshot, usable_payloads
 from tradelake.schemas import TableSpec, table_schema
@@ -125,6 +125,32 @@ def test_a_batch_is_measured_while_it_is_written(spark, things):
         assert batch.measures == {"rows": 0, "high": None}
 
 
+def test_rows_are_ranked_only_where_keys_repeat(spark, things, monkeypatch):
+    ranked = []
+    monkeypatch.setattr(store_module, "latest_per_key", lambda *args: ranked.append(1) or keyed.latest_per_key(*args))
+    things.upsert("things", frame(spark, (1, "a", 1), (2, "b", 1), (None, "n", 1)))
+    assert not ranked and content(things) == [(1, "a"), (2, "b"), (None, "n")]
+    things.upsert("things", frame(spark, (1, "c", 2), (1, "d", 3), (3, "e", 1)))
+    assert len(ranked) == 1
+    things.upsert("things", frame(spark, (None, "o", 2), (None, "p", 3)))
+    assert len(ranked) == 2
+    assert content(things) == [(1, "d"), (2, "b"), (3, "e"), (None, "n"), (None, "p")]
+
+
+def test_narrow_decimals_stay_narrow_until_they_are_written(spark, store):
+    schema = table_schema("id BIGINT NOT NULL, net DECIMAL(38,9), tax DECIMAL(38,9), when_upserted TIMESTAMP NOT NULL")
+    store.register(TableSpec("amounts", schema, "id"))
+    rows = spark.sql("SELECT 1L id, CAST(1.25 AS DECIMAL(18,2)) net, CAST(0.5 AS DECIMAL(38,4)) tax, TIMESTAMP '2024-01-01' when_upserted")
+    with store.staged("amounts", rows) as batch:
+        kinds = {f.name: f.dataType.simpleString() for f in batch.rows.schema}
+        assert (kinds["net"], kinds["tax"]) == ("decimal(18,2)", "decimal(38,9)")
+        store.upsert_staged("amounts", batch)
+    store.upsert("amounts", rows.withColumn("id", F.lit(2).cast("bigint")))
+    assert {f.dataType.simpleString() for f in store.read("amounts").select("net", "tax").schema} == {"decimal(38,9)"}
+    assert [(r["id"], str(r["net"]), str(r["tax"])) for r in store.read("amounts").orderBy("id").collect()] == [
+        (1, "1.250000000", "0.500000000"), (2, "1.250000000", "0.500000000")]
+
+
 def test_new_column_reads_null_in_old_rows(spark, things):
     things.upsert("things", frame(spark, (1, "a", 1)))
     wide = table_schema("thing_id BIGINT, name STRING, when_upserted TIMESTAMP NOT NULL, extra BOOLEAN")

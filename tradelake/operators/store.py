@@ -48,6 +48,15 @@ class Batch(NamedTuple):
     given: list[str]
 
 
+def _fits(rows: DataFrame, field: T.StructField) -> bool:
+    """Whether a column of `rows` is a decimal, of which the type of `field` holds every value."""
+    if field.name not in rows.columns:
+        return False
+    have, want = rows.schema[field.name].dataType, field.dataType
+    return (isinstance(have, T.DecimalType) and isinstance(want, T.DecimalType)
+            and have.scale <= want.scale and have.precision - have.scale <= want.precision - want.scale)
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str, specs: dict[str, TableSpec] | None = None):
         self.spark, self.root = spark, root.rstrip("/")
@@ -137,8 +146,11 @@ class TableStore:
         finally:
             self._fs.delete(self.path(path), True)
 
-    def _typed(self, spec: TableSpec, rows: DataFrame) -> DataFrame:
-        """Rows of the table's schema; a NULL in a required column is an error."""
+    def _typed(self, spec: TableSpec, rows: DataFrame, *, widen: bool = True) -> DataFrame:
+        """Rows of the table's schema; a NULL in a required column is an error.
+
+        Without `widen`, decimals that fit theirs whatever they hold stay as narrow as they are.
+        """
         required = {f.name for f in spec.schema.fields if not f.nullable}
 
         def checked(column: str, data_type: T.DataType) -> Column:
@@ -148,14 +160,15 @@ class TableStore:
             return F.when(F.col(column).isNull(), problem).otherwise(F.col(column)).alias(column)
 
         further = [c for c in (BUCKET,) if c in rows.columns]
-        conformed = rows.select(*[typed(rows, f) for f in spec.schema.fields], *further)
+        kept = set() if widen else {f.name for f in spec.schema.fields if _fits(rows, f)}
+        conformed = rows.select(*[F.col(f.name) if f.name in kept else typed(rows, f) for f in spec.schema.fields], *further)
         return conformed.select(*[checked(f.name, f.dataType) for f in spec.schema.fields], *further)
 
     @contextmanager
     def staged(self, name: str, rows: DataFrame, **measures: Column) -> Iterator[Batch]:
-        """A batch for a table as scratch, typed and checked."""
+        """A batch for a table as scratch, typed and checked; narrow decimals get their width when they are written."""
         spec = self.spec(name)
-        with self.scratch(self._typed(spec, rows), **measures) as batch:
+        with self.scratch(self._typed(spec, rows, widen=False), **measures) as batch:
             yield batch._replace(given=[c for c in spec.schema.fieldNames() if c in rows.columns])
 
     # -- buckets
@@ -269,7 +282,9 @@ class TableStore:
         if count:
             needed = {*batch.given, spec.key, spec.cluster_column, spec.order_col, *tie_break}
             own = batch.rows.select(*[c for c in batch.rows.columns if c in needed])
-            newest = latest_per_key(own, spec.key, spec.order_col, tie_break)
+            # Ranking would shuffle whole rows once more: it is left out where no key repeats.
+            unique = own.groupBy(spec.key).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").isEmpty()
+            newest = own if unique else latest_per_key(own, spec.key, spec.order_col, tie_break)
             # A child table is clustered by its parent, so the old row of a key
             # may lie in a bucket the new one does not: those buckets change too.
             touching = batch.rows.select(spec.cluster_column)
