@@ -178,6 +178,17 @@ def test_only_buckets_of_the_batch_are_read(spark, store, tmp_path):
     assert store.read("order_rows").count() == 2
 
 
+def test_an_archive_shuffles_texts_only(spark, tmp_path, monkeypatch):
+    kind, moved = type(spark.range(1)), []
+    hint = kind.hint
+    monkeypatch.setattr(kind, "hint", lambda self, *args: moved.append(self.columns) or hint(self, *args))
+    archive = PayloadArchive(spark, str(tmp_path / "orders"), buckets=2)
+    archive.add(payload_frame(spark, order(7, "r7", 1)))
+    assert moved == [["id", "raw_payload", "bucket"]]
+    found = archive.of(spark.createDataFrame([(7,)], "id BIGINT")).selectExpr("to_json(payload) AS p")
+    assert [json.loads(r["p"])["reference"] for r in found.collect()] == ["r7"]
+
+
 def test_a_repeated_notice_of_a_later_batch_is_dropped(spark, tmp_path):
     inbox, taken = tmp_path / "inbox", []
     inbox.mkdir()

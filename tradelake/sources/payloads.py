@@ -40,9 +40,12 @@ class PayloadArchive:
         return F.pmod(F.xxhash64(F.col("id").cast("bigint")), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def add(self, payloads: DataFrame) -> None:
-        """Append (id, raw_payload) texts; ids must not repeat."""
-        parsed = payloads.select("id", "raw_payload", F.parse_json("raw_payload").alias("payload"), self._bucket())
-        parsed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "id").write.mode("append").partitionBy(
+        """Append (id, raw_payload) texts; ids must not repeat.
+
+        Only the texts are shuffled and sorted: they are parsed where they are written.
+        """
+        moved = payloads.select("id", "raw_payload", self._bucket()).hint("rebalance", "bucket").sortWithinPartitions("bucket", "id")
+        moved.select("id", "raw_payload", F.parse_json("raw_payload").alias("payload"), "bucket").write.mode("append").partitionBy(
             "bucket").parquet(self.path)
 
     def of(self, ids: DataFrame) -> DataFrame:
