@@ -2,9 +2,10 @@ import hashlib
 import random
 
 import brute
+import numpy as np
 import pytest
 
-from tradelake.llm import decontamination
+from tradelake.llm import decontamination, suffix_array
 
 COLUMNS = "doc_id long, text string, n_words string"  # n_words: a clashing name
 
@@ -60,3 +61,13 @@ def test_empty_tables(spark, case):
     docs, tests, *_ = case
     assert decontamination.decontaminate(docs.limit(0), tests).count() == 0
     assert decontamination.decontaminate(docs, tests.limit(0)).count() == docs.count()
+
+
+def test_suffixes_that_end_sort_first():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        texts = [rng.integers(0, 3, rng.integers(0, 30)).astype(np.uint64) for _ in range(12)]
+        words, left = np.concatenate(texts), np.concatenate([np.arange(len(t), 0, -1) for t in texts])
+        order = suffix_array.build(words, left).order
+        suffixes = [words[p : p + left[p]].tolist() for p in order]
+        assert suffixes == sorted(suffixes)

@@ -54,8 +54,8 @@ def build(hashes: np.ndarray, left: np.ndarray) -> SuffixArray:
         runs = np.flatnonzero(new)
         sizes = np.diff(np.append(runs, len(slots)))
         rank[order[slots]] = np.repeat(slots[runs], sizes) + 1
-        # rows of one run that also end together are equal and need no order
-        again = np.repeat(sizes > 1, sizes) & (left[order[slots]] > steps)
+        # rows of one run that all end here are equal and need no order; one that ends sorts before those that go on
+        again = np.repeat((sizes > 1) & (np.maximum.reduceat(left[order[slots]], runs) > steps), sizes)
         slots = slots[again]
         at = order[slots]
         keys = rank[at] << 32 | ahead(rank, at, steps)
